@@ -43,6 +43,8 @@ def with_views(body: str) -> str:
         return body.strip()
     parts = ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in needed)
     text = body.strip()
+    if text.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {parts},\n{text[15:]}"
     if text.upper().startswith("WITH "):
         return f"WITH {parts},\n{text[5:]}"
     return f"WITH {parts}\n{text}"

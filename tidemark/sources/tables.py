@@ -7,7 +7,7 @@ Only the columns a view needs reach the parquet scan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.black76 import with_call_price
@@ -79,7 +79,7 @@ def cot_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.col("o_totalprice")
     is_long, is_short = F.col("o_orderstatus") == "F", F.col("o_orderstatus") == "O"
 
-    def held(members: list[str], side) -> F.Column:
+    def held(members: list[str], side) -> Column:
         return F.coalesce(F.sum(F.when(group.isin(members) & side, price)), F.lit(0.0))
 
     return (
