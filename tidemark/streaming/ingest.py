@@ -18,8 +18,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def read_landing(spark: SparkSession, path: str, schema: T.StructType, max_files: int = 1000) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+def read_landing(
+    spark: SparkSession, path: str, schema: T.StructType, files: str = "*.parquet", max_files: int = 1000
+) -> DataFrame:
+    """Stream over a landing folder; ``files`` selects by name, ``max_files`` bounds a micro-batch."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).option("pathGlobFilter", files)
+    return reader.parquet(path)
 
 
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:
