@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from tidemark import config
 from tidemark.operators.metrics import sharpe
-from tidemark.operators.ordered import cumulative_counts, running
+from tidemark.operators.ordered import checked_broadcast, cumulative_counts, running
 from tidemark.operators.returns import max_drawdown
 from tidemark.session import durable
 
 
-def value_profile(samples: DataFrame, ranges: int = 200) -> DataFrame:
+def value_profile(samples: DataFrame, ranges: int = 256) -> DataFrame:
     """Distinct values per feature with exact running counts of both samples.
 
     PSI and KS are both functions of this one table and read it several times,
@@ -56,7 +56,7 @@ def psi(
     low = lambda w: F.floor(w["_pos"])
     high = lambda w: F.ceil(w["_pos"])
     hits = (
-        profile.join(edges_in, "feature")
+        profile.join(checked_broadcast(durable(edges_in)), "feature")
         .withColumn("_w", F.explode(F.filter("_wanted", lambda w: holds(low(w)) | holds(high(w)))))
         .groupBy("feature", F.col("_w.edge_no").alias("edge_no"))
         .agg(
@@ -65,11 +65,13 @@ def psi(
             F.max(F.col("_w._pos") - F.floor("_w._pos")).alias("_f"),
         )
     )
-    edges = hits.groupBy("feature").agg(
-        F.sort_array(F.collect_list(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f"))).alias("_edges")
+    edges = durable(
+        hits.groupBy("feature").agg(
+            F.sort_array(F.collect_list(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f"))).alias("_edges")
+        )
     )
     binned = (
-        profile.join(edges, "feature")
+        profile.join(checked_broadcast(edges), "feature")
         .groupBy("feature", F.size(F.filter("_edges", lambda e: e <= F.col("x"))).alias("bin"))
         .agg(F.sum("n_base").alias("b"), F.sum("n_cur").alias("c"))
     )
@@ -101,7 +103,7 @@ def ks(profile: DataFrame, alpha: float = config.KS_ALPHA) -> DataFrame:
     Fewer than two values on a side give (false, 0, 1).
     """
     totals = profile.groupBy("feature").agg(F.sum("n_base").alias("n_base"), F.sum("n_cur").alias("n_cur"))
-    shares = profile.select("feature", "cum_n_base", "cum_n_cur").join(totals, "feature")
+    shares = profile.select("feature", "cum_n_base", "cum_n_cur").join(checked_broadcast(durable(totals)), "feature")
     gap = F.abs(F.col("cum_n_base") / F.col("n_base") - F.col("cum_n_cur") / F.col("n_cur"))
     found = shares.groupBy("feature").agg(
         F.max(gap).alias("_d"), F.first("n_base").alias("n_base"), F.first("n_cur").alias("n_cur")

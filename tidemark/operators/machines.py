@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import config
-from tidemark.operators.ordered import attach
+from tidemark.operators.ordered import attach, index_rows
 
 
 def run_machine(
@@ -28,34 +28,35 @@ def run_machine(
     symbol: str,
     transition: np.ndarray,
     start: int = 0,
+    block_rows: int = 250_000,
 ) -> DataFrame:
     """Adds ``state_before`` for the machine ``transition[symbol, state] -> state``.
 
-    ``symbol`` is an integer input column.  A cell must fit a task; the keys need not.
+    ``symbol`` is an integer input column.  Rows are numbered inside their key
+    and cut into blocks of exactly ``block_rows``, so what a Python task holds
+    is bounded however hot a key or a moment is.
     """
     keys, order = list(keys), list(order)
-    group = [*keys, "_cell"]
+    group = [*keys, "_block"]
     table = np.asarray(transition, dtype="int32")
     n_states = table.shape[1]
-    rows = df.withColumn("_cell", cell)
-
+    numbered = index_rows(df, keys, order, cell, "_idx")
+    rows = numbered.withColumn("_block", F.floor(F.col("_idx") / block_rows))
     key_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*group).schema)
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         image = np.arange(n_states, dtype="int32")
-        for s in pdf.sort_values(order, kind="stable")[symbol].to_numpy():
+        for s in pdf.sort_values("_idx")[symbol].to_numpy():
             image = table[s][image]
-        out = pdf[group].iloc[:1].copy()
-        out["image"] = [image.tolist()]
-        return out
+        return pdf[group].iloc[:1].assign(image=[image.tolist()])
 
-    images = rows.select(*group, *[c for c in order if c not in group], symbol).groupBy(*group).applyInPandas(
+    images = rows.select(*group, "_idx", symbol).groupBy(*group).applyInPandas(
         summarise, f"{key_fields}, image array<int>"
     )
 
     def chain_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-        # one row per cell of the key
-        pdf = pdf.sort_values("_cell", kind="stable")
+        # one row per block of the key
+        pdf = pdf.sort_values("_block")
         states, current = [], start
         for image in pdf["image"]:
             states.append(current)
@@ -65,13 +66,13 @@ def run_machine(
     starts = images.groupBy(*keys).applyInPandas(chain_blocks, f"{key_fields}, _start int")
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
+        pdf = pdf.sort_values("_idx")
         state = int(pdf["_start"].iloc[0])
         before = np.empty(len(pdf), dtype="int32")
         for i, s in enumerate(pdf[symbol].to_numpy()):
             before[i] = state
             state = int(table[s, state])
-        return pdf.drop(columns=["_cell", "_start"]).assign(state_before=before)
+        return pdf.drop(columns=["_block", "_idx", "_start"]).assign(state_before=before)
 
     out_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return attach(rows, starts, group).groupBy(*group).applyInPandas(replay, f"{out_fields}, state_before int")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import config
 from tidemark.operators import chain, density, flows
 from tidemark.operators.chain import SLICE
+from tidemark.session import durable
 
 MOMENTS = ["implied_mean", "implied_variance", "implied_skew", "implied_kurtosis", "atm_iv"]
 FLOWS = ["gex", "vanna_flow", "charm_flow"]
@@ -36,7 +37,9 @@ def option_features(
     else:
         priced = priced.join(multipliers, "market")
     years = F.datediff("expiry", "as_of") / F.lit(365.0)
-    ivs = density.with_ivs(priced, F.col("spot"), F.lit(rate), years)
+    # one row per strike is left and two branches read it: written once, so that
+    # quotes are scanned and volatilities inverted once
+    ivs = durable(density.with_ivs(priced, F.col("spot"), F.lit(rate), years))
 
     sliced = density.slices(ivs, max_spread=config.DENSITY_MAX_SPREAD_PCT, min_oi=config.DENSITY_MIN_OI)
     moments = density.implied_moments(density.fit_svi(sliced))

@@ -23,7 +23,11 @@ _FIRST = Window.unboundedPreceding
 
 
 def calendar_cell(ts: str, unit: str = "day") -> Column:
-    """Cell of a timestamp; ``unit`` is any unit ``date_trunc`` knows."""
+    """Cell of a timestamp; ``unit`` is any unit ``date_trunc`` knows.
+
+    Take a unit in which one key's rows fit a task (they may spill): hour or
+    minute for event streams, month or year for daily bars.
+    """
     return F.date_trunc(unit, F.col(ts))
 
 
@@ -162,19 +166,59 @@ def framed(
     return out.select(*keep)
 
 
+def checked_broadcast(df: DataFrame, limit: int = 20_000) -> DataFrame:
+    """Broadcast hint for a durable table of at most ``limit`` rows; otherwise a shuffled join.
+
+    The count reads the checkpoint, not the lineage behind it.
+    """
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def value_splits(df: DataFrame, keys: Sequence[str], value: str, ranges: int) -> DataFrame:
+    """Approximate split points per key, made durable so that every reader sees the same cut.
+
+    The sketch is combined on the map side and only balances work; results
+    computed from the cut are exact.
+    """
+    steps = [i / ranges for i in range(1, ranges)]
+    return durable(
+        df.where(F.col(value).isNotNull())
+        .groupBy(*keys)
+        .agg(F.percentile_approx(value, steps, 4 * ranges).alias("_splits"))
+    )
+
+
+def _range_of(value: str, width: int = 16) -> Column:
+    """Number of split points below the value, in two short scans instead of one long one."""
+    v, splits = F.col(value), F.col("_splits")
+    last = F.floor((F.size(splits) - 1) / width).cast("int")  # coarse points: every width-th split
+    coarse = F.size(
+        F.filter(F.sequence(F.lit(0), last), lambda i: F.get(splits, i * width) < v)
+    )
+    start = F.greatest(coarse - 1, F.lit(0)) * width
+    fine = F.size(F.filter(F.slice(splits, start + 1, F.lit(width)), lambda s: s < v))
+    return (start + fine).cast("int")
+
+
+def _with_range(df: DataFrame, splits: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    if keys:
+        placed = attach(df, checked_broadcast(splits), keys)
+    else:
+        placed = df.withColumn("_splits", splits.scalar())  # exactly one row
+    return placed.withColumn("_range", _range_of(value)).drop("_splits")
+
+
 def cumulative_counts(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     counts: dict[str, Column],
-    ranges: int = 200,
+    ranges: int = 256,
 ) -> DataFrame:
     """Distinct values per key with running totals of ``counts`` up to and including each.
 
-    Equal values are combined before any shuffle.  The remaining values are cut
-    into up to ``ranges`` value ranges per key from an approximate sketch; the
-    sketch only balances work, the totals are exact.  Split points are made
-    durable so that every reader of them sees the same cut.
+    Equal values are combined before any shuffle; the distinct values are cut
+    into up to ``ranges`` value ranges per key, so a hot key is shared by many tasks.
     """
     keys = list(keys)
     tallied = (
@@ -182,47 +226,59 @@ def cumulative_counts(
         .groupBy(*keys, value)
         .agg(*[F.sum(expr.cast("long")).alias(name) for name, expr in counts.items()])
     )
-    steps = [i / ranges for i in range(1, ranges)]
-    splits = durable(
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys)
-        .agg(F.array_distinct(F.percentile_approx(value, steps, 2000)).alias("_splits"))
-    )
-    if keys:
-        placed = attach(tallied, splits, keys)
-    else:
-        placed = tallied.withColumn("_splits", splits.scalar())  # exactly one row
-    placed = placed.withColumn(
-        "_range", F.size(F.filter("_splits", lambda s: s < F.col(value)))
-    ).drop("_splits")
+    placed = _with_range(tallied, value_splits(df, keys, value, ranges), keys, value)
     return running(
         placed, keys, [value], F.col("_range"), {f"cum_{n}": ("sum", F.col(n)) for n in counts}
     ).drop("_range")
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], ranges: int = 200
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], ranges: int = 256
 ) -> DataFrame:
-    """Exact linear-interpolation quantiles per key without holding a key in memory."""
+    """Exact linear-interpolation quantiles per key without sorting or holding a key.
+
+    One pass counts rows per value range (map-side combined).  The counts tell
+    which ranges hold the wanted ranks; a second pass reads only the rows of
+    those ranges and finds the ranks inside them.
+    """
     keys = list(keys)
-    cum = cumulative_counts(df, keys, value, {"n": F.lit(1)}, ranges)
-    total = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
-    if keys:
-        ranked = attach(cum, total, keys)
-    else:
-        ranked = cum.withColumn("_total", total.scalar())  # exactly one row
+    rows = df.where(F.col(value).isNotNull()).select(*keys, value)
+    placed = _with_range(rows, value_splits(rows, keys, value, ranges), keys, value)
+    sizes = placed.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    by_key = Window.partitionBy(*keys)  # at most `ranges` rows per key
+    located = sizes.withColumn(
+        "_before", F.coalesce(F.sum("_n").over(by_key.orderBy("_range").rowsBetween(_FIRST, -1)), F.lit(0))
+    ).withColumn("_total", F.sum("_n").over(by_key))
+    ranks = F.array(*[
+        F.struct(F.lit(name).alias("name"), rank(F.lit(float(p)) * (F.col("_total") - 1)).cast("long").alias("rank"))
+        for name, p in probs.items()
+        for rank in (F.floor, F.ceil)
+    ])
+    holds = (F.col("_before") <= F.col("_r.rank")) & (F.col("_r.rank") < F.col("_before") + F.col("_n"))
+    wanted = durable(
+        located.withColumn("_r", F.explode(ranks)).where(holds)
+        .groupBy(*keys, "_range", "_before", "_total")
+        .agg(F.collect_set("_r").alias("_wanted"))
+    )
+    hit = attach(placed, checked_broadcast(wanted), [*keys, "_range"]).where(F.col("_wanted").isNotNull())
+    tallied = hit.groupBy(*keys, "_range", value).agg(
+        F.count(F.lit(1)).alias("_n"), F.first("_before").alias("_before"), F.first("_total").alias("_total"),
+        F.first("_wanted").alias("_wanted"),
+    )
+    inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(_FIRST, 0)
+    upto = tallied.withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
+    here = F.filter("_wanted", lambda r: (r["rank"] < F.col("_upto")) & (r["rank"] >= F.col("_upto") - F.col("_n")))
+    found = upto.withColumn("_r", F.explode(here))
     picks = []
     for name, p in probs.items():
         position = F.lit(float(p)) * (F.col("_total") - 1)
-        low, high = F.floor(position), F.ceil(position)
-        first = F.col("cum_n") - F.col("n")  # rank of the first copy of this value
-        at = lambda rank: F.max(F.when((first <= rank) & (rank < F.col("cum_n")), F.col(value)))
+        at = lambda rank: F.max(F.when((F.col("_r.name") == name) & (F.col("_r.rank") == rank), F.col(value)))  # noqa: B023, E731
         picks += [
-            at(low).alias(f"_lo_{name}"),
-            at(high).alias(f"_hi_{name}"),
-            F.max(position - low).alias(f"_w_{name}"),
+            at(F.floor(position)).alias(f"_lo_{name}"),
+            at(F.ceil(position)).alias(f"_hi_{name}"),
+            F.max(position - F.floor(position)).alias(f"_w_{name}"),
         ]
-    picked = ranked.groupBy(*keys).agg(*picks)
+    picked = found.groupBy(*keys).agg(*picks)
     return picked.select(
         *keys,
         *[

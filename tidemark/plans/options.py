@@ -17,6 +17,7 @@ from tidemark.plans.joins import paired, weekly_probes
 from tidemark.plans.landing import reports
 from tidemark.plans.registry import query, r6
 from tidemark.plans.windows import SENTIMENT_SQL
+from tidemark.session import durable
 from tidemark.sources import tables
 
 
@@ -245,9 +246,9 @@ def h16(spark, d):
     return plan.select(*tables.FILL_ORDER, "n_slices", "slice_no", "slice_contracts", "price_mid", "price_step", "price_cross")
 
 
-def chain_spots(spark: SparkSession, d: str) -> DataFrame:
+def chain_spots(quotes: DataFrame) -> DataFrame:
     """Closes of the chain markets through the feature store: the newest one is not yet visible."""
-    markets = tables.chain(spark, d).select("market").distinct()
+    markets = quotes.select("market").distinct()
     days = F.inline(
         F.array(
             *[
@@ -262,14 +263,16 @@ def chain_spots(spark: SparkSession, d: str) -> DataFrame:
 
 
 def job_features(spark: SparkSession, d: str) -> DataFrame:
-    dim = implied_multipliers(spark, d)
-    return option_features(tables.chain(spark, d), chain_spots(spark, d), F.col("quote_id"), dim, tables.CHAIN_RATE)
+    quotes = durable(tables.chain(spark, d))  # stands for the landed quote table
+    return option_features(
+        quotes, chain_spots(quotes), F.col("quote_id"), implied_multipliers(quotes), tables.CHAIN_RATE
+    )
 
 
-def implied_multipliers(spark: SparkSession, d: str) -> DataFrame:
+def implied_multipliers(quotes: DataFrame) -> DataFrame:
     number = F.substring("market", 2, 20).cast("int")
     sizes = F.array(*[F.lit(r[3]) for r in config.MARKETS])
-    rows = tables.chain(spark, d).select("market").distinct()
+    rows = quotes.select("market").distinct()
     return rows.withColumn("multiplier", F.element_at(sizes, (F.pmod(number, F.lit(14)) + 1).cast("int")))
 
 

@@ -50,7 +50,7 @@ def e3(spark, d):
        SELECT model, ts, event_id, round(exp(lg), 5) AS equity, round(exp(lg - max(lg) OVER (PARTITION BY model ORDER BY ts, event_id)) - 1, 5) + 0.0 AS drawdown FROM e""",
 )
 def e4(spark, d):
-    curve = returns.equity(tables.predictions(spark, d), ["model"], ["ts", "event_id"], calendar_cell("ts"))
+    curve = returns.equity(tables.predictions(spark, d), ["model"], ["ts", "event_id"], calendar_cell("ts", "hour"))
     return curve.select(
         "model", "ts", "event_id", r6(F.col("equity"), 5).alias("equity"), r6(F.col("drawdown"), 5).alias("drawdown")
     )
@@ -107,7 +107,7 @@ def e7(spark, d):
     f"WITH {CUSUM_SQL} SELECT metric, ts, event_id, round(s_pos, 6) + 0.0 AS s_pos, round(s_neg, 6) + 0.0 AS s_neg, s_pos > 5 OR s_neg > 5 AS alert FROM cusum",
 )
 def e8(spark, d):
-    found = drift.cusum(tables.metric_stream(spark, d), ["metric"], ["ts", "event_id"], calendar_cell("ts"))
+    found = drift.cusum(tables.metric_stream(spark, d), ["metric"], ["ts", "event_id"], calendar_cell("ts", "hour"))
     return found.select("metric", "ts", "event_id", r6(F.col("s_pos")).alias("s_pos"), r6(F.col("s_neg")).alias("s_neg"), "alert")
 
 
@@ -129,7 +129,7 @@ def e9(spark, d):
 )
 def e10(spark, d):
     sparse = tables.metric_stream(spark, d).withColumn("v", F.when(F.pmod("event_id", F.lit(3)) == 0, F.col("x")))
-    return returns.carry_forward(sparse, ["metric"], ["ts", "event_id"], calendar_cell("ts"), "v", 1.0).select(
+    return returns.carry_forward(sparse, ["metric"], ["ts", "event_id"], calendar_cell("ts", "hour"), "v", 1.0).select(
         "metric", "ts", "event_id", "v_filled"
     )
 
@@ -201,7 +201,7 @@ def e14(spark, d):
     rows = tables.predictions(spark, d).select(
         "model", "ts", "event_id", F.col("p").alias("current_fitness"), F.lit(0.5).alias("champion_fitness")
     )
-    return machines.rollback(rows, ["model"], ["ts", "event_id"], calendar_cell("ts")).select(
+    return machines.rollback(rows, ["model"], ["ts", "event_id"], calendar_cell("ts", "hour")).select(
         "model", "ts", "event_id", "degraded", "fired"
     )
 
@@ -229,7 +229,7 @@ def e15(spark, d):
         "max_daily_loss": F.col("ret") * 4, "max_drawdown": F.col("p") - 0.1,
         "max_position_size": F.col("p") * 0.2, "max_single_trade_loss": F.col("ret") * 1.5,
     }
-    out = machines.breakers(rows, ["model"], ["ts", "event_id"], calendar_cell("ts"), values)
+    out = machines.breakers(rows, ["model"], ["ts", "event_id"], calendar_cell("ts", "hour"), values)
     return out.select("model", "ts", "event_id", *[f"{n}_triggered" for n in values], "allowed")
 
 
