@@ -59,11 +59,25 @@ def reconcile(fills: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
         .withColumn("bias", F.col("mean_actual") - F.col("mean_predicted"))
         .withColumn("pessimism_multiplier", F.col("mean_actual") / F.greatest("mean_predicted", F.lit(1e-10)))
     )
-    quant = [
-        exact_quantiles(fills, keys, f"{side}_slippage", {f"median_{side}": 0.5, f"p95_{side}": 0.95})
-        for side in ("predicted", "actual")
-    ]
-    return moments.join(quant[0], keys).join(quant[1], keys)
+    # both sides go through one rank search, keyed by (symbol, side)
+    sides = fills.select(
+        *keys,
+        F.inline(
+            F.array(
+                F.struct(F.lit("predicted").alias("side"), p.alias("slip")),
+                F.struct(F.lit("actual").alias("side"), a.alias("slip")),
+            )
+        ),
+    )
+    ranks = exact_quantiles(sides, [*keys, "side"], "slip", {"median": 0.5, "p95": 0.95})
+    wide = ranks.groupBy(*keys).agg(
+        *[
+            F.max(F.when(F.col("side") == side, F.col(q))).alias(f"{q}_{side}")
+            for q in ("median", "p95")
+            for side in ("predicted", "actual")
+        ]
+    )
+    return moments.join(wide, keys)
 
 
 def calibration_gate(report: DataFrame, max_bias: float = 0.5, min_corr: float = 0.3) -> DataFrame:

@@ -14,7 +14,7 @@ from tidemark.operators.returns import max_drawdown
 from tidemark.session import durable
 
 
-def value_profile(samples: DataFrame, ranges: int = 256) -> DataFrame:
+def value_profile(samples: DataFrame, ranges: int = 1024) -> DataFrame:
     """Distinct values per feature with exact running counts of both samples.
 
     PSI and KS are both functions of this one table and read it several times,

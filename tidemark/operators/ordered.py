@@ -75,19 +75,19 @@ def running(
     a key and ``cell`` must be non-decreasing along it.
     """
     keys = list(keys)
-    group = [*keys, "_cell"]
-    base = df.withColumn("_cell", cell)
-    for name, (_, expression) in columns.items():
-        base = base.withColumn(f"_x_{name}", expression)
-
-    within = Window.partitionBy(*group).orderBy(*order).rowsBetween(_FIRST, 0)
+    # One struct holds key and cell: equal structs may contain nulls, so plain
+    # equality is null-safe and the exchange of the window also serves the join.
+    base = df.withColumn("_cell", cell).withColumn("_g", F.struct(*keys, "_cell")).withColumns(
+        {f"_x_{name}": expression for name, (_, expression) in columns.items()}
+    )
+    within = Window.partitionBy("_g").orderBy(*order).rowsBetween(_FIRST, 0)
     local = base.select(
         *df.columns,
-        "_cell",
+        "_g",
         *[_RUNNING[kind](F.col(f"_x_{n}")).over(within).alias(f"_l_{n}") for n, (kind, _) in columns.items()],
     )
 
-    totals = base.groupBy(*group).agg(
+    totals = base.groupBy("_g").agg(
         *[
             (
                 F.max_by(F.col(f"_x_{n}"), F.when(F.col(f"_x_{n}").isNotNull(), F.struct(*order)))
@@ -97,12 +97,12 @@ def running(
             for n, (kind, _) in columns.items()
         ]
     )
-    earlier = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(_FIRST, -1)
+    earlier = Window.partitionBy(*[F.col(f"_g.{k}") for k in keys]).orderBy("_g._cell").rowsBetween(_FIRST, -1)
     carry = totals.select(
-        *group,
+        F.col("_g").alias("_gc"),
         *[_RUNNING[kind](F.col(f"_t_{n}")).over(earlier).alias(f"_c_{n}") for n, (kind, _) in columns.items()],
     )
-    joined = attach(local, carry, group)
+    joined = local.join(carry, F.col("_g") == F.col("_gc"))
     return joined.select(
         *[c for c in df.columns if c not in columns],
         *[_combine(kind, F.col(f"_c_{n}"), F.col(f"_l_{n}")).alias(n) for n, (kind, _) in columns.items()],
@@ -174,38 +174,41 @@ def checked_broadcast(df: DataFrame, limit: int = 20_000) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def value_splits(df: DataFrame, keys: Sequence[str], value: str, ranges: int) -> DataFrame:
-    """Approximate split points per key, made durable so that every reader sees the same cut.
+def _log_scale(value: Column, scale: Column) -> Column:
+    """Monotone map that keeps far outliers from claiming most of the range."""
+    return F.signum(value) * F.log1p(F.abs(value) / scale)
 
-    The sketch is combined on the map side and only balances work; results
-    computed from the cut are exact.
-    """
-    steps = [i / ranges for i in range(1, ranges)]
-    return durable(
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys)
-        .agg(F.percentile_approx(value, steps, 4 * ranges).alias("_splits"))
-    )
 
+def _with_range(df: DataFrame, source: DataFrame, keys: Sequence[str], value: str, ranges: int) -> DataFrame:
+    """Adds ``_range`` in [0, ranges): non-decreasing in the value, from plain arithmetic.
 
-def _range_of(value: str, width: int = 16) -> Column:
-    """Number of split points below the value, in two short scans instead of one long one."""
-    v, splits = F.col(value), F.col("_splits")
-    last = F.floor((F.size(splits) - 1) / width).cast("int")  # coarse points: every width-th split
-    coarse = F.size(
-        F.filter(F.sequence(F.lit(0), last), lambda i: F.get(splits, i * width) < v)
+    Bounds are one map-side combined row per key of ``source``.  They are made
+    durable: two readers of a floating-point average must not disagree on a cut.
+    """
+    v = F.col(value)
+    spread = source.where(v.isNotNull()).groupBy(*keys).agg(
+        F.min(v).alias("_min"),
+        F.max(v).alias("_max"),
+        F.coalesce(F.exp(F.avg(F.when(v != 0, F.log(F.abs(v))))), F.lit(1.0)).alias("_scale"),
+    )
+    bounds = durable(
+        spread.select(
+            *keys,
+            "_scale",
+            _log_scale(F.col("_min"), F.col("_scale")).alias("_low"),
+            _log_scale(F.col("_max"), F.col("_scale")).alias("_high"),
+        )
     )
-    start = F.greatest(coarse - 1, F.lit(0)) * width
-    fine = F.size(F.filter(F.slice(splits, start + 1, F.lit(width)), lambda s: s < v))
-    return (start + fine).cast("int")
-
-
-def _with_range(df: DataFrame, splits: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     if keys:
-        placed = attach(df, checked_broadcast(splits), keys)
+        placed = attach(df, checked_broadcast(bounds), keys)
     else:
-        placed = df.withColumn("_splits", splits.scalar())  # exactly one row
-    return placed.withColumn("_range", _range_of(value)).drop("_splits")
+        one = bounds.select(F.struct("_scale", "_low", "_high").alias("_b"))  # exactly one row
+        placed = df.withColumn("_b", one.scalar()).select("*", "_b.*").drop("_b")
+    share = (_log_scale(v, F.col("_scale")) - F.col("_low")) / (F.col("_high") - F.col("_low"))
+    number = F.least(F.floor(share * ranges).cast("int"), F.lit(ranges - 1))
+    return placed.withColumn("_range", F.when(F.col("_high") > F.col("_low"), number).otherwise(F.lit(0))).drop(
+        "_scale", "_low", "_high"
+    )
 
 
 def cumulative_counts(
@@ -213,7 +216,7 @@ def cumulative_counts(
     keys: Sequence[str],
     value: str,
     counts: dict[str, Column],
-    ranges: int = 256,
+    ranges: int = 1024,
 ) -> DataFrame:
     """Distinct values per key with running totals of ``counts`` up to and including each.
 
@@ -226,14 +229,14 @@ def cumulative_counts(
         .groupBy(*keys, value)
         .agg(*[F.sum(expr.cast("long")).alias(name) for name, expr in counts.items()])
     )
-    placed = _with_range(tallied, value_splits(df, keys, value, ranges), keys, value)
+    placed = _with_range(tallied, df, keys, value, ranges)
     return running(
         placed, keys, [value], F.col("_range"), {f"cum_{n}": ("sum", F.col(n)) for n in counts}
     ).drop("_range")
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], ranges: int = 256
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], ranges: int = 4096
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per key without sorting or holding a key.
 
@@ -243,7 +246,7 @@ def exact_quantiles(
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(*keys, value)
-    placed = _with_range(rows, value_splits(rows, keys, value, ranges), keys, value)
+    placed = _with_range(rows, rows, keys, value, ranges)
     sizes = placed.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
     by_key = Window.partitionBy(*keys)  # at most `ranges` rows per key
     located = sizes.withColumn(
