@@ -44,8 +44,9 @@ def reconcile(fills: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """
     keys = list(keys)
     p, a = F.col("predicted_slippage"), F.col("actual_slippage")
-    flat_side = (F.stddev_pop(p) == 0) | (F.stddev_pop(a) == 0)
-    corr = F.coalesce(F.nanvl(F.corr(p, a), F.lit(0.0)), F.lit(0.0))
+    # from covariance and deviations: corr() divides by zero on a constant side in ANSI mode
+    spread = F.stddev_pop(p) * F.stddev_pop(a)
+    corr = F.when(spread > 0, F.covar_pop(p, a) / spread).otherwise(F.lit(0.0))
     moments = (
         fills.groupBy(*keys)
         .agg(
@@ -53,7 +54,7 @@ def reconcile(fills: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
             F.avg(p).alias("mean_predicted"),
             F.avg(a).alias("mean_actual"),
             F.sqrt(F.avg((a - p) * (a - p))).alias("rmse"),
-            F.when(flat_side, F.lit(0.0)).otherwise(corr).alias("correlation"),
+            corr.alias("correlation"),
         )
         .where(F.col("n_fills") >= MIN_FILLS)
         .withColumn("bias", F.col("mean_actual") - F.col("mean_predicted"))
@@ -98,7 +99,7 @@ def adv_volatility(bars: DataFrame, price: str = "close", n: int = 20) -> DataFr
     newest = Window.partitionBy("market").orderBy(F.desc("ts"))
     recent = bars.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= n)
     by_time = Window.partitionBy("market").orderBy("ts")  # n rows per market
-    logs = recent.withColumn("_lr", F.log(F.col(price) / F.lag(price).over(by_time)))
+    logs = recent.withColumn("_lr", F.log(F.col(price)) - F.log(F.lag(price).over(by_time)))
     return logs.groupBy("market").agg(
         F.coalesce(F.avg("volume"), F.lit(500.0)).alias("adv"),
         F.coalesce(F.stddev_pop("_lr"), F.lit(0.02)).alias("volatility"),

@@ -104,7 +104,7 @@ def ks(profile: DataFrame, alpha: float = config.KS_ALPHA) -> DataFrame:
     """
     totals = profile.groupBy("feature").agg(F.sum("n_base").alias("n_base"), F.sum("n_cur").alias("n_cur"))
     shares = profile.select("feature", "cum_n_base", "cum_n_cur").join(checked_broadcast(durable(totals)), "feature")
-    gap = F.abs(F.col("cum_n_base") / F.col("n_base") - F.col("cum_n_cur") / F.col("n_cur"))
+    gap = F.abs(F.try_divide("cum_n_base", "n_base") - F.try_divide("cum_n_cur", "n_cur"))
     found = shares.groupBy("feature").agg(
         F.max(gap).alias("_d"), F.first("n_base").alias("n_base"), F.first("n_cur").alias("n_cur")
     )

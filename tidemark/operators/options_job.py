@@ -28,6 +28,7 @@ def option_features(
     ``spots`` (market, spot) the closes visible at the batch date.  Moments use
     the loose liquidity rule, flows the strict one; each keeps its own quality.
     """
+    quotes = quotes.where(F.col("strike") > 0)  # missing definitions carry strike 0
     front = chain.front_expiry(quotes)
     in_front = quotes.join(front, SLICE, "left_semi")
     pairs = chain.pair_sides(chain.best_quotes(in_front, seq))

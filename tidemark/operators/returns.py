@@ -14,10 +14,10 @@ DEFAULT_VOL = 0.02
 
 
 def simple_returns(bars: DataFrame, cell: Column, price: str = "close", keys=("market",), order=("ts",)) -> DataFrame:
-    """(p_t - p_{t-1}) / p_{t-1}, 0 for the first bar."""
+    """(p_t - p_{t-1}) / p_{t-1}, 0 for the first bar and after a zero price."""
     out = framed(bars, keys, order, cell, {"_prev": lambda f: F.first(price).over(f(-1, -1))}, before=1)
     p = F.col(price)
-    return out.withColumn("ret", F.coalesce((p - F.col("_prev")) / F.col("_prev"), F.lit(0.0))).drop("_prev")
+    return out.withColumn("ret", F.coalesce(F.try_divide(p - F.col("_prev"), F.col("_prev")), F.lit(0.0))).drop("_prev")
 
 
 def rolling_vol(bars: DataFrame, cell: Column, price: str = "close", window: int = 20, keys=("market",), order=("ts",)) -> DataFrame:

@@ -82,7 +82,7 @@ def zscore(
 
 
 def raw_divergence(implied_mean: Column, spot: Column, sentiment: Column) -> Column:
-    return (implied_mean - spot) / spot - sentiment / 10.0
+    return F.try_divide(implied_mean - spot, spot) - sentiment / 10.0
 
 
 def classify(
@@ -96,7 +96,7 @@ def classify(
     magnitude: Column | None = None,
 ) -> dict[str, Column]:
     """First matching rule decides type, direction and suggested bias."""
-    bias = (implied_mean - spot) / spot
+    bias = F.try_divide(implied_mean - spot, spot)
     size, mood = F.abs(bias), F.abs(score)
     known = implied_mean.isNotNull()
     side = F.when(bias > 0, 1).otherwise(-1)

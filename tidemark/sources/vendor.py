@@ -27,8 +27,8 @@ COT_SPELLINGS = {
 def _bar(df: DataFrame, symbol: Column, when: Column) -> DataFrame:
     return df.select(
         F.col("market"),
-        *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close")],
-        F.col("volume").cast("long").alias("volume"),
+        *[F.col(c).try_cast("double").alias(c) for c in ("open", "high", "low", "close")],
+        F.col("volume").try_cast("long").alias("volume"),
         symbol.cast("string").alias("symbol"),
         when.cast("timestamp_ntz").alias("ts_event"),
     )
@@ -80,7 +80,7 @@ def cot_normalize(raw: DataFrame, markets: DataFrame, batch_date: Column) -> Dat
         code.alias("cftc_code"),
         dates.report_date(_pick(raw, "report_date")).alias("report_date"),
         *[
-            (c.cast("double") if c is not None else F.lit(0.0)).alias(name)
+            (c.try_cast("double") if c is not None else F.lit(0.0)).alias(name)
             for name, c in picked.items()
         ],
     ).where(F.col("report_date").isNotNull())
