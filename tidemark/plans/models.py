@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import features, model, returns
 from tidemark.operators.ledger import pnl_ledger, replay_metrics
 from tidemark.operators.ordered import calendar_cell
+from tidemark.plans import ledger_sql
 from tidemark.plans.registry import query, r6
 from tidemark.session import durable
 from tidemark.sources import tables
@@ -97,31 +98,50 @@ def j5(spark, d):
 
 
 def replay_input(spark: SparkSession, d: str) -> DataFrame:
-    """Bars with returns, volatility and a probability per run; runs are parameter sets."""
+    """Bars with returns, volatility and a probability per run; runs are parameter sets.
+
+    Returns are scaled down: the bars of the test tables jump far more than a market does.
+    """
     bars = tables.bars(spark, d)
     priced = returns.rolling_vol(returns.simple_returns(bars, yearly()), yearly())
     # the probability is a rule on the previous bar's shape, shifted per run
     tilt = (F.col("open") - F.col("low")) / (F.col("high") - F.col("low") + 1e-9)
     return priced.withColumn("run_id", F.explode(F.array(*[F.lit(r) for r in range(4)]))).select(
-        "market", "run_id", "ts", "close", "ret", "rolling_vol", F.col("volume"), (F.col("close") * 0.001).alias("spread"),
+        "market", "run_id", "ts", "close", (F.col("ret") / 100.0).alias("ret"), "rolling_vol", F.col("volume"), (F.col("close") * 0.001).alias("spread"),
         F.least(F.greatest(0.35 + 0.3 * tilt + 0.05 * F.col("run_id"), F.lit(0.0)), F.lit(1.0)).alias("p"),
     )
 
 
-@query("j6_pnl_ledger")
+_DIGITS = {"raw_return": 8, "slippage": 8, "net_return": 8, "capital_return": 9, "capital_after": 3}
+
+
+def rounded(ledger: DataFrame) -> DataFrame:
+    return ledger.withColumns({c: r6(F.col(c), n) for c, n in _DIGITS.items()})
+
+
+@query("j6_pnl_ledger", f"WITH RECURSIVE {ledger_sql.REPLAY} SELECT {ledger_sql.rounded(['market', 'run_id', 'ts'])} FROM led")
 def j6(spark, d):
-    return pnl_ledger(replay_input(spark, d), ["market", "run_id"], ["ts"])
+    return rounded(pnl_ledger(replay_input(spark, d), ["market", "run_id"], ["ts"]))
 
 
-@query("j6b_replay_metrics")
+@query(
+    "j6b_replay_metrics",
+    f"""WITH RECURSIVE {ledger_sql.METRICS} SELECT market, run_id, round(sharpe_ratio, 5) + 0.0 AS sharpe_ratio, round(total_return, 7) + 0.0 AS total_return,
+        round(max_drawdown, 7) + 0.0 AS max_drawdown, round(hit_rate, 6) AS hit_rate, n_trades FROM met""",
+)
 def j6b(spark, d):
     rows = durable(pnl_ledger(replay_input(spark, d), ["market", "run_id"], ["ts"]))
-    return replay_metrics(rows, ["market", "run_id"], ["ts"], yearly())
+    found = replay_metrics(rows, ["market", "run_id"], ["ts"], yearly())
+    digits = {"sharpe_ratio": 5, "total_return": 7, "max_drawdown": 7, "hit_rate": 6}
+    return found.withColumns({c: r6(F.col(c), n) for c, n in digits.items()})
 
 
-@query("j6c_walk_forward_ledger")
+@query(
+    "j6c_walk_forward_ledger",
+    f"WITH RECURSIVE {ledger_sql.WALK_FORWARD} SELECT {ledger_sql.rounded(['market', 'run_id', 'row_idx', 'fold'])} FROM led",
+)
 def j6c(spark, d):
     """Walk-forward rules on the fold test rows: capital carries over folds, the rest restarts."""
     rows = replay_input(spark, d).where(F.col("run_id") == 3)
     cut = returns.folds(rows, yearly(), n_splits=3, min_train=150, test_size=60).where(F.col("role") == "test")
-    return pnl_ledger(cut, ["market", "run_id"], ["row_idx"], "walk_forward")
+    return rounded(pnl_ledger(cut, ["market", "run_id"], ["row_idx"], "walk_forward"))

@@ -99,7 +99,7 @@ def i6(spark, d):
     ledger = pnl_ledger(replay_input(spark, d), ["market", "run_id"], ["ts"]).where("traded")
     trades = ledger.select(
         F.concat_ws("/", "market", "run_id").alias("metric"), "ts", F.lit(0).cast("long").alias("event_id"),  # one row per series and bar
-        (F.col("net_return") * 10).alias("x"),
+        (F.col("net_return") * 200).alias("x"),
     )
     return ingest.run_to_table(detectors.metric_alerts(landed(spark, trades, "landing-ledger")), "trade-alerts")
 

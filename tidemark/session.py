@@ -36,14 +36,11 @@ def local_session(cpus: int | str = "*", app: str = "tidemark", memory: str = "8
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="tidemark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(root)
-    return root
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-ckpt-"))
+    return named or context.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:
