@@ -179,3 +179,17 @@ def test_breakers_match_loop(spark):
                 assert got[f"{n}_triggered"][i] == hit
                 ok &= not hit
             assert got["allowed"][i] == ok
+
+
+def test_running_sums_and_extremes(series):
+    from tidemark.operators.ordered import running_sums
+
+    pdf, df = series
+    got = by_key(
+        running_sums(df, ["k"], ["i"], F.floor(F.col("i") / 9), {"a": F.col("x"), "b": -F.col("x")}, {"a": "max", "b": "min"}).toPandas()
+    )
+    want = by_key(
+        expected(pdf, lambda g: g.assign(a=g.x.cumsum(), a_peak=g.x.cumsum().cummax(), b=(-g.x).cumsum(), b_peak=(-g.x).cumsum().cummin()))
+    )
+    for c in ("a", "a_peak", "b", "b_peak"):
+        np.testing.assert_allclose(got[c], want[c], atol=1e-12)

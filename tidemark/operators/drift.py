@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import config
 from tidemark.operators.metrics import sharpe
-from tidemark.operators.ordered import checked_broadcast, cumulative_counts, running
+from tidemark.operators.ordered import checked_broadcast, cumulative_counts, running_sums
 from tidemark.operators.returns import max_drawdown
 from tidemark.session import durable
 
@@ -169,14 +169,13 @@ def cusum(
     sum of d, so two running windows replace the per-row recursion.
     """
     up, down = F.col(x) - target - slack, -(F.col(x) - target) - slack
-    sums = running(df, keys, order, cell, {"_cp": ("sum", up), "_cn": ("sum", down)})
-    lows = running(sums, keys, order, cell, {"_lp": ("min", F.col("_cp")), "_ln": ("min", F.col("_cn"))})
-    over = lambda c, low: F.col(c) - F.least(F.lit(0.0), F.col(low))
+    sums = running_sums(df, keys, order, cell, {"_cp": up, "_cn": down}, {"_cp": "min", "_cn": "min"})
+    over = lambda c: F.col(c) - F.least(F.lit(0.0), F.col(f"{c}_peak"))
     return (
-        lows.withColumn("s_pos", over("_cp", "_lp"))
-        .withColumn("s_neg", over("_cn", "_ln"))
+        sums.withColumn("s_pos", over("_cp"))
+        .withColumn("s_neg", over("_cn"))
         .withColumn("alert", (F.col("s_pos") > threshold) | (F.col("s_neg") > threshold))
-        .drop("_cp", "_cn", "_lp", "_ln")
+        .drop("_cp", "_cn", "_cp_peak", "_cn_peak")
     )
 
 

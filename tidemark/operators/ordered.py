@@ -109,6 +109,53 @@ def running(
     )
 
 
+def running_sums(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    cell: Column,
+    columns: dict[str, Column],
+    extremes: dict[str, str],
+) -> DataFrame:
+    """Running sums together with their running maximum or minimum, in one pass over the rows.
+
+    For each name in ``columns`` the output has the running sum under that name
+    and its running ``max`` or ``min`` (per ``extremes``) as ``<name>_peak``.
+    Inside a cell both come from windows over the same rows; across cells the
+    extreme of a cell is lifted by the total before it, so the carry needs only
+    (total, extreme) per cell.
+    """
+    keys = list(keys)
+    base = df.withColumn("_cell", cell).withColumn("_g", F.struct(*keys, "_cell")).withColumns(
+        {f"_x_{n}": c for n, c in columns.items()}
+    )
+    within = Window.partitionBy("_g").orderBy(*order).rowsBetween(_FIRST, 0)
+    local = base.withColumns({f"_l_{n}": F.sum(f"_x_{n}").over(within) for n in columns}).withColumns(
+        {f"_p_{n}": _RUNNING[extremes[n]](F.col(f"_l_{n}")).over(within) for n in columns}
+    )
+    # already clustered by cell: this aggregate moves no rows
+    totals = local.groupBy("_g").agg(
+        *[F.sum(f"_x_{n}").alias(f"_t_{n}") for n in columns],
+        *[_RUNNING[extremes[n]](F.col(f"_l_{n}")).alias(f"_e_{n}") for n in columns],
+    )
+    earlier = Window.partitionBy(*[F.col(f"_g.{k}") for k in keys]).orderBy("_g._cell").rowsBetween(_FIRST, -1)
+    lifted = totals.withColumns({f"_c_{n}": F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0.0)) for n in columns})
+    carry = lifted.select(
+        F.col("_g").alias("_gc"),
+        *[f"_c_{n}" for n in columns],
+        *[_RUNNING[extremes[n]](F.col(f"_c_{n}") + F.col(f"_e_{n}")).over(earlier).alias(f"_q_{n}") for n in columns],
+    )
+    joined = local.join(carry, F.col("_g") == F.col("_gc"))
+    return joined.select(
+        *df.columns,
+        *[(F.col(f"_c_{n}") + F.col(f"_l_{n}")).alias(n) for n in columns],
+        *[
+            _combine(extremes[n], F.col(f"_q_{n}"), F.col(f"_c_{n}") + F.col(f"_p_{n}")).alias(f"{n}_peak")
+            for n in columns
+        ],
+    )
+
+
 def index_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], cell: Column, out: str = "row_idx"
 ) -> DataFrame:

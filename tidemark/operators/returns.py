@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import config
-from tidemark.operators.ordered import framed, index_rows, running
+from tidemark.operators.ordered import framed, index_rows, running, running_sums
 
 DEFAULT_VOL = 0.02
 
@@ -61,12 +61,11 @@ def binary_target(bars: DataFrame, cell: Column, horizon: int = 5, price: str =
 
 def equity(returns: DataFrame, keys: Sequence[str], order: Sequence[str], cell: Column, ret: str = "ret") -> DataFrame:
     """Compounded equity, running peak and drawdown; the curve has no leading 1."""
-    grown = running(returns, keys, order, cell, {"_log": ("sum", F.log1p(F.col(ret)))})
-    peaked = running(grown, keys, order, cell, {"_peak": ("max", F.col("_log"))})
+    grown = running_sums(returns, keys, order, cell, {"_log": F.log1p(F.col(ret))}, {"_log": "max"})
     return (
-        peaked.withColumn("equity", F.exp("_log"))
-        .withColumn("drawdown", F.exp(F.col("_log") - F.col("_peak")) - 1.0)
-        .drop("_log", "_peak")
+        grown.withColumn("equity", F.exp("_log"))
+        .withColumn("drawdown", F.exp(F.col("_log") - F.col("_log_peak")) - 1.0)
+        .drop("_log", "_log_peak")
     )
 
 
