@@ -118,7 +118,7 @@ def c5(spark, d):
 @query(
     "c6_spot_asof",
     """WITH spots AS (SELECT market, arg_max(close, ts) AS spot FROM v_bars WHERE ts <= TIMESTAMP '1999-06-30' GROUP BY market)
-       SELECT instrument_id, market, strike, expiry, round(spot, 6) AS spot FROM v_defs JOIN spots USING (market) WHERE spot > 0""",
+       SELECT instrument_id, market, strike, expiry, spot FROM v_defs JOIN spots USING (market) WHERE spot > 0""",
 )
 def c6(spark, d):
     closes = features.close_features(canonical_bars(spark, d))
@@ -126,7 +126,7 @@ def c6(spark, d):
     wanted = F.col("feature_name") == F.concat(F.lit("futures_close_"), F.col("market"))
     spots = visible.where(wanted).select("market", F.col("value").alias("spot"))
     return chain.with_spot(tables.definitions(spark, d), spots).select(
-        "instrument_id", "market", "strike", "expiry", r6(F.col("spot")).alias("spot")
+        "instrument_id", "market", "strike", "expiry", "spot"
     )
 
 

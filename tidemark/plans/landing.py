@@ -55,14 +55,14 @@ def a1(spark, d):
 
 @query(
     "a2_lake_scan",
-    """SELECT market, ts AS ts_event, round(close, 6) AS close, volume FROM v_bars
+    """SELECT market, ts AS ts_event, close, volume FROM v_bars
        WHERE market = 'PROMO' AND strftime(date_trunc('quarter', ts), '%Y%m') BETWEEN '199611' AND '199802'""",
 )
 def a2(spark, d):
     root = scratch(spark, "lake")
     lake.append(canonical_bars(spark, d), root, "futures", F.date_trunc("quarter", F.col("ts_event")))
     found = lake.scan(spark, root, "futures", "PROMO", date(1996, 11, 20), date(1998, 2, 1))
-    return found.select("market", "ts_event", r6(F.col("close")).alias("close"), "volume")
+    return found.select("market", "ts_event", "close", "volume")
 
 
 @query(
@@ -81,7 +81,7 @@ def store(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "a4_bars_normalize",
-    """SELECT market, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close,
+    """SELECT market, open, high, low, close,
               volume, CASE WHEN market < 'M' THEN market || '.FUT' ELSE market END AS symbol, ts AS ts_event
        FROM v_bars""",
 )
@@ -92,7 +92,7 @@ def a4(spark, d):
     )
     broker = bars.where(F.col("market") >= "M").withColumn("date", F.date_format("ts", "yyyyMMdd")).drop("ts")
     both = vendor.exchange_bars(exchange).unionByName(vendor.broker_bars(broker), allowMissingColumns=True)
-    return both.select("market", *[r6(F.col(c)).alias(c) for c in ("open", "high", "low", "close")], "volume", "symbol", "ts_event")
+    return both.select("market", "open", "high", "low", "close", "volume", "symbol", "ts_event")
 
 
 # segments stand for the first contracts of the registry; MACHINERY has no registered code
@@ -150,10 +150,10 @@ def a5(spark, d):
 @query(
     "a6_close_features",
     """SELECT market, 'futures_close_' || market AS feature_name, ts AS as_of, ts AS available_at,
-              round(close, 6) AS value, 'normal' AS quality FROM v_bars""",
+              close AS value, 'normal' AS quality FROM v_bars""",
 )
 def a6(spark, d):
-    return features.close_features(canonical_bars(spark, d)).withColumn("value", r6(F.col("value")))
+    return features.close_features(canonical_bars(spark, d))
 
 
 def reports(spark: SparkSession, d: str) -> DataFrame:
@@ -172,7 +172,7 @@ def a7(spark, d):
 @query(
     "a8_fills_append",
     """SELECT row_number() OVER (ORDER BY timestamp, order_id, l_linenumber, l_partkey, l_suppkey) AS id,
-              timestamp, symbol, order_id, direction, n_contracts, round(fill_price, 6) AS fill_price FROM v_fills""",
+              timestamp, symbol, order_id, direction, n_contracts, fill_price FROM v_fills""",
 )
 def a8(spark, d):
     root = scratch(spark, "fills")
@@ -180,7 +180,7 @@ def a8(spark, d):
     journals.append_rows(rows, root)
     stored = spark.read.schema(rows.schema).parquet(root)
     return journals.with_fill_ids(stored, tables.FILL_ORDER).select(
-        "id", "timestamp", "symbol", "order_id", "direction", "n_contracts", r6(F.col("fill_price")).alias("fill_price")
+        "id", "timestamp", "symbol", "order_id", "direction", "n_contracts", "fill_price"
     )
 
 
@@ -242,7 +242,7 @@ def a11(spark, d):
 @query(
     "a12_history_backfill",
     """SELECT market, 'futures_close_' || market AS feature_name, ts AS as_of, ts AS available_at,
-              round(close, 6) AS value, 'normal' AS quality
+              close AS value, 'normal' AS quality
        FROM v_bars WHERE ts BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1998-12-31'""",
 )
 def a12(spark, d):
@@ -251,7 +251,7 @@ def a12(spark, d):
     bars = canonical_bars(spark, d)
     args = ("ts_event", "1997-01-01", "1998-12-31", validate.BAR_RULES, root, features.close_features)
     ingest.backfill(bars, *args)
-    return ingest.backfill(bars, *args).withColumn("value", r6(F.col("value")))
+    return ingest.backfill(bars, *args)
 
 
 @query(
