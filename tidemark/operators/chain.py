@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark import config
 from tidemark.functions import quotes as q
+from tidemark.operators.ordered import checked_broadcast
+from tidemark.session import durable
 
 SLICE = ["market", "as_of", "expiry"]
 
@@ -144,8 +146,11 @@ def contract_grid(expiries: DataFrame, strikes: DataFrame) -> DataFrame:
 
 
 def with_spot(df: DataFrame, spots: DataFrame) -> DataFrame:
-    """Latest visible close per market; chains without a positive spot are dropped."""
-    return df.join(spots.where(F.col("spot") > 0), "market")
+    """Latest visible close per market; chains without a positive spot are dropped.
+
+    ``spots`` has one row per market and is counted before it is broadcast.
+    """
+    return df.join(checked_broadcast(durable(spots.where(F.col("spot") > 0))), "market")
 
 
 def oi_summary(df: DataFrame, keys: list[str], min_oi: float = config.MIN_OI) -> DataFrame:

@@ -11,8 +11,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import calendar_cell
+from tidemark.operators.ordered import calendar_cell, checked_broadcast
 from tidemark.operators.returns import binary_target
+from tidemark.session import durable
 
 # --- fixed values: classifier defaults
 DEFAULTS = {
@@ -24,7 +25,7 @@ DEFAULTS = {
     "featureSubsetStrategy": "0.8",
     "seed": 42,
 }
-MIN_PRICES, MIN_TARGETS = 50, 30
+MIN_PRICES, MIN_TARGETS, HORIZON = 50, 30, 5
 
 
 def _with_indicators(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -76,14 +77,14 @@ def training_set(prices: DataFrame, matrix: DataFrame, cell: Column | None = Non
 
     Markets with fewer than fifty prices or thirty targets are left out.
     """
-    labelled = binary_target(prices, calendar_cell("ts", "year") if cell is None else cell)
-    sizes = labelled.groupBy("market").agg(
-        F.count(F.lit(1)).alias("_prices"), F.count("target").alias("_targets")
-    ).where((F.col("_prices") >= MIN_PRICES) & (F.col("_targets") >= MIN_TARGETS))
+    labelled = binary_target(prices, calendar_cell("ts", "year") if cell is None else cell, HORIZON)
+    # the last bars have no target, so targets follow from prices and one count decides
+    sizes = prices.groupBy("market").agg(F.count(F.lit(1)).alias("_prices"))
+    enough = durable(sizes.where(F.col("_prices") >= max(MIN_PRICES, MIN_TARGETS + HORIZON)).select("market"))
     return (
         labelled.where(F.col("target").isNotNull())
         .join(matrix, ["market", "ts"])
-        .join(sizes.select("market"), "market", "left_semi")
+        .join(checked_broadcast(enough), "market", "left_semi")
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import config
 from tidemark.operators import chain, density, flows
 from tidemark.operators.chain import SLICE
+from tidemark.operators.ordered import checked_broadcast
 from tidemark.session import durable
 
 MOMENTS = ["implied_mean", "implied_variance", "implied_skew", "implied_kurtosis", "atm_iv"]
@@ -29,7 +30,8 @@ def option_features(
     the loose liquidity rule, flows the strict one; each keeps its own quality.
     """
     quotes = quotes.where(F.col("strike") > 0)  # missing definitions carry strike 0
-    front = chain.front_expiry(quotes)
+    # one row per market and date: counted, then broadcast, so the quotes are not shuffled here
+    front = checked_broadcast(durable(chain.front_expiry(quotes)), 200_000)
     in_front = quotes.join(front, SLICE, "left_semi")
     pairs = chain.pair_sides(chain.best_quotes(in_front, seq))
     priced = chain.with_spot(pairs, spots)

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import config
-from tidemark.operators.ordered import framed, index_rows, running, running_sums
+from tidemark.operators.ordered import attach, checked_broadcast, framed, index_rows, running, running_sums
+from tidemark.session import durable
 
 DEFAULT_VOL = 0.02
 
@@ -98,8 +99,9 @@ def folds(
     """
     keys = list(keys)
     numbered = index_rows(bars, keys, order, cell, "row_idx")
-    sizes = bars.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    sized = numbered.join(sizes, keys)
+    # one row per key: meets the rows by broadcast, so no key is gathered in one task
+    sizes = durable(bars.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    sized = attach(numbered, checked_broadcast(sizes), keys)
     fold = F.col("fold")
     train_end = F.lit(min_train) + fold * test_size
     test_start = train_end + embargo

@@ -4,7 +4,7 @@ State per metric is a handful of numbers, kept by Spark's state store, so a
 restarted or moved task resumes where the last committed batch ended.  Rows of
 a key arrive in no promised order inside a micro-batch; they are put in
 (ts, event_id) order before folding.  Bound a micro-batch with
-``maxFilesPerTrigger`` / ``maxBytesPerTrigger`` at the source.
+``maxBytesPerTrigger`` at the source (see ``ingest.read_landing``).
 """
 
 from __future__ import annotations

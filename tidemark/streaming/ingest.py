@@ -19,10 +19,13 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def read_landing(
-    spark: SparkSession, path: str, schema: T.StructType, files: str = "*.parquet", max_files: int = 1000
+    spark: SparkSession, path: str, schema: T.StructType, files: str = "*.parquet", max_bytes: int = 1 << 30
 ) -> DataFrame:
-    """Stream over a landing folder; ``files`` selects by name, ``max_files`` bounds a micro-batch."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).option("pathGlobFilter", files)
+    """Stream over a landing folder; ``files`` selects by name, ``max_bytes`` bounds a micro-batch.
+
+    A keyed detector holds one key's rows of one micro-batch, so this is its memory bound too.
+    """
+    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes).option("pathGlobFilter", files)
     return reader.parquet(path)
 
 
