@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import config
 from tidemark.functions import quotes as q
 from tidemark.operators.ordered import checked_broadcast
-from tidemark.session import durable
+from tidemark.session import durable, task_count
 
 SLICE = ["market", "as_of", "expiry"]
 
@@ -98,8 +98,10 @@ def pair_sides(best: DataFrame, min_strikes: int = 3) -> DataFrame:
         .withColumn("spread", F.least("call_spread", "put_spread"))
         .drop("_calls", "_puts", "call_spread", "put_spread")
     )
-    # one row per strike is left, so a slice is a few hundred rows at most
-    counted = paired.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*SLICE)))
+    # One row per strike is left, so a slice is a few hundred rows at most.  The
+    # volatility inversion that usually follows is heavy: the task count is explicit.
+    clustered = paired.repartition(task_count(paired), *SLICE)
+    counted = clustered.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*SLICE)))
     return counted.where(F.col("_n") >= min_strikes).drop("_n")
 
 

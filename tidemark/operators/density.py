@@ -1,8 +1,8 @@
 """Implied volatility slices -> SVI fit -> implied density -> moments.
 
 Everything is keyed by slice = (market, as_of, expiry).  Quotes are grouped by
-slice once; the fit, the grid explosion and the derivative windows that follow
-all use the same clustering, so the plan has no further exchange.
+slice once.  Grids are exploded from slices already clustered by key, so the
+derivative windows and the moments need no exchange of grid rows.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from tidemark import config
 from tidemark.functions.black76 import call_iv, put_iv, with_call_price
 from tidemark.operators.chain import SLICE, liquid
+from tidemark.session import durable, task_count
 
 # --- fixed values: calibration grid and bounds
 GRID_M = np.linspace(-1.0, 1.0, 41)
@@ -48,7 +49,10 @@ def slices(
     """
     ok = liquid(F.col("combined_oi"), F.col("spread"), min_oi, max_spread)
     valid = ok & (F.col("call_iv") > 0)
-    grouped = ivs.groupBy(*SLICE, "spot", "rate", "t").agg(
+    # the fit that follows is heavy per slice and light in bytes
+    clustered = ivs.repartition(task_count(ivs), *SLICE)
+    grouped = clustered.groupBy(*SLICE).agg(
+        *[F.first(c).alias(c) for c in ("spot", "rate", "t")],  # constant within a slice
         F.count_if(ok).alias("_liquid"),
         F.count_if(valid).alias("_valid"),
         F.min_by("call_iv", F.struct(F.abs(F.col("strike") - F.col("spot")), F.col("strike"))).alias("atm_iv"),
@@ -165,12 +169,17 @@ def second_derivative(df: DataFrame, value: str, out: str, keys: list[str], poin
     return _gradient(first, "_g1", out, keys, points - 1).drop("_g1")
 
 
+def _clustered(slices_: DataFrame) -> DataFrame:
+    """Spread slices while they are one row each; the grid windows then need no exchange."""
+    return slices_.repartition(task_count(slices_), *SLICE)
+
+
 def butterfly(fitted: DataFrame, points: int = config.ARBITRAGE_GRID) -> DataFrame:
     """Any concave stretch of fitted total variance on [k_min - 0.5, k_max + 0.5]."""
     low = F.array_min("ks") - 0.5
     high = F.array_max("ks") + 0.5
     grid = (
-        fitted.where(F.col("svi.a").isNotNull())
+        _clustered(fitted.where(F.col("svi.a").isNotNull()))
         .select(*SLICE, "svi", low.alias("low"), ((high - low) / (points - 1)).alias("h"))
         .withColumn("grid_i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
         .withColumn("w", svi_variance(F.col("low") + F.col("h") * F.col("grid_i")))
@@ -183,7 +192,7 @@ def density(fitted: DataFrame, points: int = config.DENSITY_GRID) -> DataFrame:
     """H7, second half: normalised density on the strike grid of every full slice."""
     margin = (F.col("k_high") - F.col("k_low")) * 0.05
     grid = (
-        fitted.where((F.col("quality") == "full") & F.col("svi.a").isNotNull())
+        _clustered(fitted.where((F.col("quality") == "full") & F.col("svi.a").isNotNull()))
         .withColumn("_low", F.col("k_low") + margin)
         .withColumn("h", (F.col("k_high") - margin - F.col("_low")) / (points - 1))
         .select(*SLICE, "spot", "rate", "t", "svi", "_low", "h")
@@ -245,7 +254,11 @@ def moments(grid: DataFrame) -> DataFrame:
 
 
 def implied_moments(fitted: DataFrame) -> DataFrame:
-    """H7 + D3 for every slice: degraded slices keep their ATM volatility and null moments."""
+    """H7 + D3 for every slice: degraded slices keep their ATM volatility and null moments.
+
+    Fitted slices (one row each) are read twice and written once, so the fit runs once.
+    """
+    fitted = durable(fitted)
     found = moments(density(fitted))
     base = fitted.select(*SLICE, "quality", "liquid_strike_count", "atm_iv", F.size("ks").alias("n_points"),
                          F.col("svi.rmse").alias("rmse"))

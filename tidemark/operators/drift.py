@@ -136,6 +136,9 @@ def performance_drift(
     ret: str = "ret",
     p: str = "p",
     actual: str = "actual",
+    sharpe_factor: float = config.SHARPE_DEGRADATION,
+    drawdown_limit: float = config.DRAWDOWN_ALERT,
+    hit_rate_floor: float = config.HIT_RATE_FLOOR,
 ) -> DataFrame:
     """Metrics and the three degradation flags per model."""
     predicted = (F.col(p) >= 0.5).cast("int")
@@ -147,9 +150,9 @@ def performance_drift(
     )
     joined = flat.join(max_drawdown(rows, keys, order, cell, ret), list(keys))
     return (
-        joined.withColumn("sharpe_degraded", F.col("sharpe_ratio") < baseline_sharpe * config.SHARPE_DEGRADATION)
-        .withColumn("drawdown_alert", F.col("max_drawdown") < config.DRAWDOWN_ALERT)
-        .withColumn("hit_rate_degraded", F.col("hit_rate") < config.HIT_RATE_FLOOR)
+        joined.withColumn("sharpe_degraded", F.col("sharpe_ratio") < baseline_sharpe * sharpe_factor)
+        .withColumn("drawdown_alert", F.col("max_drawdown") < drawdown_limit)
+        .withColumn("hit_rate_degraded", F.col("hit_rate") < hit_rate_floor)
     )
 
 

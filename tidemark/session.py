@@ -43,6 +43,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     return named or context.getCheckpointDir()
 
 
+def task_count(df: DataFrame) -> int:
+    """Partitions for work that costs much more processor time than bytes.
+
+    Adaptive execution merges small partitions by size, which would put such
+    work in a few tasks; an explicit count is left alone.
+    """
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage through reliable storage, so a lost executor cannot change the result.
 
