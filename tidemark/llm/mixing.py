@@ -36,7 +36,7 @@ def token_weight(text: Column) -> Column:
 
 
 def rake(
-    cells: DataFrame, dims: Sequence[str], targets: Mapping[str, DataFrame] | None = None, power: float = 0.5,
+    cells: DataFrame, dims: Sequence[str], targets: Mapping[str, DataFrame] | None = None, power: float = 0.7,
     rounds: int = 10,
 ) -> DataFrame:
     """``cells`` (dims, tokens) with the fitted ``weight``: tokens * weight sums to the target share of each value.
@@ -80,7 +80,7 @@ def unit_draw(seed: int, *columns: Column) -> Column:
 
 def mix(
     docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", lang: str = "lang",
-    targets: Mapping[str, DataFrame] | None = None, power: float = 0.5, rounds: int = 10, seed: int = 42,
+    targets: Mapping[str, DataFrame] | None = None, power: float = 0.7, rounds: int = 10, seed: int = 42,
     budget: float | None = None,
 ) -> DataFrame:
     """``docs`` with __source, __lang, __topic, __tokens, __p (probability) and __kept of every row.

@@ -35,7 +35,7 @@ SELECT * FROM r WHERE rank <= 5
 """
 
 
-def mixing(power: float = 0.5, rounds: int = 10, seed: int = 42) -> str:
+def mixing(power: float = 0.7, rounds: int = 10, seed: int = 42) -> str:
     dims = ("source", "lang", "topic")
     topic = " ".join(f"WHEN regexp_matches(coalesce(text, ''), '{p}') THEN '{n}'" for n, p in TOPICS)
     parts = [
