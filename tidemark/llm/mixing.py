@@ -16,7 +16,7 @@ WORD = r"[^\x09-\x0D\x20]+"
 TOPICS: Sequence[tuple[str, str]] = (
     ("tabular", r" \| .* \| "),
     ("licence", r"(?i)(licen[sc]e|copyright|warrant)"),
-    ("contact", r"([0-9]{3}[) .-]+[0-9]{3}|[A-Za-z0-9_.]+@[A-Za-z0-9]+\.[a-z])"),
+    ("contact", r"([0-9]{3}[) .-]+[0-9]{3}|@[A-Za-z0-9]+\.[a-z])"),
     ("noisy", r"[#$%&*]{3}"),
 )
 REST = "prose"
@@ -81,9 +81,9 @@ def unit_draw(seed: int, *columns: Column) -> Column:
 def mix(
     docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", lang: str = "lang",
     targets: Mapping[str, DataFrame] | None = None, power: float = 0.7, rounds: int = 10, seed: int = 42,
-    budget: float | None = None,
+    budget: float | None = None, carry: bool = True,
 ) -> DataFrame:
-    """``docs`` with __source, __lang, __topic, __tokens, __p (probability) and __kept of every row.
+    """``docs`` (its id alone without ``carry``, for one pass over the texts) with __source, __lang, __topic, __tokens, __p (probability) and __kept of every row.
 
     Weights of the (source, language, topic) cells are raked to the targets.  The largest weight becomes probability 1,
     so expected token shares meet the targets; ``budget`` (tokens) lowers all probabilities together where they would
@@ -99,6 +99,8 @@ def mix(
         "__lang": F.coalesce(F.col(lang).cast("string"), F.lit(NONE)),
         "__topic": topic_of(t), "__tokens": token_weight(t), "__u": unit_draw(seed, F.col(id_col), t),
     })
+    if not carry:
+        rows = durable(rows.select(id_col, "__source", "__lang", "__topic", "__tokens", "__u"))
     dims = ["__source", "__lang", "__topic"]
     cells = durable(rows.groupBy(*dims).agg(F.sum("__tokens").alias("tokens")))
     fitted = durable(rake(cells, dims, targets, power, rounds))
@@ -115,7 +117,7 @@ def mix(
     if known is chances:
         salts = 64
         known = chances.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        rows = rows.withColumn("__salt", F.pmod(F.xxhash64(id_col, text), F.lit(salts)).cast("int"))
+        rows = rows.withColumn("__salt", F.floor(F.col("__u") * salts).cast("int"))
         joined = rows.join(known, [*dims, "__salt"]).drop("__salt")
     else:
         joined = rows.join(known, dims)

@@ -43,7 +43,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    mixed = mix(read(spark, sf_dir, "documents"))
+    mixed = mix(read(spark, sf_dir, "documents"), carry=False)
     return mixed.select(
         "doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"),
         F.col("__tokens").alias("n_tokens"), F.round("__p", 6).alias("probability"), F.col("__kept").alias("kept"),

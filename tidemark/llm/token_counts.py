@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_map, prepare
 
-UNITS, PIECES = 150_000, 400_000  # entries one worker remembers
+UNITS, PIECES = 600_000, 600_000  # entries one worker remembers
 
 
 def byte_symbols() -> list[str]:

@@ -32,7 +32,7 @@ from tidemark.llm.common import arrow_map, prepare, shards, shared_folder, sprea
 MAGIC = b"TKID0001"
 FOOTER = struct.Struct("<QQI8s")
 INDEX = (("has_id", "u1"), ("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u4"), ("n_tokens", "<u8"))
-UNITS, PIECES = 150_000, 400_000  # entries one worker remembers
+UNITS, PIECES = 600_000, 600_000  # entries one worker remembers
 
 
 class Encoder:
@@ -61,7 +61,10 @@ class Encoder:
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
     def _learn(self, units: list[str]) -> None:
-        plain = [u for u in units if self.plain.fullmatch(u) and unicodedata.is_normalized("NFC", u)]
+        plain = [
+            u for u in units
+            if ("<" not in u if u.isascii() else self.plain.fullmatch(u) and unicodedata.is_normalized("NFC", u))
+        ]
         other = list(set(units).difference(plain))
         self.units.update(zip(other, self._encode(other)))
         split = [self.pattern.findall(u.lower()) for u in plain]
