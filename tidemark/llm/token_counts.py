@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import os
 from functools import lru_cache
 
 import numpy as np
@@ -12,35 +10,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_map, prepare
+from tidemark.llm.pretokens import byte_symbols, pretokens
 
-UNITS, PIECES = 600_000, 600_000  # entries one worker remembers
-
-
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies (a fixed, published rule)."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    spare = iter(range(256, 512))
-    return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
+PIECES = 600_000  # pre-tokens one worker remembers
 
 
 class WordMerges:
     """Counts tokens of a word-level byte-pair vocabulary with word ends, as the tokenizers library would.
 
-    Whole texts are cut at white space (no pre-token crosses it), units are normalised and split into pre-tokens, and
-    the pre-tokens not seen before are merged together as one ragged array.
+    Whole texts are cut into pre-tokens, and those not seen before are merged together as one ragged array.
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        spec = json.load(open(path, encoding="utf-8"))
-        model = spec["model"]
-        self.library = Tokenizer.from_file(path)
-        self.specials = [t["content"] for t in spec["added_tokens"]]
-        self.special = regex.compile("|".join(regex.escape(s) for s in self.specials)) if self.specials else None
-        parts = spec["pre_tokenizer"]["pretokenizers"]
-        self.pattern = regex.compile(next(p["pattern"]["Regex"] for p in parts if p["type"] == "Split"))
+        self.pre = pretokens(path)
+        model = self.pre.spec["model"]
+        specials = "|".join(regex.escape(s) for s in self.pre.specials)
+        self.special = regex.compile(specials) if specials else None
         vocab, end = model["vocab"], model["end_of_word_suffix"] or ""
         symbols = byte_symbols()
         self.inner = np.array([vocab[s] for s in symbols], np.int64)
@@ -52,7 +37,6 @@ class WordMerges:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made
         self.none = len(keys)
-        self.units: dict[str, int] = {}
         self.pieces: dict[str, int] = {}
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -96,46 +80,25 @@ class WordMerges:
             ids, word = ids[keep], word[keep]
         return left
 
-    def _split(self, units: list[str]) -> list[list[str]]:
-        normal = self.library.normalizer.normalize_str("\n".join(units)).split(" ")
-        if len(normal) != len(units):  # a unit changed its white space: one at a time
-            normal = [self.library.normalizer.normalize_str(u) for u in units]
-        return [self.pattern.findall(n) for n in normal]
-
-    def _learn(self, units: list[str]) -> None:
-        plain = [u for u in units if not (self.special and self.special.search(u))]
-        for unit in set(units) - set(plain):
-            rest = [p for p in self.special.split(unit) if p]
-            self._learn([p for p in rest if p not in self.units])
-            self.units[unit] = len(self.special.findall(unit)) + sum(self.units[p] for p in rest)
-        if not plain:
-            return
-        split = self._split(plain)
+    def _cut(self, text: str) -> tuple[int, list[str]]:
+        """Special strings in a text, and the pre-tokens of what stands between them."""
+        found = self.pre.cut(text)
+        if found is not None:
+            return 0, found
+        parts = self.special.split(text) if self.special else [text]
+        normal = [self.pre.library.normalizer.normalize_str(p) for p in parts if p]
+        return len(parts) - 1, [t for p in normal for t in self.pre.pattern.findall(p)]
+
+    def count(self, texts: list[str]) -> list[int]:
+        cut = [self._cut(t) for t in texts]
+        words = set().union(*(w for _, w in cut))
         if len(self.pieces) > PIECES:
             self.pieces.clear()
-        new = list({p for s in split for p in s} - self.pieces.keys())
+        new = list(words - self.pieces.keys())
         if new:
             self.pieces.update(zip(new, self.merge([p.encode("utf-8") for p in new]).tolist()))
         get = self.pieces.__getitem__
-        self.units.update((u, sum(map(get, s))) for u, s in zip(plain, split))
-
-    def count(self, texts: list[str]) -> list[int]:
-        cut = [_units(t) for t in texts]
-        new = list(set().union(*cut) - self.units.keys()) if cut else []
-        if len(self.units) + len(new) > UNITS:
-            self.units.clear()
-            new = list(set().union(*cut))
-        if new:
-            self._learn(new)
-        get = self.units.__getitem__
-        return [sum(map(get, u)) for u in cut]
-
-
-def _units(text: str) -> list[str]:
-    # str.split also cuts at the four separators below, which are not white space to the vocabularies' patterns
-    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return [u for u in regex.split(r"\p{White_Space}+", text) if u]
-    return text.split()
+        return [n + sum(map(get, w)) for n, w in cut]
 
 
 @lru_cache(maxsize=2)
@@ -150,7 +113,7 @@ def count_tokens(
 
     Null texts count as empty: no bytes and no tokens.  Special strings inside a text count one token each, the
     library's default.  Null ids and repeated rows are kept as they are; other columns are not read.  One pass, no
-    shuffle; a worker remembers a bounded number of units, so very long texts and vocabularies only cost time.
+    shuffle; a worker remembers a bounded number of pre-tokens, so very long texts and vocabularies only cost time.
     """
     prepare(docs.sparkSession)
 

@@ -13,82 +13,54 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import struct
-import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_map, prepare, shards, shared_folder, spread, storage, write_file
+from tidemark.llm.pretokens import byte_symbols, pretokens
 
 MAGIC = b"TKID0001"
 FOOTER = struct.Struct("<QQI8s")
 INDEX = (("has_id", "u1"), ("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u4"), ("n_tokens", "<u8"))
-UNITS, PIECES = 600_000, 600_000  # entries one worker remembers
+PIECES = 400_000  # pre-tokens one worker remembers
 
 
 class Encoder:
-    """Token ids of whole texts from the tokenizers library, which encodes every distinct pre-token once.
+    """Token ids of whole texts from the tokenizers library, whose model sees every distinct pre-token once.
 
-    Pre-tokens never cross white space, so a text is cut there first.  Units outside the plain range below are given
-    to the library whole.
+    Texts that ``PreTokens.cut`` does not take are given to the library whole.
     """
 
     def __init__(self, path: str, dtype: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        spec = json.load(open(path, encoding="utf-8"))
-        parts = spec["pre_tokenizer"]["pretokenizers"]
-        self.pattern = regex.compile(next(p["pattern"]["Regex"] for p in parts if p["type"] == "Split"))
-        self.library = Tokenizer.from_file(path)
-        self.dtype = dtype
-        # letters whose lower case does not depend on their neighbours, and no marks of special strings
-        self.plain = regex.compile(r"[!-;=?-~¡-¬®-įĲ-˿]+")
-        self.units: dict[str, bytes] = {}
+        self.pre, self.dtype = pretokens(path), dtype
+        self.model = self.pre.library.model
+        self.symbols = byte_symbols()
         self.pieces: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else "".join(map(self.symbols.__getitem__, piece.encode("utf-8")))
+        return np.array([t.id for t in self.model.tokenize(shown)], self.dtype).tobytes()
 
-    def _learn(self, units: list[str]) -> None:
-        plain = [
-            u for u in units
-            if ("<" not in u if u.isascii() else self.plain.fullmatch(u) and unicodedata.is_normalized("NFC", u))
-        ]
-        other = list(set(units).difference(plain))
-        self.units.update(zip(other, self._encode(other)))
-        split = [self.pattern.findall(u.lower()) for u in plain]
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        cut = [self.pre.cut(t) for t in texts]
         if len(self.pieces) > PIECES:
             self.pieces.clear()
-        new = list({p for s in split for p in s} - self.pieces.keys())
-        self.pieces.update(zip(new, self._encode(new)))
+        for piece in set().union(*(c for c in cut if c)) - self.pieces.keys():
+            self.pieces[piece] = self._piece(piece)
+        other = [t for t, c in zip(texts, cut) if c is None]
+        whole = iter(self.pre.library.encode_batch_fast(other, add_special_tokens=False) if other else ())
         get = self.pieces.__getitem__
-        self.units.update((u, b"".join(map(get, s))) for u, s in zip(plain, split))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [
-            t.split() if not any(c in t for c in "\x1c\x1d\x1e\x1f")
-            else [u for u in regex.split(r"\p{White_Space}+", t) if u]
-            for t in texts
+        return [
+            np.array(next(whole).ids, self.dtype).tobytes() if c is None else b"".join(map(get, c)) for c in cut
         ]
-        new = set().union(*cut) - self.units.keys() if cut else set()
-        if len(self.units) + len(new) > UNITS:
-            self.units.clear()
-            new = set().union(*cut)
-        if new:
-            self._learn(list(new))
-        get = self.units.__getitem__
-        return [b"".join(map(get, u)) for u in cut]
 
 
 @lru_cache(maxsize=2)
