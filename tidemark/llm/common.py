@@ -67,7 +67,7 @@ def checked_broadcast(df: DataFrame, limit: int, size: int | Column) -> DataFram
 
 
 def shards(df: DataFrame, key: str, size: Column, target: int = 64 << 20, least: int = 64, per_shard: int = 64):
-    """Number of shards and the function key -> shard for a range-sorted layout.
+    """Number of shards and the function key -> shard (plain Python) for a range-sorted layout.
 
     The bounds depend on the rows alone, not on partitions or attempts: they are quantiles of the keys
     whose hash falls below a threshold, about ``per_shard`` keys per shard.  Null keys go to shard 0.
@@ -79,8 +79,7 @@ def shards(df: DataFrame, key: str, size: Column, target: int = 64 << 20, least:
     sample = sorted(r[0] for r in drawn.select(key).collect())
     bounds = [sample[len(sample) * i // count] for i in range(1, count)] if sample else []
 
-    @F.udf(returnType="int", useArrow=True)
-    def shard_of(value):
+    def shard_of(value: int | None) -> int:
         return 0 if value is None else bisect_right(bounds, value)
 
     return count, shard_of

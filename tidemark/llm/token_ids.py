@@ -74,8 +74,11 @@ def id_type(path: str) -> str:
     return "<u2" if top < 1 << 16 else "<u4"
 
 
-def encode(docs: DataFrame, path: str, text: str, id_col: str, end_id: int) -> DataFrame:
-    """(doc_id, ids, size): serialised ids of every whole text, the end id last."""
+def encode(docs: DataFrame, path: str, text: str, id_col: str, end_id: int, shard_of=lambda doc_id: 0) -> DataFrame:
+    """(doc_id, ids, shard): serialised ids of every whole text, the end id last.
+
+    One Python step does both, since a second one would double the workers that hold a cache.
+    """
     prepare(docs.sparkSession)
     dtype = id_type(path)
     end = np.array([end_id], dtype).tobytes()
@@ -85,10 +88,10 @@ def encode(docs: DataFrame, path: str, text: str, id_col: str, end_id: int) -> D
         found = []
         for i in range(0, len(texts), 250):
             found += [b + end for b in encoder(path, dtype)(texts[i : i + 250])]
-        return {"doc_id": cols["doc_id"], "ids": found}
+        return {"doc_id": cols["doc_id"], "ids": found, "shard": [shard_of(d) for d in cols["doc_id"].to_pylist()]}
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return arrow_map(rows, work, "doc_id long, ids binary")
+    return arrow_map(rows, work, "doc_id long, ids binary, shard int")
 
 
 def train_dictionary(
@@ -185,7 +188,7 @@ def write_token_files(
     write_file(f"{folder}/dictionary", dictionary)
     width = int(id_type(path)[-1])
     count, shard_of = shards(docs, id_col, F.octet_length(text), shard_bytes)
-    rows = encode(docs, path, text, id_col, end_id).withColumn("shard", shard_of("doc_id"))
+    rows = encode(docs, path, text, id_col, end_id, shard_of)
     dealt = rows.repartitionById(count, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "ids")
 
     def write(batches: Iterator[pa.RecordBatch]):

@@ -138,7 +138,7 @@ def write_warc(
         .where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
     )
     count, shard_of = shards(pages, id_col, F.octet_length(html), shard_bytes)
-    kept = rows.withColumn("shard", shard_of("page_id"))
+    kept = rows.withColumn("shard", F.udf(shard_of, "int", useArrow=True)("page_id"))
     # few revisits are broadcast, so the html moves once; beyond 16 MB both sides are shuffled by page
     marked = kept.join(checked_broadcast(revisits, 16 << 20, 96), ["page_id", "digest"], "left").select(
         "page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "digest", "size",
