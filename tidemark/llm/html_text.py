@@ -224,7 +224,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield held
 
 
-def unique_runs(blocks_: DataFrame, depth: int = 8, chunk_tokens: int = 200_000) -> DataFrame:
+def unique_runs(blocks_: DataFrame, depth: int = 8, chunk_tokens: int = 32_768) -> DataFrame:
     """(uid, text): the loose text of each page that its host repeats nowhere, runs in page order.
 
     ``blocks_`` has (uid, key, host, place, kind, text).  ``uid`` is a page, ``key`` its article: pages with one key are
@@ -314,7 +314,7 @@ def _key(found: list[tuple[int, str]]) -> int:
 
 def main_text(
     pages: DataFrame, html: str = "html", url: str = "url", id_col: str = "page_id", depth: int = 8,
-    chunk_tokens: int = 200_000,
+    chunk_tokens: int = 32_768,
 ) -> DataFrame:
     """(page_id, url, text, n_chars): the main text of every page.
 

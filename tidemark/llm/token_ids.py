@@ -103,7 +103,9 @@ def train_dictionary(
     The bound is the parameter ``samples``; a dictionary learns from a bounded sample by nature.  ``prefix`` bounds
     the bytes taken of one sample.  Too few samples to train on give an empty dictionary: plain frames.
     """
-    drawn = docs.select(id_col, text).orderBy(F.xxhash64(F.col(id_col)), F.xxhash64(F.col(text))).limit(samples)
+    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id")).distinct()
+    few = F.broadcast(ids.orderBy(F.xxhash64("__id"), "__id").limit(samples))  # ``samples`` ids at most
+    drawn = docs.select(id_col, text).join(few, F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col])
     parts = [bytes(r[0])[:prefix] for r in encode(drawn, path, text, id_col, end_id).select("ids").collect()]
     parts = sorted(p for p in parts if len(p) > 8)
     if len(parts) < 16 or sum(map(len, parts)) < 8 * 1024:
