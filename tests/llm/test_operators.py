@@ -234,17 +234,16 @@ def test_language_held_out_and_awkward(spark, awkward, empty, sf):
     assert {r.l.lang_pred for r in awkward.select(langid.language(langid.train(empty)).alias("l")).collect()} == {"und"}
 
 
-def test_mixture_finds_both_languages(spark, sf):
-    source = table(spark, sf.replace("0.001", "0.01"), "documents")
-    model = langid.train(source)
-    words, text = langid._Words(model), {}
-    for g in ("en", "de"):
-        rows = source.where((F.col("lang") == g) & (F.length("text") > 1500)).orderBy("doc_id").limit(20).collect()
-        alone = [r.text for r in rows if langid.infer([r.text], words) == ([g], [1.0])]  # of one language throughout
-        text[g] = alone[0]
-    cut = lambda t, n: " ".join(t.split()[:n])
-    pred, score = langid.infer([cut(text["en"], 140) + " " + cut(text["de"], 60)], words)
-    assert pred == ["en"] and 0.55 < score[0] < 0.85
+def test_mixture_finds_both_languages(spark):
+    rng = np.random.default_rng(4)
+    draw = lambda letters, n: " ".join("".join(rng.choice(list(letters), 6)) for _ in range(n))
+    alphabets = {"a": "abcdefgh", "b": "mnopqrst", "c": "éèüößñçà"}
+    rows = [(draw(letters, 2000), g) for g, letters in alphabets.items()]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"))
+    texts = [draw(alphabets["a"], 140) + " " + draw(alphabets["b"], 60), draw(alphabets["c"], 50), "123 !", None]
+    pred, score = langid.infer(texts, langid._Words(model))
+    assert pred == ["a", "c", "und", "und"]
+    assert abs(score[0] - 0.7) < 0.02 and score[1] == 1.0 and score[2] == 0.0
 
 
 # ---------------------------------------------------------------- 9 leaks

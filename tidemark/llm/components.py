@@ -12,8 +12,8 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of an edge; root is the smallest node of its component.
 
     ``edges`` has long columns (a, b).  Each round every edge is lifted to its ends' roots, every root takes the
-    smallest root beside it, and labels jump to their label's label.  Both are map-side combined minima, so a hub
-    costs one row per task.  Edges inside one tree are dropped, so the rounds shrink; their number grows with the
+    smallest root beside it (a map-side combined minimum, so a hub costs one row per task), and pointer doubling
+    follows the hooks to their ends.  Edges inside one tree are dropped, so the rounds shrink; their number grows with the
     logarithm of the longest path.  Each round is cut with a checkpoint in the shared folder.
     An empty edge table gives an empty result.
     """
@@ -28,11 +28,15 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if live.isEmpty():
             return labels
         hooks = live.groupBy(F.col("b").alias("child")).agg(F.min("a").alias("parent"))
-        # a chain of hooks is followed twice: parents are smaller, so there is no cycle
-        up = hooks.select(F.col("child").alias("parent"), F.col("parent").alias("grand"))
-        hooks = durable(
-            hooks.join(up, "parent", "left").select("child", F.coalesce("grand", "parent").alias("parent"))
-        )
+        # hooks go to smaller nodes, so they are a forest: double the steps until every hook ends at its root
+        while True:
+            up = hooks.select(F.col("child").alias("parent"), F.col("parent").alias("grand"))
+            jumped = durable(hooks.join(up, "parent", "left").select(
+                "child", F.coalesce("grand", "parent").alias("parent"), F.col("grand").isNotNull().alias("moved")
+            ))
+            hooks = jumped.select("child", "parent")
+            if jumped.where("moved").isEmpty():
+                break
         moved = labels.join(hooks, labels.root == hooks.child, "left")
         labels = durable(moved.select("node", F.coalesce("parent", "root").alias("root")))
         low = hooks.select(F.col("child").alias("a"), F.col("parent").alias("_pa"))

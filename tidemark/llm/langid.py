@@ -107,7 +107,10 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", smoothing: fl
 
 
 class _Words:
-    """Log likelihood of each word under every language, remembered for a bounded number of words."""
+    """Log likelihood of each word under every language, remembered for a bounded number of words.
+
+    Every letter is part of n-grams of each order, so a word's likelihood is the geometric mean over the orders.
+    """
 
     def __init__(self, model: LanguageModel):
         self.model, self.place, self.rows = model, {}, np.empty((0, len(model.langs)), np.float32)
@@ -121,31 +124,36 @@ class _Words:
         grams, owner = _grams(new)
         own = np.zeros((len(new), len(self.model.langs)))
         for i in range(len(self.model.langs)):
-            own[:, i] = np.bincount(owner, self.model.weights[i, grams], len(new))
+            own[:, i] = np.bincount(owner, self.model.weights[i, grams], len(new)) / len(ORDERS)
         start = len(self.rows)
         self.rows = np.concatenate([self.rows, own.astype(np.float32)])
         self.place.update(zip(new, range(start, start + len(new))))
 
 
-def _mixture(ll: np.ndarray, n: np.ndarray, doc: np.ndarray, starts: np.ndarray, allowed: np.ndarray, steps: int):
-    """Expectation-maximisation for many documents at once: proportions and the mixture's log likelihood."""
-    pi = allowed / np.maximum(allowed.sum(axis=1, keepdims=True), 1)
-    top = ll.max(axis=1, keepdims=True)
-    p = np.exp(np.maximum(ll - top, -80.0))
+def _mixture(ll: np.ndarray, n: np.ndarray, doc: np.ndarray, starts: np.ndarray, steps: int):
+    """Expectation-maximisation for many documents at once: proportions and the mixture's log likelihood.
+
+    ``ll`` has one column for each language of the document's own set.
+    """
+    size = ll.shape[1]
+    pi = np.full((len(starts), size), 1.0 / size)
+    top = ll.max(axis=1)
+    p = [np.exp(np.maximum(ll[:, j] - top, -80.0)) for j in range(size)]
     total = np.add.reduceat(n, starts)
-    for _ in range(steps):
-        r = p * pi[doc]
-        s = r.sum(axis=1, keepdims=True)
-        r *= n[:, None] / np.maximum(s, 1e-300)
-        pi = np.add.reduceat(r, starts, axis=0) / total[:, None]
-    s = np.maximum((p * pi[doc]).sum(axis=1), 1e-300)
-    return pi, np.add.reduceat(n * (np.log(s) + top[:, 0]), starts)
+    for step in range(steps + 1):
+        r = [p[j] * pi[doc, j] for j in range(size)]
+        s = np.maximum(sum(r), 1e-300)
+        if step == steps:
+            return pi, np.add.reduceat(n * (np.log(s) + top), starts)
+        scale = n / s
+        for j in range(size):
+            pi[:, j] = np.add.reduceat(r[j] * scale, starts) / total
 
 
 def infer(texts: list[str | None], words: _Words, steps: int = 12, penalty: float = 1.0):
     """Language and proportion per text.
 
-    The languages of a document are ordered by their share in the full mixture; the set grows by one language while
+    The languages of a document are ordered by their share after one step of the full mixture; the set grows by one language while
     the log likelihood gains more than ``penalty`` * log(words), and its largest share decides.
     """
     langs = words.model.langs
@@ -161,32 +169,33 @@ def infer(texts: list[str | None], words: _Words, steps: int = 12, penalty: floa
     starts, doc = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(bags)), sizes)
     ll = words.rows[at].astype(np.float64)
     count = len(langs)
-    pi, _ = _mixture(ll, n, doc, starts, np.ones((len(bags), count)), steps)
     single = np.add.reduceat(ll * n[:, None], starts, axis=0)
-    # first language: the best alone; the others by their share in the full mixture, ties to the earlier name
+    # first the language that is best alone; the others by their share after one step, ties to the earlier name
+    first = _mixture(ll, n, doc, starts, 1)[0]
+    every = np.arange(len(bags))
     best = single.argmax(axis=1)
-    pi[np.arange(len(bags)), best] = 2.0
-    order = np.argsort(-pi, axis=1, kind="stable")
-    chosen = np.zeros((len(bags), count))
-    chosen[np.arange(len(bags)), best] = 1.0
-    share, reached = chosen.copy(), single[np.arange(len(bags)), best]
+    first[every, best] = 2.0
+    order = np.argsort(-first, axis=1, kind="stable")
+    share = np.zeros((len(bags), count))
+    share[every, best] = 1.0
+    reached = single[every, best]
     cost = penalty * np.log(np.add.reduceat(n, starts) + 1)
-    open_docs = np.arange(len(bags))
-    for k in range(1, count):
-        mask = np.isin(doc, open_docs)
-        sub_sizes = sizes[open_docs]
-        allowed = chosen[open_docs].copy()
-        allowed[np.arange(len(open_docs)), order[open_docs, k]] = 1.0
+    open_docs = every
+    for k in range(2, count + 1):
+        mask = np.isin(doc, open_docs) if len(open_docs) < len(bags) else slice(None)
+        own, weight = ll[mask], n[mask]
+        own_sizes = sizes[open_docs]
+        place = np.repeat(every[: len(open_docs)], own_sizes)
+        chosen = order[open_docs, :k]
         found, reach = _mixture(
-            ll[mask], n[mask], np.repeat(np.arange(len(open_docs)), sub_sizes), np.cumsum(sub_sizes) - sub_sizes,
-            allowed, steps,
+            np.take_along_axis(own, chosen[place], axis=1), weight, place, np.cumsum(own_sizes) - own_sizes, steps
         )
         better = reach - reached[open_docs] > cost[open_docs]
         if not better.any():
             break
-        grown = open_docs[better]
-        chosen[grown], share[grown], reached[grown] = allowed[better], found[better], reach[better]
-        open_docs = grown
+        open_docs, found, chosen = open_docs[better], found[better], chosen[better]
+        share[open_docs[:, None], chosen] = found
+        reached[open_docs] = reach[better]
     winner = share.argmax(axis=1)
     for j, i in enumerate(live):
         pred[i], score[i] = langs[winner[j]], min(1.0, float(share[j, winner[j]]))
