@@ -167,3 +167,15 @@ def test_report_status_order(spark):
     chains = spark.createDataFrame([("A", 20, False), ("B", 20, True), ("C", 20, False)], "market string, liquid_strike_count int, has_arbitrage_violation boolean")
     got = {r["market"]: r["overall_status"] for r in quality.quality_report(stale, chains).collect()}
     assert got == {"A": "stale", "B": "degraded", "C": "healthy", "D": "degraded"}
+
+
+def test_nulls_are_quarantined(spark):
+    from tidemark.operators.validate import split, summary
+
+    rules = {"close<=0": "close <= 0", "volume<0": "volume < 0"}
+    df = spark.createDataFrame([("m", 1.0, 5.0), ("m", None, 5.0), ("m", -1.0, None)], "market string, close double, volume double")
+    clean, bad = split(df, rules)
+    assert [tuple(r) for r in clean.collect()] == [("m", 1.0, 5.0)]
+    assert sorted(map(tuple, (r.reasons for r in bad.collect()))) == [("close<=0", "null: volume<0"), ("null: close<=0",)]
+    row = summary(df, rules, ["market"]).first()
+    assert (row.n_rows, row.n_valid, row.n_dropped) == (3, 1, 2)

@@ -34,8 +34,14 @@ COT_RULES = {
 
 
 def with_reasons(df: DataFrame, rules: dict[str, str]) -> DataFrame:
-    """Adds ``reasons``: names of the broken rules, in rule order."""
-    flags = [F.when(F.expr(rule), F.lit(name)) for name, rule in rules.items()]
+    """Adds ``reasons``: names of the broken rules, in rule order.
+
+    A row is valid only where every rule is known to hold: a rule that a null leaves undecided is a reason of its own.
+    """
+    flags = [
+        F.when(F.expr(rule), F.lit(name)).when(F.expr(rule).isNull(), F.lit(f"null: {name}"))
+        for name, rule in rules.items()
+    ]
     return df.withColumn("reasons", F.array_compact(F.array(*flags)))
 
 
@@ -49,9 +55,9 @@ def split(df: DataFrame, rules: dict[str, str]) -> tuple[DataFrame, DataFrame]:
 def summary(df: DataFrame, rules: dict[str, str], keys: list[str]) -> DataFrame:
     """Rows seen, kept and dropped per key, with a count per rule, in one pass."""
     broken = [F.expr(rule) for rule in rules.values()]
-    bad: Column = F.coalesce(broken[0], F.lit(False))
+    bad: Column = F.coalesce(broken[0], F.lit(True))
     for b in broken[1:]:
-        bad = bad | F.coalesce(b, F.lit(False))
+        bad = bad | F.coalesce(b, F.lit(True))
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(~bad).alias("n_valid"),
