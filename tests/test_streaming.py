@@ -28,13 +28,13 @@ def shifted(spark):
     return rows, df, path
 
 
-def stream(spark, path):
-    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+def stream(spark, path, **options):
+    return spark.readStream.schema(SCHEMA).options(**(options or {"maxFilesPerTrigger": 1})).parquet(f"{path}/*")
 
 
 def test_stream_equals_batch_cusum(spark, shifted):
     _, df, path = shifted
-    got = ingest.run_to_table(detectors.cusum_stream(stream(spark, path)), "t-cusum").orderBy("metric", "event_id").toPandas()
+    got = detectors.cusum_stream(stream(spark, path), ingest.scratch(spark, "t-cusum")).orderBy("metric", "event_id").toPandas()
     want = drift.cusum(df, ["metric"], ["ts", "event_id"], calendar_cell("ts", "hour")).orderBy("metric", "event_id").toPandas()
     assert len(got) == len(want) == 1200
     np.testing.assert_allclose(got.s_pos, want.s_pos, atol=1e-9)
@@ -42,9 +42,49 @@ def test_stream_equals_batch_cusum(spark, shifted):
     assert got.cusum_alert.tolist() == want.alert.tolist() and got.s_pos.max() > 5
 
 
+def test_file_order_and_batch_size_do_not_matter(spark, shifted):
+    _, df, path = shifted
+    mixed = ingest.scratch(spark, "t-mixed")
+    for k in (2, 0, 3, 1):  # rows dealt out across files, landed out of order
+        df.where(F.pmod(F.xxhash64("event_id"), F.lit(4)) == k).coalesce(1).write.mode("append").parquet(f"{mixed}/{k}")
+    tables = [
+        detectors.metric_alerts(stream(spark, p, maxBytesPerTrigger=size), ingest.scratch(spark, "t-size")).orderBy("metric", "event_id").toPandas()
+        for p, size in ((path, 1 << 30), (mixed, 1), (mixed, 1 << 30))
+    ]
+    for other in tables[1:]:
+        assert other.equals(tables[0])
+
+
+def test_detectors_go_on_hold_back_and_put_late_rows_aside(spark, shifted):
+    rows, df, path = shifted
+    whole = detectors.metric_alerts(stream(spark, path), ingest.scratch(spark, "t-whole")).orderBy("metric", "event_id").toPandas()
+    land, root = ingest.scratch(spark, "t-parts"), ingest.scratch(spark, "t-going")
+    late = (df["metric"] == "calm") & (df["event_id"] == 10)
+    df.where((df["event_id"] < 400) & ~late).write.parquet(f"{land}/a")
+    first = detectors.metric_alerts(stream(spark, land), root, until=rows[299][1])
+    assert first.count() == 599 and detectors.late_rows(spark, root).count() == 0
+    df.where((df["event_id"] >= 400) | late).write.parquet(f"{land}/b")
+    for _ in range(2):  # the second call finds nothing new
+        got = detectors.metric_alerts(stream(spark, land), root)
+        assert got.count() == 1199 and [r["event_id"] for r in detectors.late_rows(spark, root).collect()] == [10]
+    jump = got.where("metric = 'jump'").orderBy("event_id").toPandas()
+    assert jump.equals(whole[whole.metric == "jump"].reset_index(drop=True))
+
+
+def test_reset_starts_anew(spark):
+    row = lambda i, x: ("m", datetime(2026, 1, 1) + timedelta(minutes=i), i, x)
+    land, root = ingest.scratch(spark, "t-reset-land"), ingest.scratch(spark, "t-reset")
+    spark.createDataFrame([row(i, 2.0) for i in range(10)], SCHEMA).write.parquet(f"{land}/a")
+    assert detectors.cusum_stream(stream(spark, land), root).where("cusum_alert").count() > 0
+    detectors.reset(spark, root, ["m"])
+    spark.createDataFrame([row(10, 0.0), row(11, None)], SCHEMA).write.parquet(f"{land}/b")
+    got = detectors.cusum_stream(stream(spark, land), root).orderBy("event_id").collect()
+    assert len(got) == 12 and all(r["s_pos"] == 0 and not r["cusum_alert"] for r in got[10:])
+
+
 def test_adwin_sees_the_jump_only(spark, shifted):
     _, _, path = shifted
-    got = ingest.run_to_table(detectors.metric_alerts(stream(spark, path)), "t-adwin").toPandas()
+    got = detectors.metric_alerts(stream(spark, path), ingest.scratch(spark, "t-adwin")).toPandas()
     hits = got[got.adwin_alert]
     assert set(hits.metric) == {"jump"} and hits.event_id.min() in range(300, 340)
     last = got[(got.metric == "jump") & (got.event_id == 599)].iloc[0]
@@ -67,21 +107,51 @@ def test_grace_period_holds_back_detection():
     assert not any(window.update(v) for v in [0.0] * 200 + [100.0] * 200)
 
 
-def test_incremental_ingest_is_idempotent(spark):
-    rows = [("A", 1.0, 2.0, 1.0, 1.5, 10, "A", datetime(2026, 1, 1)), ("A", 1.0, 1.0, 2.0, 1.5, 10, "A", datetime(2026, 1, 2))]
-    df = spark.createDataFrame(rows, "market string, open double, high double, low double, close double, volume long, symbol string, ts_event timestamp_ntz")
-    path, root = ingest.scratch(spark, "t-land"), ingest.scratch(spark, "t-out")
-    df.write.parquet(path)
-    ingest.ingest_bars(ingest.read_landing(spark, path, df.schema), root)
-    ingest.ingest_bars(ingest.read_landing(spark, path, df.schema), root)  # a replay of batch 0
-    assert spark.read.parquet(f"{root}/bars/*").count() == 1
-    assert spark.read.parquet(f"{root}/quarantine/*").first()["reasons"] == ["high<low", "close_outside_range"]
-    feature = spark.read.parquet(f"{root}/features/*").first()
+BAR = "market string, open double, high double, low double, close double, volume long, symbol string, ts_event timestamp_ntz"
+
+
+def test_incremental_ingest_keeps_its_position(spark):
+    day = lambda n: spark.createDataFrame([
+        ("A", 1.0, 2.0, 1.0, 1.5, 10, "A", datetime(2026, 1, n)), ("A", 1.0, 1.0, 2.0, 1.5, 10, "A", datetime(2026, 1, n)),
+    ], BAR)
+    path, other, root = (ingest.scratch(spark, n) for n in ("t-land", "t-land-2", "t-out"))
+    day(1).write.parquet(path)
+    schema = day(1).schema
+    counts = lambda: tuple(
+        t.count() for t in (ingest.bars(spark, root, schema), ingest.quarantine(spark, root, schema), ingest.bar_features(spark, root))
+    )
+    assert counts() == (0, 0, 0)
+    for size in (1 << 30, 1):  # a repeated run adds nothing
+        ingest.ingest_bars(ingest.read_landing(spark, path, schema, max_bytes=size), root)
+        assert counts() == (1, 1, 1)
+    assert ingest.quarantine(spark, root, schema).first()["reasons"] == ["high<low", "close_outside_range"]
+    feature = ingest.bar_features(spark, root).first()
     assert (feature["feature_name"], feature["value"]) == ("futures_close_A", 1.5)
+    day(2).write.mode("append").parquet(path)  # the next day, same folder
+    ingest.ingest_bars(ingest.read_landing(spark, path, schema), root)
+    assert counts() == (2, 2, 2)
+    day(3).write.parquet(other)  # another folder into the same target
+    ingest.ingest_bars(ingest.read_landing(spark, other, schema), root, source="other")
+    assert counts() == (3, 3, 3)
 
 
-def test_live_counts_close_windows(spark, shifted):
-    _, _, path = shifted
-    got = ingest.run_to_table(ingest.live_counts(stream(spark, path), "ts", F.col("metric")), "t-counts").toPandas()
-    assert (got.n == 1).all() and got.window_start.max() <= datetime(2026, 1, 1) + timedelta(minutes=599 - 10)
-    assert len(got[got.kind == "calm"]) >= 580
+def test_live_counts_hold_every_row(spark, shifted):
+    _, df, path = shifted
+    want = {(r["ts"], r["metric"], 1) for r in df.collect()}
+    for options in ({"maxBytesPerTrigger": 1}, {"maxBytesPerTrigger": 1 << 30}):
+        root = ingest.scratch(spark, "t-counts")
+        for _ in range(2):  # a second run counts nothing twice
+            got = ingest.live_counts(stream(spark, path, **options), root, "ts", F.col("metric")).collect()
+            assert len(got) == 1200 and {tuple(r) for r in got} == want
+
+
+def test_later_write_wins_even_when_lower(spark):
+    from tidemark.operators import features
+    from tidemark.operators.ingest import backfill
+    from tidemark.operators.validate import BAR_RULES
+
+    root = ingest.scratch(spark, "t-backfill")
+    for close in (10.0, 9.0):
+        bar = spark.createDataFrame([("A", 9.0, 11.0, 8.0, close, 10, "A", datetime(2026, 1, 1))], BAR)
+        got = backfill(bar, "ts_event", "2026-01-01", "2026-01-02", BAR_RULES, root, features.close_features)
+    assert [r["value"] for r in got.collect()] == [9.0]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -25,19 +26,30 @@ def ingest(
 
     Broken rows go to quarantine with their reasons instead of raising.
     """
-    clean, broken = validate.split(raw, rules)
+    checked = validate.with_reasons(raw, rules).withColumn("valid", F.size("reasons") == 0)
+    # a folder per call: the rows are validated once and the sinks read what was written
+    folder = f"{root}/checked/{data_type}/{uuid.uuid4().hex}"
+    checked.write.partitionBy("valid").parquet(folder)
+    rows = raw.sparkSession.read.schema(checked.schema).parquet(folder)
+    clean = rows.where("valid").drop("valid", "reasons")
     lake.append(clean.select("market", *columns), f"{root}/lake", data_type, reference)
-    broken.write.mode("append").parquet(f"{root}/quarantine/{data_type}")
+    rows.where("not valid").drop("valid").write.mode("append").parquet(f"{root}/quarantine/{data_type}")
     to_features(clean).write.mode("append").parquet(f"{root}/features")
 
 
 def backfill(
-    raw: DataFrame, ts: str, start, end, rules: dict[str, str], root: str, to_features: Callable[[DataFrame], DataFrame]
+    raw: DataFrame, ts: str, start, end, rules: dict[str, str], root: str, to_features: Callable[[DataFrame], DataFrame],
+    written_at: Column | None = None,
 ) -> DataFrame:
-    """A11 restricted to a date range; features end up once per key however often it runs."""
+    """A11 restricted to a date range; features end up once per key however often it runs.
+
+    ``written_at`` (the time of the call by default) is stored with every row: the later write of a key wins,
+    whatever its value.  Within one write the later release wins, then the larger value.
+    """
     part = raw.where(F.col(ts).between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
     clean, _ = validate.split(part, rules)
-    rows = to_features(clean)
+    now = F.current_timestamp() if written_at is None else written_at
+    rows = to_features(clean).withColumn("ingested_at", now.cast("timestamp"))
     rows.write.mode("append").parquet(f"{root}/features")
     stored = raw.sparkSession.read.schema(rows.schema).parquet(f"{root}/features")
-    return upsert(stored, F.struct("available_at", "value"))
+    return upsert(stored, F.struct("ingested_at", "available_at", "value")).drop("ingested_at")

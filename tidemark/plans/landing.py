@@ -246,11 +246,11 @@ def a11(spark, d):
        FROM v_bars WHERE ts BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1998-12-31'""",
 )
 def a12(spark, d):
-    """Run twice over the same two years: the result holds each key once."""
+    """Run twice over the same two years, first with closes at the high: the second write lowers them and stays, once per key."""
     root = scratch(spark, "backfill")
     bars = canonical_bars(spark, d)
     args = ("ts_event", "1997-01-01", "1998-12-31", validate.BAR_RULES, root, features.close_features)
-    ingest.backfill(bars, *args)
+    ingest.backfill(bars.withColumn("close", F.col("high")), *args)
     return ingest.backfill(bars, *args)
 
 

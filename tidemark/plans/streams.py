@@ -27,18 +27,18 @@ def metric_stream(spark: SparkSession, d: str) -> DataFrame:
     f"WITH {CUSUM_SQL} SELECT metric, ts, event_id, round(s_pos, 6) + 0.0 AS s_pos, round(s_neg, 6) + 0.0 AS s_neg, s_pos > 5 OR s_neg > 5 AS cusum_alert FROM cusum",
 )
 def i1(spark, d):
-    found = ingest.run_to_table(detectors.cusum_stream(metric_stream(spark, d)), "cusum")
+    found = detectors.cusum_stream(metric_stream(spark, d), ingest.scratch(spark, "cusum"))
     return found.select("metric", "ts", "event_id", r6(F.col("s_pos")).alias("s_pos"), r6(F.col("s_neg")).alias("s_neg"), "cusum_alert")
 
 
 @query("i2_adwin_stream")
 def i2(spark, d):
-    return ingest.run_to_table(detectors.adwin_stream(metric_stream(spark, d)), "adwin")
+    return detectors.adwin_stream(metric_stream(spark, d), ingest.scratch(spark, "adwin"))
 
 
 @query("i3_metric_alerts")
 def i3(spark, d):
-    found = ingest.run_to_table(detectors.metric_alerts(metric_stream(spark, d)), "alerts")
+    found = detectors.metric_alerts(metric_stream(spark, d), ingest.scratch(spark, "alerts"))
     return found.groupBy("metric").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("cusum_alert").alias("n_cusum"), F.count_if("adwin_alert").alias("n_adwin"),
         F.count_if("alert").alias("n_alerts"),
@@ -61,13 +61,11 @@ def i4(spark, d):
     raw = tables.trades(spark, d).withColumn("symbol", F.col("market")).withColumnRenamed("ts", "ts_event")
     root = ingest.scratch(spark, "incremental")
     ingest.ingest_bars(landed(spark, raw, "landing-bars"), root)
-    count = lambda name, out: spark.read.schema("market string").parquet(f"{root}/{name}/*").groupBy("market").agg(
-        F.count(F.lit(1)).alias(out)
-    )
+    count = lambda rows, out: rows.groupBy("market").agg(F.count(F.lit(1)).alias(out))
     return (
-        count("bars", "n_bars")
-        .join(count("quarantine", "n_quarantined"), "market", "full")
-        .join(count("features", "n_features"), "market", "full")
+        count(ingest.bars(spark, root, raw.schema), "n_bars")
+        .join(count(ingest.quarantine(spark, root, raw.schema), "n_quarantined"), "market", "full")
+        .join(count(ingest.bar_features(spark, root), "n_features"), "market", "full")
     )
 
 
@@ -101,14 +99,13 @@ def i6(spark, d):
         F.concat_ws("/", "market", "run_id").alias("metric"), "ts", F.lit(0).cast("long").alias("event_id"),  # one row per series and bar
         (F.col("net_return") * 200).alias("x"),
     )
-    return ingest.run_to_table(detectors.metric_alerts(landed(spark, trades, "landing-ledger")), "trade-alerts")
+    return detectors.metric_alerts(landed(spark, trades, "landing-ledger"), ingest.scratch(spark, "trade-alerts"))
 
 
 @query(
     "i7_live_counts",
-    """SELECT CAST(date_trunc('minute', ts) AS TIMESTAMP) AS window_start, event_type AS kind, count(*) AS n FROM events
-       WHERE date_trunc('minute', ts) + INTERVAL 1 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY 1, 2""",
+    """SELECT CAST(date_trunc('minute', ts) AS TIMESTAMP) AS window_start, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2""",
 )
 def i7(spark, d):
-    """Windows the watermark has closed."""
-    return ingest.run_to_table(ingest.live_counts(event_stream(spark, d), "ts", F.col("event_type")), "live-counts")
+    """All minutes, the open ones too."""
+    return ingest.live_counts(event_stream(spark, d), ingest.scratch(spark, "live-counts"), "ts", F.col("event_type"))

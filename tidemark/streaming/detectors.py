@@ -1,10 +1,14 @@
 """Keyed change detectors on metric streams.
 
-State per metric is a handful of numbers, kept by Spark's state store, so a
-restarted or moved task resumes where the last committed batch ended.  Rows of
-a key arrive in no promised order inside a micro-batch; they are put in
-(ts, event_id) order before folding.  Bound a micro-batch with
-``maxBytesPerTrigger`` at the source (see ``ingest.read_landing``).
+A detector's answer depends on the order of its rows, while files land in no
+promised order.  The stream therefore only appends what it reads (exactly once,
+see ``ingest.run_batches``); ``advance`` then folds every metric in
+(ts, event_id) order from where it stood.  So the result is the same for any
+order of files and any size of micro-batches.  Rows that come in behind a
+metric's position are kept in a side table, never folded out of order or lost.
+
+Folding streams through sorted batches: a task holds one metric's handful of
+numbers, not its rows.
 """
 
 from __future__ import annotations
@@ -13,18 +17,24 @@ from collections.abc import Iterator
 from math import log, sqrt
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark import config
+from tidemark.session import task_count
+from tidemark.streaming import ingest
 
-STATE = (
-    "s_pos double, s_neg double, n_detections long, since_check long, levels array<int>, sums array<double>, spreads array<double>"
+ROW = "metric string, ts timestamp_ntz, event_id long, x double"
+MARKS = (
+    "s_pos double, s_neg double, cusum_alert boolean, adwin_alert boolean, n_detections long, window_mean double, alert boolean"
 )
-OUTPUT = (
-    "metric string, ts timestamp_ntz, event_id long, x double, s_pos double, s_neg double, "
-    "cusum_alert boolean, adwin_alert boolean, n_detections long, window_mean double, alert boolean"
+# what a metric carries from one run to the next: its position and both detectors
+STATE = (
+    "metric string, ts timestamp_ntz, event_id long, s_pos double, s_neg double, n_detections long, since_check long, "
+    "levels array<int>, sums array<double>, spreads array<double>"
 )
+DETECTOR = ["s_pos", "s_neg", "n_detections", "since_check", "levels", "sums", "spreads"]
 
 # --- fixed values: adaptive window settings
 CLOCK, BUCKETS_PER_LEVEL, MIN_SIDE = 32, 5, 5
@@ -102,64 +112,164 @@ class AdaptiveWindow:
         return changed
 
 
-def metric_alerts(
-    stream: DataFrame,
+def _versions(spark: SparkSession, root: str) -> DataFrame:
+    return ingest.stored(spark, root, "states", T.StructType.fromDDL(STATE), "version long")
+
+
+def _done(spark: SparkSession, root: str) -> tuple[int, dict[str, int]]:
+    """Number of the last finished advance (0: none) and the last batch of every source it saw.
+
+    A row per source and advance; written last, so a broken advance leaves no trace.
+    """
+    marks = ingest.stored(spark, root, "done", T.StructType.fromDDL("name string, last long"), "version long")
+    last = marks.agg(F.max("version")).first()[0]
+    return (0, {}) if last is None else (last, {r["name"]: r["last"] for r in marks.where(F.col("version") == last).collect()})
+
+
+def _finish(spark: SparkSession, root: str, version: int, seen: dict[str, int]) -> None:
+    rows = spark.createDataFrame(list(seen.items()), "name string, last long").coalesce(1)
+    rows.write.mode("overwrite").parquet(f"{root}/done/version={version}")
+
+
+def advance(
+    spark: SparkSession,
+    root: str,
+    until=None,
     target: float = 0.0,
     slack: float = config.CUSUM_SLACK,
     threshold: float = config.CUSUM_THRESHOLD,
     delta: float = config.ADWIN_DELTA,
     grace: int = config.ADWIN_GRACE,
-) -> DataFrame:
-    """I1 + I2 + I3: one stateful operator holds both detectors of a metric.
+) -> None:
+    """Fold the rows that are not folded yet, up to time ``until`` (inclusive; None: all of them).
 
-    Input columns: metric, ts, event_id, x.  A metric's state appears with its
-    first event.  ``alert`` is the OR of both detectors.
+    A caller that expects late files sets ``until`` some time behind the newest
+    row; what is newer waits for the next call.  New rows at or before their
+    metric's position go to the late table.  Null times sort first, null values
+    count as on target.
     """
+    version, seen = _done(spark, root)
+    rows = ingest.stored(spark, root, "rows", T.StructType.fromDDL(ROW))
+    landed = {r["source"]: r["b"] for r in rows.groupBy("source").agg(F.max("batch").alias("b")).collect()}
+    if not landed:
+        return
+    # batches that arrive from here on belong to the next call
+    inside = F.lit(False)
+    fresh = F.lit(False)
+    for name, last in landed.items():
+        own = (F.col("source") == name) & (F.col("batch") <= last)
+        inside, fresh = inside | own, fresh | (own & (F.col("batch") > seen.get(name, -1)))
+    states = _versions(spark, root).where(F.col("version") == version).drop("version")
+    at = states.select(F.col("metric").alias("_m"), F.struct("ts", "event_id").alias("_at"))
+    placed = rows.where(inside).withColumn("_fresh", fresh).join(at, F.col("metric").eqNullSafe(F.col("_m")), "left")
+    behind = F.col("_at").isNotNull() & (F.struct("ts", "event_id") <= F.col("_at"))
+    names = T.StructType.fromDDL(ROW).names
+    late = placed.where(behind & F.col("_fresh")).select(*names)
+    late.write.mode("overwrite").parquet(f"{root}/late/version={version + 1}")
+    due = F.lit(True) if until is None else F.coalesce(F.col("ts") <= F.lit(until).cast("timestamp_ntz"), F.lit(True))
+    ahead = placed.where(~behind & due).select(*names)
 
-    def fold(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        parts = [c for c in chunks if len(c)]
-        if not parts:
-            return
-        pdf = pd.concat(parts).sort_values(["ts", "event_id"], kind="stable")
-        if state.exists:
-            s_pos, s_neg, found, since, levels, sums, spreads = state.get
-            window = AdaptiveWindow(delta, grace, [list(b) for b in zip(levels, sums, spreads)], since)
-        else:
-            s_pos = s_neg = 0.0
-            found, window = 0, AdaptiveWindow(delta, grace)
-        rows = []
-        for x in pdf["x"]:
-            s_pos = max(0.0, s_pos + (x - target) - slack)
-            s_neg = max(0.0, s_neg - (x - target) - slack)
-            jumped = s_pos > threshold or s_neg > threshold
-            drifted = window.update(float(x))
-            found += int(drifted)
-            rows.append((s_pos, s_neg, jumped, drifted, found, window.mean, jumped or drifted))
-        b = window.buckets
-        state.update(
-            (
-                float(s_pos), float(s_neg), int(found), int(window.since), [int(r[0]) for r in b], [float(r[1]) for r in b], [float(r[2]) for r in b],
-            )
-        )
-        marks = pd.DataFrame(
-            rows,
-            columns=["s_pos", "s_neg", "cusum_alert", "adwin_alert", "n_detections", "window_mean", "alert"],
-            index=pdf.index,
-        )
-        yield pd.concat([pdf[["metric", "ts", "event_id", "x"]], marks], axis=1)
-
-    return stream.groupBy("metric").applyInPandasWithState(
-        fold, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
+    held = T.StructType.fromDDL(STATE)
+    blank = [F.lit(None).cast(held[c].dataType).alias(c) for c in DETECTOR]
+    line = states.select("metric", "ts", "event_id", F.lit(None).cast("double").alias("x"), F.lit(0).alias("kind"), *DETECTOR).unionByName(
+        ahead.select(*names, F.lit(1).alias("kind"), *blank)
     )
+    ordered = line.repartition(task_count(line), "metric").sortWithinPartitions("metric", "kind", "ts", "event_id", "x")
+    out = T.StructType.fromDDL(f"{ROW}, {MARKS}, is_state boolean, since_check long, levels array<int>, sums array<double>, spreads array<double>")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, s_pos, s_neg, found, window, last = None, 0.0, 0.0, 0, None, None
+
+        def closing() -> tuple:
+            b = window.buckets
+            return (
+                name, *last, None, s_pos, s_neg, None, None, found, None, None, True, window.since,
+                [int(r[0]) for r in b], [float(r[1]) for r in b], [float(r[2]) for r in b],
+            )
+
+        for pdf in batches:
+            rows_out = []
+            for r in pdf.itertuples(index=False):
+                metric = None if pd.isna(r.metric) else r.metric
+                if window is None or metric != name:
+                    if window is not None:
+                        rows_out.append(closing())
+                    name, s_pos, s_neg, found, window = metric, 0.0, 0.0, 0, AdaptiveWindow(delta, grace)
+                last = (None if pd.isna(r.ts) else r.ts, None if pd.isna(r.event_id) else int(r.event_id))
+                if r.kind == 0:
+                    s_pos, s_neg, found = float(r.s_pos), float(r.s_neg), int(r.n_detections)
+                    # plain numbers: Python sums them differently from numpy scalars
+                    held_buckets = [[int(b), float(v), float(w)] for b, v, w in zip(r.levels, r.sums, r.spreads)]
+                    window = AdaptiveWindow(delta, grace, held_buckets, int(r.since_check))
+                    continue
+                x = target if pd.isna(r.x) else float(r.x)
+                s_pos = max(0.0, s_pos + (x - target) - slack)
+                s_neg = max(0.0, s_neg - (x - target) - slack)
+                jumped = s_pos > threshold or s_neg > threshold
+                drifted = window.update(x)
+                found += int(drifted)
+                rows_out.append((
+                    name, *last, None if pd.isna(r.x) else x, s_pos, s_neg, jumped, drifted, found, window.mean, jumped or drifted,
+                    False, None, None, None, None,
+                ))
+            if rows_out:
+                yield pd.DataFrame(rows_out, columns=out.names).astype({"ts": "datetime64[us]", "event_id": "Int64", "since_check": "Int64"})
+        if window is not None:
+            yield pd.DataFrame([closing()], columns=out.names).astype({"ts": "datetime64[us]", "event_id": "Int64", "since_check": "Int64"})
+
+    path = f"{root}/folded/version={version + 1}"
+    ordered.mapInPandas(fold, out).write.mode("overwrite").parquet(path)
+    folded = spark.read.schema(out).parquet(path)
+    folded.where("is_state").select(*held.names).write.mode("overwrite").parquet(f"{root}/states/version={version + 1}")
+    _finish(spark, root, version + 1, landed)
+
+
+def reset(spark: SparkSession, root: str, metrics: list[str] | None = None) -> None:
+    """Start the detectors of some metrics (None: all) anew; their positions stay, so no row is folded twice."""
+    version, seen = _done(spark, root)
+    if not seen:
+        return
+    states = _versions(spark, root).where(F.col("version") == version).drop("version")
+    chosen = F.lit(True) if metrics is None else F.coalesce(F.col("metric").isin(metrics), F.lit(False))
+    zero = {"s_pos": F.lit(0.0), "s_neg": F.lit(0.0), "n_detections": F.lit(0).cast("long"), "since_check": F.lit(0).cast("long"),
+            "levels": F.array().cast("array<int>"), "sums": F.array().cast("array<double>"), "spreads": F.array().cast("array<double>")}
+    fresh = states.withColumns({c: F.when(chosen, z).otherwise(F.col(c)) for c, z in zero.items()})
+    fresh.write.mode("overwrite").parquet(f"{root}/states/version={version + 1}")
+    _finish(spark, root, version + 1, seen)
+
+
+def late_rows(spark: SparkSession, root: str) -> DataFrame:
+    """Rows that arrived behind their metric's position; count them to watch the delay."""
+    rows = ingest.stored(spark, root, "late", T.StructType.fromDDL(ROW), "version long")
+    return rows.where(F.col("version") <= _done(spark, root)[0]).drop("version")
+
+
+def metric_alerts(stream: DataFrame, root: str, source: str = ingest.LANDING, until=None, **settings) -> DataFrame:
+    """I1 + I2 + I3: both detectors of every metric over what has landed in ``root`` so far.
+
+    Input columns: metric, ts, event_id, x.  A metric's state appears with its
+    first event.  ``alert`` is the OR of both detectors.  The result holds the
+    rows of all runs on ``root``.
+    """
+    spark = stream.sparkSession
+    names = T.StructType.fromDDL(ROW).names
+
+    def apply(batch: DataFrame, folder: str) -> None:
+        batch.select(*names).write.mode("overwrite").parquet(f"{root}/rows/{folder}")
+
+    ingest.run_batches(stream, root, apply, source)
+    advance(spark, root, until, **settings)
+    marks = ingest.stored(spark, root, "folded", T.StructType.fromDDL(f"{ROW}, {MARKS}, is_state boolean"), "version long")
+    return marks.where(~F.col("is_state") & (F.col("version") <= _done(spark, root)[0])).drop("is_state", "version")
 
 
-def cusum_stream(stream: DataFrame, **settings) -> DataFrame:
+def cusum_stream(stream: DataFrame, root: str, **settings) -> DataFrame:
     """The CUSUM columns of the combined operator."""
-    return metric_alerts(stream, **settings).select("metric", "ts", "event_id", "x", "s_pos", "s_neg", "cusum_alert")
+    return metric_alerts(stream, root, **settings).select("metric", "ts", "event_id", "x", "s_pos", "s_neg", "cusum_alert")
 
 
-def adwin_stream(stream: DataFrame, **settings) -> DataFrame:
+def adwin_stream(stream: DataFrame, root: str, **settings) -> DataFrame:
     """The adaptive-window columns of the combined operator."""
-    return metric_alerts(stream, **settings).select(
+    return metric_alerts(stream, root, **settings).select(
         "metric", "ts", "event_id", "x", "adwin_alert", "n_detections", "window_mean"
     )
