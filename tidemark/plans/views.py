@@ -46,10 +46,9 @@ VIEWS = {
                      unnest([managed_money_net, producer_net, swap_net, total_oi]) AS value
               FROM v_reports)""",
     "v_features": f"""
-        SELECT c_mktsegment AS market, l_returnflag || l_linestatus AS feature_name, o_orderdate AS as_of,
-               l_shipdate AS available_at, l_extendedprice AS value, {_SEQ} AS seq
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-        WHERE l_shipdate >= o_orderdate""",
+        SELECT c_mktsegment AS market, l_returnflag || l_linestatus AS feature_name, least(o_orderdate, l_shipdate) AS as_of,
+               greatest(o_orderdate, l_shipdate) AS available_at, l_extendedprice AS value, {_SEQ} AS seq
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey""",
     "v_store": """
         SELECT market, feature_name, as_of, arg_max(available_at, seq) AS available_at, arg_max(value, seq) AS value
         FROM v_features GROUP BY market, feature_name, as_of""",
@@ -98,7 +97,7 @@ VIEWS = {
         SELECT p_partkey AS instrument_id, p_retailprice AS strike,
                strftime(DATE '1998-01-01' + CAST(p_size * 30 AS INTEGER), '%Y-%m-%d') AS expiry,
                p_size % 2 = 0 AS is_call, p_type AS market
-        FROM part WHERE p_partkey % 10 <> 0""",
+        FROM part""",
     "v_stats": """
         SELECT instrument_id, arg_max(oi, seq) AS oi FROM (
             SELECT l_partkey AS instrument_id, l_linestatus AS seq, sum(l_quantity) AS oi
