@@ -441,17 +441,19 @@ def updates(spark: SparkSession, d: str) -> DataFrame:
     source = (
         F.when(F.col("feature_name").isin("AF", "AO"), "futures").when(F.col("feature_name").isin("NF", "NO"), "options").otherwise("cot")
     )
-    late = (F.col("market") == "BUILDING") & (F.col("available_at") > F.lit("2001-09-01").cast("timestamp_ntz"))
-    gone = (F.col("market") == "FURNITURE") & (source == "options")
-    return store(spark, d).select("market", source.alias("source"), "available_at").where(~late & ~gone)
+    return store(spark, d).select("market", source.alias("source"), "available_at")
+
+
+def segments(spark: SparkSession, d: str) -> DataFrame:
+    """The market dimension: a segment without any update is stale, not absent."""
+    return tables.table(spark, d, "customer").select(F.col("c_mktsegment").alias("market"))
 
 
 NOW = "2001-11-05 12:00:00"
 _STALE = f"""
-upd AS (SELECT market, CASE WHEN feature_name IN ('AF','AO') THEN 'futures' WHEN feature_name IN ('NF','NO') THEN 'options' ELSE 'cot' END AS source, available_at FROM v_store
-        WHERE NOT (market = 'BUILDING' AND available_at > TIMESTAMP '2001-09-01') AND NOT (market = 'FURNITURE' AND feature_name IN ('NF','NO'))),
+upd AS (SELECT market, CASE WHEN feature_name IN ('AF','AO') THEN 'futures' WHEN feature_name IN ('NF','NO') THEN 'options' ELSE 'cot' END AS source, available_at FROM v_store),
 last AS (SELECT market, source, max(available_at) AS last_update FROM upd GROUP BY 1, 2),
-src AS (SELECT market, source, threshold_days FROM (SELECT DISTINCT market FROM upd), (VALUES ('futures', 1), ('options', 1), ('cot', 7)) AS t(source, threshold_days)),
+src AS (SELECT market, source, threshold_days FROM (SELECT DISTINCT c_mktsegment AS market FROM customer), (VALUES ('futures', 1), ('options', 1), ('cot', 7)) AS t(source, threshold_days)),
 gaps AS (SELECT src.*, last_update, CASE WHEN last_update IS NULL THEN NULL WHEN source = 'cot' THEN date_diff('second', last_update, TIMESTAMP '{NOW}') / 86400.0::double
          ELSE (SELECT count(*)::double FROM (SELECT unnest(range(last_update + INTERVAL 1 DAY, TIMESTAMP '{NOW}' + INTERVAL 1 SECOND, INTERVAL 1 DAY)) AS dd) WHERE isodow(dd) < 6) END AS days_since_update
          FROM src LEFT JOIN last USING (market, source)),
@@ -460,7 +462,7 @@ stale AS (SELECT *, coalesce(days_since_update > threshold_days, true) AS is_sta
 
 def stale(spark: SparkSession, d: str) -> DataFrame:
     rows = updates(spark, d)
-    return quality.staleness(rows, rows.select("market"), F.lit(NOW).cast("timestamp_ntz"))
+    return quality.staleness(rows, segments(spark, d), F.lit(NOW).cast("timestamp_ntz"))
 
 
 @query("d26_staleness", f"WITH {_STALE} SELECT market, source, threshold_days, last_update, round(days_since_update, 6) AS days_since_update, is_stale FROM stale")
@@ -473,7 +475,7 @@ def d26(spark, d):
 @query("d27_cot_freshness", f"WITH {_STALE} SELECT market, last_update, round(days_since_update, 6) AS days_since_update, is_stale FROM stale WHERE source = 'cot'")
 def d27(spark, d):
     rows = updates(spark, d)
-    found = quality.cot_freshness(rows, rows.select("market"), F.lit(NOW).cast("timestamp_ntz"))
+    found = quality.cot_freshness(rows, segments(spark, d), F.lit(NOW).cast("timestamp_ntz"))
     return found.select("market", "last_update", r6(F.col("days_since_update")).alias("days_since_update"), "is_stale")
 
 
@@ -484,19 +486,17 @@ _SEG = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
     "d28_quality_report",
     f"""WITH {_STALE}, {_OPTQ}, o AS (SELECT [{', '.join(repr(s) for s in _SEG)}][CAST(substr(market, 2) AS INTEGER) % 5 + 1] AS market, min(liquid_strike_count) AS liquid_strike_count,
             bool_or(has_arbitrage_violation) AS has_arb FROM oq GROUP BY 1),
-        s AS (SELECT market, bool_or(is_stale AND source <> 'futures') AS any_stale, coalesce(string_agg(source, ',' ORDER BY source) FILTER (is_stale AND source <> 'futures'), '') AS stale_sources FROM stale GROUP BY market)
+        s AS (SELECT market, bool_or(is_stale) AS any_stale, coalesce(string_agg(source, ',' ORDER BY source) FILTER (is_stale), '') AS stale_sources FROM stale GROUP BY market)
         SELECT market, any_stale, stale_sources, coalesce(liquid_strike_count, 0) AS liquid_strike_count,
                CASE WHEN any_stale THEN 'stale' WHEN coalesce(liquid_strike_count, 0) < 8 OR coalesce(has_arb, false) THEN 'degraded' ELSE 'healthy' END AS overall_status
         FROM s LEFT JOIN o USING (market)""",
 )
 def d28(spark, d):
-    """Chains are assigned to segments by number; the futures source is left to D26."""
+    """Chains are assigned to segments by number."""
     names = F.array(*[F.lit(s) for s in _SEG])
     number = F.substring("market", 2, 20).cast("int")
     chains = options_report(spark, d).withColumn("market", F.element_at(names, (F.pmod(number, F.lit(5)) + 1).cast("int")))
-    # is_stale of the futures source is not part of this report
-    sources = stale(spark, d).withColumn("is_stale", F.col("is_stale") & (F.col("source") != "futures"))
-    return quality.quality_report(sources, chains).select(
+    return quality.quality_report(stale(spark, d), chains).select(
         "market", "any_stale", "stale_sources", "liquid_strike_count", "overall_status"
     )
 
