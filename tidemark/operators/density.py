@@ -151,7 +151,7 @@ def svi_variance(k: Column) -> Column:
     return F.col("svi.a") + F.col("svi.b") * (F.col("svi.rho") * d + F.sqrt(d * d + s * s))
 
 
-def _gradient(df: DataFrame, value: str, out: str, keys: list[str], last: int) -> DataFrame:
+def _gradient(df: DataFrame, value: str, out: str, keys: list[str], last: int | Column) -> DataFrame:
     """First derivative on a uniform grid: central inside, one-sided at both ends."""
     w = Window.partitionBy(*keys).orderBy("grid_i")
     lead, lag = F.lead(value).over(w), F.lag(value).over(w)
@@ -163,8 +163,11 @@ def _gradient(df: DataFrame, value: str, out: str, keys: list[str], last: int) -
     )
 
 
-def second_derivative(df: DataFrame, value: str, out: str, keys: list[str], points: int) -> DataFrame:
-    """Gradient of the gradient over ``grid_i`` with spacing ``h``."""
+def second_derivative(df: DataFrame, value: str, out: str, keys: list[str], points: int | Column) -> DataFrame:
+    """Gradient of the gradient over ``grid_i`` (from 0) with spacing ``h``; null where a slice has one point.
+
+    ``points`` is the number of points of a slice, one for all or a column.
+    """
     first = _gradient(df, value, "_g1", keys, points - 1)
     return _gradient(first, "_g1", out, keys, points - 1).drop("_g1")
 

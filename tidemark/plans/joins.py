@@ -189,20 +189,17 @@ def typed_log(spark: SparkSession, d: str) -> DataFrame:
     "c8_cooldown_antijoin",
     f"""WITH log AS (SELECT event_id AS id, ts, {_KIND_SQL} AS mutation_type, value FROM events),
         days AS (SELECT * FROM (VALUES ('hyperparameter', 3), ('feature_add', 7), ('feature_remove', 7), ('ensemble_method', 14)) AS t(mutation_type, n)),
-        history AS (SELECT * FROM log WHERE (mutation_type <> 'feature_add' OR ts < TIMESTAMP '2024-01-20')
-                                        AND (mutation_type <> 'hyperparameter' OR ts < TIMESTAMP '2024-01-26'))
+        history AS (SELECT id, mutation_type, value, ts - to_days(CASE mutation_type WHEN 'feature_add' THEN 12 WHEN 'hyperparameter' THEN 6 ELSE 0 END) AS ts FROM log)
         SELECT c.id, c.mutation_type FROM log c WHERE c.value BETWEEN 33 AND 66 AND NOT EXISTS (
           SELECT 1 FROM history r JOIN days USING (mutation_type)
           WHERE r.mutation_type = c.mutation_type AND r.value < 33 AND r.ts + to_days(n) > TIMESTAMP '2024-01-31')""",
 )
 def c8(spark, d):
-    """Two types stopped being rejected early enough for their cooldown to be over."""
+    """The history of two types lies far enough back for their cooldown to be over."""
     log = typed_log(spark, d)
     ts = lambda s: F.lit(s).cast("timestamp_ntz")
-    history = log.where(
-        ((F.col("mutation_type") != "feature_add") | (F.col("created_at") < ts("2024-01-20")))
-        & ((F.col("mutation_type") != "hyperparameter") | (F.col("created_at") < ts("2024-01-26")))
-    )
+    back = F.when(F.col("mutation_type") == "feature_add", 12).when(F.col("mutation_type") == "hyperparameter", 6).otherwise(0)
+    history = log.withColumn("created_at", F.col("created_at") - F.make_dt_interval(back))
     pending = log.where(F.col("promotion_decision") == "pending")
     return experiments.cooldown_filter(pending, history, ts("2024-01-31")).select("id", "mutation_type")
 

@@ -301,12 +301,13 @@ def h17(spark, d):
 
 
 _SEGMENT = {"ECONOMY": "AUTOMOBILE", "LARGE": "BUILDING", "MEDIUM": "FURNITURE", "PROMO": "HOUSEHOLD"}
-_SEG_SQL = "CASE market " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _SEGMENT.items()) + " END"
+_SEG_SQL = "CASE market " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _SEGMENT.items()) + " ELSE market END"
+_SEGMENTS_SQL = ", ".join(f"'{v}'" for v in _SEGMENT.values())
 
 
 def segment_features(spark: SparkSession, d: str) -> DataFrame:
-    """Implied features and closes of four segments, from bars; the fifth has none."""
-    segment: Column = F.lit(None).cast("string")
+    """Implied features and closes from all bars: of four segments (the fifth has none) and of two markets without reports."""
+    segment: Column = F.col("market")
     for k, v in _SEGMENT.items():
         segment = F.when(F.col("market") == k, v).otherwise(segment)
     wide = tables.bars(spark, d).select(
@@ -315,7 +316,7 @@ def segment_features(spark: SparkSession, d: str) -> DataFrame:
         ((F.col("open") - F.col("close")) / F.col("high")).alias("implied_skew"),
         (3 + 2 * F.col("low") / F.col("close")).alias("implied_kurtosis"),
         F.col("close").alias("spot"),
-    ).where(F.col("market").isNotNull())
+    )
     return wide.unpivot(["market", "as_of", "available_at"], ["implied_mean", "implied_skew", "implied_kurtosis", "spot"], "feature_name", "value")
 
 
@@ -323,10 +324,10 @@ def segment_features(spark: SparkSession, d: str) -> DataFrame:
     "h18_signal_features",
     f"""WITH {SENTIMENT_SQL},
         opt AS (SELECT {_SEG_SQL} AS market, ts, close * (1 + (open - low) / high / 20 - 0.02) AS im, (open - close) / high AS sk, 3 + 2 * low / close AS ku, close AS spot FROM v_bars),
-        probes AS (SELECT market, CAST(report_date AS TIMESTAMP) AS ts FROM v_cot),
+        probes AS (SELECT market, CAST(report_date AS TIMESTAMP) AS ts FROM v_cot UNION ALL SELECT market, ts FROM opt WHERE market NOT IN ({_SEGMENTS_SQL})),
         cot AS (SELECT r.market, r.available_at, s.sentiment_score AS sc, s.sentiment_confidence AS co FROM v_reports r JOIN sentiment s USING (market, report_date)),
         j AS (SELECT p.market, p.ts, sc, co FROM probes p ASOF LEFT JOIN cot c ON p.market = c.market AND p.ts >= c.available_at),
-        k AS (SELECT j.market, j.ts, sc, co, im, sk, ku, spot FROM j ASOF LEFT JOIN (SELECT * FROM opt WHERE market IS NOT NULL) o ON j.market = o.market AND j.ts >= o.ts),
+        k AS (SELECT j.market, j.ts, sc, co, im, sk, ku, spot FROM j ASOF LEFT JOIN opt o ON j.market = o.market AND j.ts >= o.ts),
         b AS (SELECT *, (im - spot) / spot AS bias, (im - spot) / spot - sc / 10.0 AS raw, im IS NOT NULL AND sc IS NOT NULL AS both_in FROM k),
         t AS (SELECT *, CASE WHEN ku > 4 AND abs(bias) < 0.02 THEN 0 WHEN bias > 0.01 AND sc < -0.3 THEN 1 WHEN bias < -0.01 AND sc > 0.3 THEN -1
                WHEN abs(bias) < 0.02 AND abs(sc) > 0.6 THEN CASE WHEN sc > 0 THEN -1 ELSE 1 END
@@ -337,7 +338,10 @@ def segment_features(spark: SparkSession, d: str) -> DataFrame:
                round(CASE WHEN both_in THEN least(greatest(co * greatest(least(abs(raw) / 2.0, 1.0), 0.3), 0.0), 1.0) END, 6) + 0.0 AS divergence_confidence FROM t""",
 )
 def h18(spark, d):
-    """Sentiment joins as features with release times; a real spot replaces the implied mean."""
+    """Sentiment joins as features with release times; a real spot replaces the implied mean.
+
+    Markets without reports are probed at their bars: their sentiment is null.
+    """
     scored = signals.cot_sentiment(reports(spark, d))
     cot = features.cot_features(reports(spark, d)).drop("quality")
     mood = scored.select(
@@ -347,7 +351,8 @@ def h18(spark, d):
     names = [
         "cot_managed_money_net", "cot_total_oi", "implied_mean", "implied_skew", "implied_kurtosis", "spot", "sentiment_score", "sentiment_confidence",
     ]
-    wide = features.matrix(rows, weekly_probes(spark, d), names, "quarter")
+    others = tables.bars(spark, d).where(~F.col("market").isin(list(_SEGMENT))).select("market", "ts")
+    wide = features.matrix(rows, weekly_probes(spark, d).unionByName(others), names, "quarter")
     out = signals.signal_features(wide, F.col("spot"))
     return out.select(
         "market", "ts", "divergence_direction",

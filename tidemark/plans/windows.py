@@ -134,7 +134,7 @@ def e10(spark, d):
     )
 
 
-def _gradient_sql(value: str, last: int, h: str = "2.0") -> str:
+def _gradient_sql(value: str, last: str, h: str = "2.0") -> str:
     return (
         f"CASE WHEN grid_i = 0 THEN (lead({value}) OVER w - {value}) / {h} WHEN grid_i = {last} THEN ({value} - lag({value}) OVER w) / {h} "
         f"ELSE (lead({value}) OVER w - lag({value}) OVER w) / (2 * {h}) END"
@@ -143,14 +143,22 @@ def _gradient_sql(value: str, last: int, h: str = "2.0") -> str:
 
 @query(
     "e11_second_derivative",
-    f"""WITH g AS (SELECT market, as_of, expiry, strike, call_mid, CAST((strike - 80) / 2 AS INTEGER) AS grid_i FROM v_pairs WHERE n_strikes = 21),
-        a AS (SELECT *, {_gradient_sql('call_mid', 20)} AS g1 FROM g WINDOW w AS (PARTITION BY market, as_of, expiry ORDER BY grid_i))
-        SELECT market, as_of, expiry, strike, round({_gradient_sql('g1', 20)}, 6) + 0.0 AS d2 FROM a WINDOW w AS (PARTITION BY market, as_of, expiry ORDER BY grid_i)""",
+    f"""WITH g AS (SELECT market, as_of, expiry, strike, call_mid, CAST((strike - min(strike) OVER s) / 2 AS INTEGER) AS grid_i, count(*) OVER s - 1 AS top
+              FROM v_pairs WINDOW s AS (PARTITION BY market, as_of, expiry)),
+        a AS (SELECT *, {_gradient_sql('call_mid', 'top')} AS g1 FROM g WINDOW w AS (PARTITION BY market, as_of, expiry ORDER BY grid_i))
+        SELECT market, as_of, expiry, strike, round({_gradient_sql('g1', 'top')}, 6) + 0.0 AS d2 FROM a WINDOW w AS (PARTITION BY market, as_of, expiry ORDER BY grid_i)""",
 )
 def e11(spark, d):
-    rows = paired(spark, d).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*chain.SLICE)))  # strikes of one slice
-    grid = rows.where(F.col("n") == 21).withColumn("grid_i", ((F.col("strike") - 80) / 2).cast("int")).withColumn("h", F.lit(2.0))
-    return density.second_derivative(grid, "call_mid", "d2", chain.SLICE, 21).select(*chain.SLICE, "strike", r6(F.col("d2")).alias("d2"))
+    """Every slice on its own grid: from its lowest strike, in steps of 2."""
+    own = Window.partitionBy(*chain.SLICE)
+    grid = paired(spark, d).withColumns(
+        {
+            "grid_i": ((F.col("strike") - F.min("strike").over(own)) / 2).cast("int"),
+            "points": F.count(F.lit(1)).over(own),
+            "h": F.lit(2.0),
+        }
+    )
+    return density.second_derivative(grid, "call_mid", "d2", chain.SLICE, F.col("points")).select(*chain.SLICE, "strike", r6(F.col("d2")).alias("d2"))
 
 
 @query(
