@@ -207,3 +207,18 @@ def test_call_price_matches(spark):
     df = spark.createDataFrame([(90.0, 0.2), (110.0, 0.6)], "k double, s double")
     for r in with_call_price(df, F.lit(100.0), F.col("k"), F.lit(0.05), F.lit(0.5), F.col("s"), "p").collect():
         assert r["p"] == pytest.approx(black(100, r["k"], 0.05, 0.5, r["s"]), abs=1e-12)
+
+
+def test_second_derivative_of_slices_of_any_length(spark):
+    """Each slice has its own number of points; a slice of one point has no derivative."""
+    rng = np.random.default_rng(5)
+    curves = {f"S{n}": rng.normal(size=n) for n in (1, 2, 3, 13, 21)}
+    rows = [(s, i, float(v), 2.0, len(c)) for s, c in curves.items() for i, v in enumerate(c)]
+    df = spark.createDataFrame(rows, "s string, grid_i int, v double, h double, points int")
+    found = density.second_derivative(df, "v", "d2", ["s"], F.col("points")).orderBy("s", "grid_i").collect()
+    for s, c in curves.items():
+        got = [r.d2 for r in found if r.s == s]
+        if len(c) == 1:
+            assert got == [None]
+        else:
+            assert np.allclose(got, np.gradient(np.gradient(c, 2.0), 2.0))
