@@ -171,6 +171,25 @@ def test_article_text(spark):
     assert html_text.main_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [100_000, 40])
+def test_repeats_inside_articles(spark, chunk):
+    """An unmarked notice inside the article goes; copies, edited copies and sentences that share a phrase stay."""
+    notice = "please tell your friends about this site and come back soon"
+    body = [" ".join(f"a{n}w{i}" for i in range(40)) for n in range(6)]
+    edited = body[5].replace("a5w19", "changed")
+    quote = "begin of own text one two three four five six seven eight {} end"
+    parts = [[body[0], notice], [body[1], notice, quote.format("x")], [body[2], quote.format("y")], [body[3]], [body[3]],
+             [body[5], body[4]], [edited, body[4]]]
+    pages = spark.createDataFrame(
+        [(n, f"http://h/{n}", PAGE.format("<article>" + "".join(f"<p>{t}</p>" for t in p) + "</article>")) for n, p in enumerate(parts)]
+        + [(99, "http://h/0", PAGE.format(f"<article><p>{body[0]}</p><p>{notice}</p></article>"))],
+        "page_id long, url string, html string",
+    )
+    got = {r.page_id: r.text for r in html_text.main_text(pages, chunk_tokens=chunk).collect()}
+    want = {n: " ".join(t for t in p if t != notice) for n, p in enumerate(parts)}
+    assert got == {**want, 99: body[0]}
+
+
 def repeats_by_force(pages, depth):
     seen = defaultdict(set)
     for u, (key, words) in pages.items():

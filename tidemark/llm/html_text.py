@@ -1,4 +1,4 @@
-"""Main text of HTML pages: page structure, then a suffix array per host that removes repeated loose text."""
+"""Main text of HTML pages: page structure, then a suffix array per host that removes repeated text."""
 
 from __future__ import annotations
 
@@ -216,7 +216,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     held: list[dict] = []
     for batch in batches:
         for row in batch.to_pylist():
-            if held and (row["host"], row["chunk"]) != (held[-1]["host"], held[-1]["chunk"]):
+            if held and row["cell"] != held[-1]["cell"]:
                 yield held
                 held = []
             held.append(row)
@@ -224,23 +224,71 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield held
 
 
+def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cell, window) of the windows held for two owners, from rows (window, owner, cell) in order of the window.
+
+    A null owner stands for several of them.
+    """
+    names = ["window", "owner", "many", "cell"]
+    kept = {n: np.empty(0, bool if n == "many" else np.int64) for n in names}
+
+    def crossing(rows):
+        starts = np.flatnonzero(np.concatenate(([True], rows["window"][1:] != rows["window"][:-1])))
+        split = np.minimum.reduceat(rows["owner"], starts) != np.maximum.reduceat(rows["owner"], starts)
+        split |= np.logical_or.reduceat(rows["many"], starts)
+        found = np.repeat(split, np.diff(np.append(starts, len(rows["window"]))))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(rows["cell"][found]), pa.array(rows["window"][found])], names=["cell", "window"]
+        )
+
+    for batch in batches:
+        owner = batch.column(1)
+        new = {"window": np.asarray(batch.column(0)), "owner": np.asarray(owner.fill_null(0)),
+               "many": np.asarray(owner.is_null()), "cell": np.asarray(batch.column(2))}
+        rows = {n: np.concatenate([kept[n], new[n]]) for n in names}
+        # the last window may go on in the next batch
+        cut = int(np.searchsorted(rows["window"], rows["window"][-1])) if len(rows["window"]) else 0
+        if cut:
+            yield crossing({n: v[:cut] for n, v in rows.items()})
+        kept = {n: v[cut:] for n, v in rows.items()}
+    if len(kept["window"]):
+        yield crossing(kept)
+
+
+def _judged(rows: list[dict], covered: list[np.ndarray]) -> list[str]:
+    """The words left of a page's blocks, given which of their words are repeated.
+
+    Loose text loses every repeated run.  An article loses the blocks that are repeated as a whole, so a sentence that
+    shares a phrase keeps it; an article of which more than half is repeated is an edited copy of another and stays whole.
+    """
+    inside = [(c.sum(), len(c)) for r, c in zip(rows, covered) if r["kind"] == MAIN_TEXT]
+    copied = 2 * sum(n for n, _ in inside) > sum(n for _, n in inside)
+    left: list[str] = []
+    for row, marks in zip(rows, covered):
+        if row["kind"] == LOOSE:
+            left += [w for w, c in zip(row["text"].split(" "), marks) if not c]
+        elif row["kind"] == MAIN_TEXT and (copied or not marks.all()):
+            left.append(row["text"])
+    return left
+
+
 def unique_runs(blocks_: DataFrame, depth: int = 8, chunk_tokens: int = 32_768) -> DataFrame:
-    """(uid, text): the loose text of each page that its host repeats nowhere, runs in page order.
+    """(uid, text): the text of each page less what its host repeats, in page order (``_judged``).
 
     ``blocks_`` has (uid, key, host, place, kind, text).  ``uid`` is a page, ``key`` its article: pages with one key are
     copies and do not make each other boilerplate.  The pages of a host are dealt into chunks of about
     ``chunk_tokens`` tokens by hash; a chunk's pages are one token stream with one suffix array.  Windows that different
-    chunks of a host hold for different keys are found by an equi-join on their hashes, each chunk giving a window once, so a hot host
-    is split and the result is that of one suffix array over the host.
+    chunks of a host hold for different keys meet in one exchange by their hashes, each chunk giving a window once, so a
+    hot host is split and the result is that of one suffix array over the host.
     """
-    rows = durable(blocks_)
+    rows = blocks_
     sizes = rows.groupBy("host").agg(F.sum(F.size(F.split("text", " "))).alias("n"))
     hot = durable(
         sizes.where(F.col("n") > chunk_tokens)
         .select("host", F.ceil(F.col("n") / chunk_tokens).cast("int").alias("chunks"))
     )
     dealt = rows.join(hot, "host", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn(
-        "chunk", F.pmod(F.xxhash64("uid"), F.col("chunks")).cast("int")
+        "cell", F.xxhash64("host", F.pmod(F.xxhash64("uid"), F.col("chunks")))
     )
 
     def shared(batches: Iterator[pa.RecordBatch]):
@@ -252,49 +300,41 @@ def unique_runs(blocks_: DataFrame, depth: int = 8, chunk_tokens: int = 32_768)
             order = np.argsort(hashes, kind="stable")
             hashes, owner = hashes[order], chunk.owner[at][order]
             starts = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
-            n = len(starts)
+            low, high = np.minimum.reduceat(owner, starts), np.maximum.reduceat(owner, starts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([rows_[0]["host"]] * n, pa.string()), pa.array([rows_[0]["chunk"]] * n, pa.int32()),
-                 pa.array(hashes[starts]), pa.array(np.minimum.reduceat(owner, starts)),
-                 pa.array(np.maximum.reduceat(owner, starts))],
-                names=["host", "chunk", "window", "low", "high"],
+                [pa.array(hashes[starts] ^ token_id(rows_[0]["host"])), pa.array(low, mask=low != high),
+                 pa.array(np.full(len(starts), rows_[0]["cell"], np.int64))],
+                names=["window", "owner", "cell"],
             )
 
     def arranged(frame: DataFrame) -> DataFrame:
-        return spread(frame, "host", "chunk").sortWithinPartitions("host", "chunk", "place", "key", "uid")
+        return spread(frame, "cell").sortWithinPartitions("cell", "uid", "place")
 
-    columns = ["uid", "key", "host", "place", "kind", "text", "chunk", "window"]
+    columns = ["uid", "key", "host", "place", "kind", "text", "cell", "window"]
     texts = dealt.withColumn("window", F.lit(None).cast("long")).select(*columns)
     if not hot.isEmpty():
-        seen = durable(
-            arranged(dealt.where("chunks > 1")).mapInArrow(
-                shared, "host string, chunk int, window long, low long, high long"
-            )
-        )
-        crossing = seen.groupBy("host", "window").agg(F.min("low").alias("low"), F.max("high").alias("high")).where(
-            "low <> high"
-        )
-        found = seen.select("host", "chunk", "window").join(crossing.select("host", "window"), ["host", "window"])
+        seen = arranged(dealt.where("chunks > 1")).mapInArrow(shared, "window long, owner long, cell long")
+        found = seen.repartition("window").sortWithinPartitions("window").mapInArrow(_crossing, "cell long, window long")
         texts = texts.unionByName(found, allowMissingColumns=True).select(*columns)
 
     def extract(batches: Iterator[pa.RecordBatch]):
         for rows_ in _chunks(batches):
             crossing = np.array(sorted(r["window"] for r in rows_ if r["text"] is None), np.int64)
-            own = sorted((r for r in rows_ if r["text"] is not None), key=lambda r: (r["uid"], r["place"]))
+            own = [r for r in rows_ if r["text"] is not None]
             if not own:
                 continue
             chunk = _Chunk(own, depth)
             covered = repeated(chunk.tokens, chunk.page, chunk.owner, depth)
             if len(crossing):
                 at, hashes = chunk.windows()
-                covered |= cover(at[np.isin(hashes, crossing)], len(covered), depth)
-            kept: dict[bytes, list[str]] = {}
+                covered |= cover(at[np.isin(hashes ^ token_id(own[0]["host"]), crossing)], len(covered), depth)
+            pages: dict[bytes, tuple[list[dict], list[np.ndarray]]] = {}
             for row, words, start in zip(own, chunk.words, chunk.starts):
-                if row["kind"] == LOOSE:
-                    left = [w for w, c in zip(words, covered[start : start + len(words)]) if not c]
-                    kept.setdefault(row["uid"], []).extend(left)
+                found = pages.setdefault(row["uid"], ([], []))
+                found[0].append(row)
+                found[1].append(covered[start : start + len(words)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(kept), pa.binary()), pa.array([" ".join(v) for v in kept.values()], pa.string())],
+                [pa.array(list(pages), pa.binary()), pa.array([" ".join(_judged(*v)) for v in pages.values()], pa.string())],
                 names=["uid", "text"],
             )
 
@@ -318,50 +358,49 @@ def main_text(
 ) -> DataFrame:
     """(page_id, url, text, n_chars): the main text of every page.
 
-    Where a page marks its article (``article`` or ``main``), the text is that of the article, whole: text inside it is
-    never taken out for being repeated, since copies of an article are articles.  Elsewhere the loose blocks of the
-    body are taken, less the runs of ``depth`` or more tokens that other pages of the host repeat (``unique_runs``).
+    Where a page marks its article (``article`` or ``main``), the text is that of the article, elsewhere the loose blocks
+    of the body.  Both go less what other pages of the host repeat in runs of ``depth`` or more tokens (``unique_runs``):
+    loose text run by run, an article block by block; copies of an article do not count as repeats.
     Menus, adverts, footers and the like are part of the host's streams and never part of the text.
 
     A null or empty html gives an empty text; a null url is a host of its own name (empty); null ids and repeated rows are
     kept; other columns are not read; an empty table gives an empty result.  Pages are parsed
-    once, into a table in the shared folder; texts of pages without an article are joined by page (broadcast within 16 MB), so articles are not
-    shuffled where few pages lack one.
+    once, into a table in the shared folder; of repeated pages (url and html) one is judged, and texts are joined by page.
     """
     prepare(pages.sparkSession)
     rows = pages.select(
-        F.col(id_col).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).alias("html")
+        F.col(id_col).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).alias("html"),
+        F.monotonically_increasing_id().alias("row"),
     )
 
     def parse(cols):
-        out = {n: [] for n in ("uid", "key", "host", "text", "rest")}
+        out = {n: [] for n in ("uid", "key", "host", "blocks")}
         for u, page in zip(cols["url"].to_pylist(), cols["html"].to_pylist()):
             found = blocks(page or "")
-            text = " ".join(t for k, t in found if k == MAIN_TEXT)
+            marked = any(k == MAIN_TEXT for k, _ in found)
             out["uid"].append(_uid(u, page))
             out["key"].append(_key(found))
             out["host"].append(host_of(u))
-            out["text"].append(text)
-            out["rest"].append([
-                {"place": i, "kind": ASIDE if text else k, "text": t} for i, (k, t) in enumerate(found) if k != MAIN_TEXT
+            out["blocks"].append([
+                {"place": i, "kind": ASIDE if marked and k == LOOSE else k, "text": t} for i, (k, t) in enumerate(found)
             ])
-        return {"page_id": cols["page_id"], "url": cols["url"], **out}
+        return {"page_id": cols["page_id"], "url": cols["url"], "row": cols["row"], **out}
 
     schema = (
-        "page_id long, url string, uid binary, key long, host string, text string, "
-        "rest array<struct<place int, kind int, text string>>"
+        "page_id long, url string, row long, uid binary, key long, host string, "
+        "blocks array<struct<place int, kind int, text string>>"
     )
     table = shared_folder(pages.sparkSession, "page-blocks")
     arrow_map(rows, parse, schema).write.option("compression", "zstd").parquet(table)
     parsed = pages.sparkSession.read.parquet(table)
-    loose = parsed.where(F.size("rest") > 0).dropDuplicates(["uid"]).select("uid", "key", "host", F.inline("rest"))
-    unique = durable(
-        unique_runs(loose, depth, chunk_tokens).where("text <> ''")
-        .select(F.col("uid").alias("__uid"), F.col("text").alias("__text"))
+    copies = durable(
+        parsed.groupBy("uid").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("__row")).where("n > 1")
+        .select(F.col("uid").alias("__uid"), "__row")
     )
-    texts = parsed.select("page_id", "url", F.when(F.col("text") == "", F.col("uid")).alias("uid"), "text")
-    known = checked_broadcast(unique, 16 << 20, F.octet_length("__text") + 64)
-    joined = texts.join(known, F.col("uid") == F.col("__uid"), "left").withColumn(
-        "text", F.coalesce(F.col("__text"), F.col("text"))
+    again = (F.col("uid") == F.col("__uid")) & (F.col("row") > F.col("__row"))
+    single = parsed.join(checked_broadcast(copies, 16 << 20, 48), again, "left_anti")
+    judged = unique_runs(single.select("uid", "key", "host", F.inline("blocks")), depth, chunk_tokens)
+    texts = parsed.select("page_id", "url", "uid").join(judged, "uid", "left").withColumn(
+        "text", F.coalesce("text", F.lit(""))
     )
-    return joined.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
