@@ -171,6 +171,25 @@ def test_article_text(spark):
     assert html_text.main_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "body, want",
+    [("<div class='layout has-sidebar'><article><p>text</p></article></div>", "text"),
+     ("<div class='sidebar'><article><p>text</p></article></div>", "text"),
+     ("<form id=f><article><p>text</p></article></form>", "text"),
+     ("<form id=f><p>text</p></form>", "text"),
+     ("<article><section id='related-work'>one</section><h2 id='search'>two</h2><p class='share'>no</p></article>", "one two"),
+     ("<h1>head</h1><p>open<article><p>one</p><p>two</p></article>", "one two"),
+     ("<b>open<article><p>one</b></p><p>two</p></article>", "one two"),
+     ("<article>text</article><div class='related'><article>teaser</article></div>", "text"),
+     ("<main>text<div class='comments'><article>reply</article></div></main>", "text"),
+     ("<div class='cookie-banner'>no</div><aside><article>no</article></aside><p>text", "text")],
+)
+def test_wrappers_keep_the_article(body, want):
+    found = html_text.blocks(PAGE.format(body))
+    least = min(k for k, _ in found)
+    assert " ".join(t for k, t in found if k == least) == want
+
+
 @pytest.mark.parametrize("chunk", [100_000, 40])
 def test_repeats_inside_articles(spark, chunk):
     """An unmarked notice inside the article goes; copies, edited copies and sentences that share a phrase stay."""

@@ -37,29 +37,45 @@ PART = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S,
 )
-NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-WORD = re.compile(r"[a-z]+")
+WORD = re.compile(r"[^\W\d_]+")
+NAMES = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+# Ends of an implied paragraph: an open one does not reach out of these.
+HOLDS_P = frozenset("article main section div td th li blockquote body header footer aside nav form fieldset button dd figure "
+                    "figcaption details dialog".split())
+CLOSES_P = HOLDS_P - {"td", "th", "body", "button"} | frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl dt pre hr table address menu hgroup".split())
 MAIN_TEXT, LOOSE, ASIDE = 0, 1, 2
 
 
-def _marked(attributes: str) -> bool:
+def _marked(attributes: str, inside: bool) -> bool:
+    """Whether a class, role or id consists of marks alone (``ad``, ``cookie-banner``, not ``has-sidebar``).
+
+    Inside an article an id names a part of it and decides nothing.
+    """
     if "=" not in attributes:
         return False
-    text = " ".join("".join(m) for m in NAMES.findall(attributes))
-    return bool(text) and not MARKS.isdisjoint(WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", text).lower()))
+    names = " ".join(
+        "".join(values) for name, *values in NAMES.findall(attributes) if not (inside and name.lower() == "id")
+    )
+    split = (WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", t).lower()) for t in names.split())
+    return any(words and MARKS.issuperset(words) for words in split)
 
 
 def blocks(page: str) -> list[tuple[int, str]]:
     """(kind, text) of a page's blocks in order.
 
     MAIN_TEXT stands inside the article, ASIDE in menus, page headers, footers, sidebars, notices, adverts, forms and
-    reader comments (by element, class, id or role), LOOSE elsewhere in the body.  Scripts, styles, markup and hidden
-    elements give nothing.  Character references are decoded, white space becomes one space.
+    reader comments (by element, class, id or role), LOOSE elsewhere in the body.  An article inside a marked element or
+    a form is one where no article stands in fewer of them, and a form that holds all text of a page holds loose text.
+    Scripts, styles, markup and hidden elements give nothing.  Character references are decoded, white space becomes
+    one space.
     """
     found: list[tuple[int, str]] = []
+    around: list[tuple[int, bool]] = []  # for each block: marked elements and forms around it, a form alone made it ASIDE
     text: list[str] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # element, and for its content: hidden, aside, in the article
-    hidden = aside = inside = False
+    # element, and for its content: hidden, aside, in the article, aside by element, marked elements and forms, those marked
+    stack: list[tuple[str, bool, bool, bool, bool, int, int]] = []
+    start = (False, False, False, False, 0, 0)
+    hidden, aside, inside, fixed, soft, marks = start
     at = 0
 
     def close_block():
@@ -67,17 +83,27 @@ def blocks(page: str) -> list[tuple[int, str]]:
             plain = " ".join(entities.unescape("".join(text)).split())
             if plain:
                 found.append((ASIDE if aside else MAIN_TEXT if inside else LOOSE, plain))
+                around.append((soft, not (fixed or inside or marks)))
             text.clear()
 
     def leave(name):
-        nonlocal hidden, aside, inside
-        if any(e[0] == name for e in stack):
-            before = (hidden, aside, inside)
-            while stack.pop()[0] != name:
-                pass
-            if before != (stack[-1][1:] if stack else (False, False, False)):
-                close_block()
-            hidden, aside, inside = stack[-1][1:] if stack else (False, False, False)
+        """Closes the nearest open element of a name; paragraphs and inline elements do not reach out of their block."""
+        nonlocal hidden, aside, inside, fixed, soft, marks
+        held = name == "p" or name in INLINE
+        for e in reversed(stack):
+            if e[0] == name:
+                break
+            if held and e[0] in HOLDS_P:
+                return
+        else:
+            return
+        before = (hidden, aside, inside)
+        while stack.pop()[0] != name:
+            pass
+        after = stack[-1][1:] if stack else start
+        if before != after[:3]:
+            close_block()
+        hidden, aside, inside, fixed, soft, marks = after
 
     part = PART.match
 
@@ -108,18 +134,21 @@ def blocks(page: str) -> list[tuple[int, str]]:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
         elif name not in VOID:
-            if name == "p":  # an open paragraph ends where the next begins
+            if name in CLOSES_P:  # an open paragraph ends where the next block begins
                 leave("p")
             state = (hidden, aside, inside)
             if name in HIDDEN:
                 hidden = True
+            elif name == "form":
+                aside, soft = True, soft + 1
             elif name in CHROME and not (name == "header" and inside):
-                aside = True
-            elif name not in ("html", "body", *MAIN) and _marked(m[3]):
-                aside = True
+                aside = fixed = True
+            elif name not in ("html", "body", *MAIN) and _marked(m[3], inside):
+                aside, soft, marks = True, soft + 1, marks + 1
             elif name in MAIN:
+                aside = aside and (fixed or inside)
                 inside = True
-            stack.append((name, hidden, aside, inside))
+            stack.append((name, hidden, aside, inside, fixed, soft, marks))
             if (hidden, aside, inside) != state and name in INLINE and text:
                 kept = (hidden, aside, inside)
                 hidden, aside, inside = state
@@ -129,6 +158,11 @@ def blocks(page: str) -> list[tuple[int, str]]:
     if at < len(page) and not hidden:
         text.append(page[at:])
     close_block()
+    least = min((n for (k, _), (n, _) in zip(found, around) if k == MAIN_TEXT), default=0)
+    if least or any(n > least for (k, _), (n, _) in zip(found, around) if k == MAIN_TEXT):
+        found = [(ASIDE if k == MAIN_TEXT and n > least else k, t) for (k, t), (n, _) in zip(found, around)]
+    elif all(k == ASIDE for k, _ in found):
+        found = [(LOOSE if n and form else k, t) for (k, t), (n, form) in zip(found, around)]
     return found
 
 
