@@ -304,6 +304,19 @@ def test_leaks_with_substitutions(spark, sf):
     assert decontaminate.contamination(source.limit(0), tests).count() == 0
 
 
+def test_leaks_of_short_items_and_long_passages(spark):
+    """Short items quoted in longer texts, and verbatim passages below half of a long item."""
+    noise = lambda n, m: [f"n{n}x{i}" for i in range(m)]
+    nine, three, long = [f"q{i}" for i in range(9)], ["s0", "s1", "s2"], [f"t{i}" for i in range(250)]
+    rows = [(1, noise(1, 50) + nine + noise(2, 9)), (2, noise(3, 4) + three), (3, noise(4, 30) + long[60:160] + noise(5, 30)),
+            (4, noise(6, 30) + long[60:73]), (5, noise(7, 30) + long[60:72] + noise(8, 5)), (6, nine[:8] + noise(9, 20)), (7, nine), (8, three[:2])]
+    source = docs(spark, [(i, " ".join(w), "en", "s") for i, w in rows])
+    tests = spark.createDataFrame([(1, " ".join(nine)), (2, " ".join(three)), (3, " ".join(long))], "item_id long, text string")
+    found = {r.doc_id: (r.item_id, r.matched, r.item_words) for r in decontaminate.contamination(source, tests).collect()}
+    assert found == {1: (1, 9, 9), 2: (2, 3, 3), 3: (3, 100, 250), 4: (3, 13, 250), 7: (1, 9, 9)}
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(source, tests).collect()) == [5, 6, 8]
+
+
 # ---------------------------------------------------------------- 10 SimHash
 def slow_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
