@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, and their SQL twins where SQL can express them."""
+"""Registered queries of the operators, and their SQL twins where SQL can express them."""
 
 from __future__ import annotations
 
@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import sql
+from tidemark.llm.alignment import token_alignment
 from tidemark.llm.ann import nearest
 from tidemark.llm.common import prepare, read
 from tidemark.llm.decontaminate import contamination
+from tidemark.llm.fingerprint import fingerprints_with_next
 from tidemark.llm.html_text import main_text
 from tidemark.llm.langid import language, train
 from tidemark.llm.mixing import mix
+from tidemark.llm.periodic_runs import periodic_runs
 from tidemark.llm.simhash import simhash_components
 from tidemark.llm.token_counts import count_tokens
 from tidemark.llm.token_ids import read_token_files, write_token_files
@@ -87,11 +90,27 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return periodic_runs(read(spark, sf_dir, "documents"), planted=True).drop("runs")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    vocabularies = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    return token_alignment(read(spark, sf_dir, "documents"), *vocabularies)
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return fingerprints_with_next(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_warc, op2_token_ids, op3_toxicity, op4_mixing, op5_html_text, op6_nearest, op7_language, op8_token_counts,
-        op9_decontamination, op10_simhash,
+        op9_decontamination, op10_simhash, op11_periodic_runs, op12_token_alignment, op13_fingerprints,
     )
 }
 ORACLES: dict[str, str] = {
