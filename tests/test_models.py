@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from tidemark import config
 from tidemark.functions import risk
 from tidemark.operators import costs, drift, experiments, ledger, metrics, model, returns
-from tidemark.operators.ordered import calendar_cell
 
 
 def column(spark, c):
@@ -46,14 +45,14 @@ def test_order_plan_spreads_the_remainder(spark):
 def test_backtest_metrics_by_hand(spark):
     r = [0.01, -0.02, 0.0, 0.03, -0.11, 0.02]
     df = spark.createDataFrame([("m", datetime(2026, 1, 1) + timedelta(days=i), v, 1, int(v > 0)) for i, v in enumerate(r)], "k string, ts timestamp_ntz, ret double, predicted int, actual int")
-    got = metrics.backtest_metrics(df, ["k"], ["ts"], calendar_cell("ts")).first()
+    got = metrics.backtest_metrics(df, ["k"], ["ts"]).first()
     a = np.array(r)
     curve = np.cumprod(1 + a)
     assert got["sharpe_ratio"] == pytest.approx(a.mean() / a.std(ddof=1) * math.sqrt(252))
     assert got["total_return"] == pytest.approx(curve[-1] - 1)
     assert got["max_drawdown"] == pytest.approx((curve / np.maximum.accumulate(curve) - 1).min())
     assert (got["hit_rate"], got["n_trades"]) == (0.5, 5)
-    one = metrics.backtest_metrics(df.limit(1), ["k"], ["ts"], calendar_cell("ts")).first()
+    one = metrics.backtest_metrics(df.limit(1), ["k"], ["ts"]).first()
     assert one["sharpe_ratio"] == 0.0
 
 
@@ -287,7 +286,7 @@ def test_replay_metrics(spark):
     df = spark.createDataFrame(rows, "market string, run_id int, ts timestamp_ntz, p double, ret double, volume double, spread double, rolling_vol double")
     led = ledger.pnl_ledger(df, ["market", "run_id"], ["ts"])
     pdf = led.toPandas().sort_values("ts")
-    got = ledger.replay_metrics(led, ["market", "run_id"], ["ts"], calendar_cell("ts", "month")).first()
+    got = ledger.replay_metrics(led, ["market", "run_id"], ["ts"], F.date_trunc("month", "ts")).first()
     r = pdf["capital_return"]
     assert got["sharpe_ratio"] == pytest.approx(r.mean() / r.std() * math.sqrt(252))
     assert got["total_return"] == pytest.approx(pdf["capital_after"].iloc[-1] / 100_000 - 1)
@@ -299,12 +298,12 @@ def test_rolling_vol_and_folds(spark):
     rng = np.random.default_rng(3)
     prices = 100 * np.exp(np.cumsum(rng.normal(0, 0.02, 60)))
     df = spark.createDataFrame([("A", datetime(2026, 1, 1) + timedelta(days=i), float(p)) for i, p in enumerate(prices)], "market string, ts timestamp_ntz, close double")
-    got = returns.rolling_vol(df, calendar_cell("ts", "week")).toPandas().sort_values("ts")["rolling_vol"].to_numpy()
+    got = returns.rolling_vol(df, F.date_trunc("week", "ts")).toPandas().sort_values("ts")["rolling_vol"].to_numpy()
     for i in range(60):
         start = max(0, i - 20)
         want = 0.02 if i - start < 2 else np.std(np.diff(np.log(prices[start : i + 1])), ddof=1)
         assert got[i] == pytest.approx(want, rel=1e-9)
-    cut = returns.folds(df, calendar_cell("ts", "week"), n_splits=5, embargo=5, min_train=20, test_size=10).toPandas()
+    cut = returns.folds(df, F.date_trunc("week", "ts"), n_splits=5, embargo=5, min_train=20, test_size=10).toPandas()
     assert sorted(cut.fold.unique()) == [0, 1, 2]
     for k, g in cut.groupby("fold"):
         train, test = g[g.role == "train"].row_idx, g[g.role == "test"].row_idx

@@ -86,8 +86,8 @@ def test_framed_frames_cross_blocks(series, block):
         np.testing.assert_allclose(a[c].astype(float), b[c].astype(float), atol=1e-12)
 
 
-@pytest.mark.parametrize("ranges", [1, 7, 4096])
-def test_exact_quantiles_with_outliers_and_ties(spark, ranges):
+@pytest.mark.parametrize("rows", [3, 50, 4096])
+def test_exact_quantiles_with_outliers_and_ties(spark, rows):
     rng = np.random.default_rng(5)
     data = {
         "normal": rng.normal(size=501),
@@ -96,13 +96,12 @@ def test_exact_quantiles_with_outliers_and_ties(spark, ranges):
         "single": np.array([4.5]),
         "zeros": np.zeros(9),
     }
-    rows = [(k, float(v)) for k, vs in data.items() for v in vs]
-    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
-    got = exact_quantiles(df, ["k"], "v", {"p10": 0.1, "p50": 0.5, "p95": 0.95}, ranges).toPandas().set_index("k")
+    df = spark.createDataFrame([(k, float(v)) for k, vs in data.items() for v in vs], "k string, v double").repartition(5)
+    got = exact_quantiles(df, ["k"], "v", {"p10": 0.1, "p50": 0.5, "p95": 0.95}, rows).toPandas().set_index("k")
     for k, vs in data.items():
         for name, p in (("p10", 10), ("p50", 50), ("p95", 95)):
             assert got.loc[k, name] == pytest.approx(np.percentile(vs, p), rel=1e-12, abs=1e-12)
-    alone = exact_quantiles(df.where("k = 'normal'"), [], "v", {"m": 0.5}, ranges).first()["m"]
+    alone = exact_quantiles(df.where("k = 'normal'"), [], "v", {"m": 0.5}, rows).first()["m"]
     assert alone == pytest.approx(np.median(data["normal"]))
 
 
@@ -163,7 +162,7 @@ def test_breakers_match_loop(spark):
     names = ["max_daily_loss", "max_drawdown", "max_position_size", "max_single_trade_loss"]
     values = dict(zip(names, [F.col("a"), F.col("b"), F.col("c") + 0.06, F.col("d")]))
     for cooldown in (1, 3):
-        got = machines.breakers(df, ["k"], ["i"], F.floor(F.col("i") / 20), values, cooldown=cooldown).orderBy("i").toPandas()
+        got = machines.breakers(df, ["k"], ["i"], values, F.floor(F.col("i") / 20), cooldown=cooldown).orderBy("i").toPandas()
         limits = {"max_daily_loss": (-0.02, False), "max_drawdown": (-0.05, False), "max_position_size": (0.10, True), "max_single_trade_loss": (-0.01, False)}
         raw = {n: got[c] + (0.06 if n == "max_position_size" else 0) for n, c in zip(names, "abcd")}
         left = dict.fromkeys(names, 0)
@@ -193,3 +192,74 @@ def test_running_sums_and_extremes(series):
     )
     for c in ("a", "a_peak", "b", "b_peak"):
         np.testing.assert_allclose(got[c], want[c], atol=1e-12)
+
+
+def test_counted_cells(spark):
+    """No cell above its size, whatever the distribution; cells never fall along the order."""
+    from datetime import datetime, timedelta
+
+    from tidemark.operators.cells import counted_cells
+
+    rng = np.random.default_rng(2)
+    start = datetime(2024, 1, 1)
+    crowded = np.where(rng.random(3000) < 0.99, rng.integers(0, 3_600_000_000, 3000), rng.integers(0, 10**15, 3000))
+    cases = [
+        # 99 % of a key in one hour, a small key, a null key
+        ([("hot", start + timedelta(microseconds=int(x)), i) for i, x in enumerate(crowded)]
+         + [("cold", start, i) for i in range(9)] + [(None, start, i) for i in range(300)],
+         "k string, ts timestamp_ntz, id long", ["k"], ["ts", "id"], 100),
+        # all rows at one moment: the tie-break is cut, evenly spread or not
+        ([("a", start, i**3) for i in range(900)], "k string, ts timestamp_ntz, id long", ["k"], ["ts", "id"], 70),
+        # values near 1e6 and an outlier; values over hundreds of orders of magnitude, of both signs
+        ([(float(x),) for x in [*rng.normal(1e6, 1, 900), 1e12, -1e300, float("inf")]], "v double", [], ["v"], 40),
+        ([(float(s) * 10.0 ** float(e),) for s, e in zip(rng.choice([-1, 1], 900), rng.uniform(-300, 300, 900))], "v double", [], ["v"], 60),
+    ]
+    for rows, schema, keys, order, most in cases:
+        df = spark.createDataFrame(rows, schema).repartition(5)
+        cells = counted_cells(df, keys, order, most)
+        got = cells.place(df).toPandas()
+        assert not cells.single and len(got) == len(rows)
+        parts = got.groupby(keys, dropna=False) if keys else [(None, got)]
+        for _, part in parts:
+            assert (np.diff(part.sort_values(order)["_cell"]) >= 0).all()
+            sizes = part["_cell"].value_counts()
+            assert sizes.max() <= most
+            assert len(sizes) <= 4 * len(part) / most + 1
+    small = counted_cells(df, [], ["v"], 10_000)
+    assert small.single and small.place(df).where("_cell <> 0").isEmpty()
+    assert counted_cells(df.limit(0), [], ["v"]).single
+    # rows that agree in every order column cannot be told apart and stay together; nulls lie in the first cell
+    ties = spark.createDataFrame([("a", 1.0)] * 50 + [("a", 2.0)] * 3 + [("a", None)] * 4, "k string, v double")
+    got = counted_cells(ties, ["k"], ["v"], 10).place(ties).toPandas()
+    assert got[got.v.isna()]["_cell"].max() <= got[got.v == 1.0]["_cell"].min() and got[got.v == 1.0]["_cell"].nunique() == 1
+
+
+def test_operators_in_counted_cells(series, monkeypatch):
+    """The same results from one window and from cells far smaller than a key."""
+    from tidemark.operators import cells, ordered
+
+    pdf, df = series
+    want = expected(pdf, lambda g: g.assign(s=g.x.cumsum(), prev=g.x.shift(1), last=g.gap.astype(float).ffill()))
+    for size in (25, 10_000):
+        monkeypatch.setattr(ordered, "counted_cells", lambda d, k, o, n=size: cells.counted_cells(d, k, o, size))
+        ran = running(df, ["k"], ["i"], None, {"s": ("sum", F.col("x")), "last": ("last", F.col("gap"))})
+        out = framed(ran, ["k"], ["i"], None, {"prev": lambda f: F.first("x").over(f(-1, -1))}, before=1, block_rows=30, index="n")
+        a, b = by_key(out.toPandas()), by_key(want)
+        for c in ("s", "last", "prev"):
+            np.testing.assert_allclose(a[c].astype(float), b[c].astype(float), atol=1e-12)
+        assert (a["n"] == a["i"]).all()
+
+
+def test_composed_maps_equal_a_loop():
+    rng = np.random.default_rng(11)
+    table = rng.integers(0, 7, (3, 7)).astype(np.int32)
+    for n in (1, 2, 3, 8, 13, 100):
+        symbols = rng.integers(0, 3, n)
+        levels = machines.composed(table[symbols])
+        for start in range(7):
+            state, want = start, []
+            for s in symbols:
+                want.append(state)
+                state = int(table[s, state])
+            assert machines.states_before(levels, start)[:n].tolist() == want
+            assert levels[-1][0][start] == state

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from tidemark import config
 from tidemark.operators.metrics import sharpe
-from tidemark.operators.ordered import checked_broadcast, cumulative_counts, running_sums
+from tidemark.operators.ordered import CELL_ROWS, Cut, checked_broadcast, cumulative_counts, running_sums
 from tidemark.operators.returns import max_drawdown
 from tidemark.session import durable
 
 
-def value_profile(samples: DataFrame, ranges: int = 1024) -> DataFrame:
+def value_profile(samples: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Distinct values per feature with exact running counts of both samples.
 
     PSI and KS are both functions of this one table and read it several times,
@@ -23,7 +23,7 @@ def value_profile(samples: DataFrame, ranges: int = 1024) -> DataFrame:
     current = F.col("is_current")
     return durable(
         cumulative_counts(
-            samples, ["feature"], "x", {"n_base": (~current).cast("long"), "n_cur": current.cast("long")}, ranges
+            samples, ["feature"], "x", {"n_base": (~current).cast("long"), "n_cur": current.cast("long")}, cell_rows
         )
     )
 
@@ -131,8 +131,8 @@ def performance_drift(
     rows: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    cell: Column,
     baseline_sharpe: Column,
+    cell: Cut = None,
     ret: str = "ret",
     p: str = "p",
     actual: str = "actual",
@@ -160,26 +160,27 @@ def cusum(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    cell: Column,
+    cell: Cut = None,
     x: str = "x",
     target: float = 0.0,
     slack: float = config.CUSUM_SLACK,
     threshold: float = config.CUSUM_THRESHOLD,
 ) -> DataFrame:
-    """Both one-sided sums in closed form.
+    """Both one-sided sums in closed form."""
+    up, down = F.col(x) - target - slack, -(F.col(x) - target) - slack
+    return cusum_sums(df, keys, order, up, down, cell).withColumn("alert", (F.col("s_pos") > threshold) | (F.col("s_neg") > threshold))
+
+
+def cusum_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], up: Column, down: Column, cell: Cut = None) -> DataFrame:
+    """``s_pos`` and ``s_neg``: s = max(0, s + step), from 0, for two columns of steps.
 
-    max(0, s + d) unrolled is C - min(0, running min of C) with C the running
-    sum of d, so two running windows replace the per-row recursion.
+    Unrolled this is C - min(0, running min of C) with C the running sum of steps, so a stretch of rows is known by two
+    numbers, its sum and its least running sum.  Two running windows replace the per-row recursion, and a key is
+    shared by as many tasks as it has cells.
     """
-    up, down = F.col(x) - target - slack, -(F.col(x) - target) - slack
     sums = running_sums(df, keys, order, cell, {"_cp": up, "_cn": down}, {"_cp": "min", "_cn": "min"})
     over = lambda c: F.col(c) - F.least(F.lit(0.0), F.col(f"{c}_peak"))
-    return (
-        sums.withColumn("s_pos", over("_cp"))
-        .withColumn("s_neg", over("_cn"))
-        .withColumn("alert", (F.col("s_pos") > threshold) | (F.col("s_neg") > threshold))
-        .drop("_cp", "_cn", "_cp_peak", "_cn_peak")
-    )
+    return sums.withColumn("s_pos", over("_cp")).withColumn("s_neg", over("_cn")).drop("_cp", "_cn", "_cp_peak", "_cn_peak")
 
 
 def drift_report(performance: DataFrame, features: DataFrame | None, alerts: DataFrame | None, keys: Sequence[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import config
-from tidemark.operators.ordered import calendar_cell, running
+from tidemark.operators.ordered import Cut, running
 
 PRIMARY_KEY = ["market", "feature_name", "as_of"]
 
@@ -78,7 +78,7 @@ def matrix(
     store: DataFrame,
     probes: DataFrame,
     feature_names: Sequence[str],
-    cell_unit: str = "month",
+    cell: Cut = None,
     tie_break: Column | None = None,
 ) -> DataFrame:
     """As-of join of (market, ts) probes with every feature, one wide row per probe.
@@ -86,8 +86,8 @@ def matrix(
     Observations and probes are merged into one time line per market.  Each
     feature is a running maximum of (as_of, value) over what became available
     so far, so one pass serves all features and there is no range join.  The
-    time line is cut into calendar cells (see ``ordered.running``); a market
-    that holds a third of all rows is shared by as many tasks as it has cells.
+    time line of a large market is cut into counted cells (see ``ordered.running``),
+    so a market that holds a third of all rows is shared by as many tasks as it has cells.
     Observations sort before probes at equal times: the boundary is visible.
     """
     seq = tie_break if tie_break is not None else F.lit(0)
@@ -110,7 +110,7 @@ def matrix(
         line,
         ["market"],
         ["ts", "is_probe"],
-        calendar_cell("ts", cell_unit),
+        cell,
         {f"_f{i}": ("max", F.when(F.col("feature_name") == name, F.col("seen"))) for i, name in enumerate(feature_names)},
     )
     return newest.where(F.col("is_probe") == 1).select(

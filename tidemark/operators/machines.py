@@ -4,7 +4,8 @@ A machine with few states turns a block of rows into a small table "state in ->
 state out".  Such tables compose, so a key is folded block by block in
 parallel: tables per (key, block), a short pass over the tables of a key to
 find the state each block starts in, then the rows of each block once more from
-its start state.  The result equals the row-by-row fold.
+its start state.  Inside a block the tables are joined by doubling, without a
+loop over rows.  The result equals the row-by-row fold.
 """
 
 from __future__ import annotations
@@ -17,16 +18,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import config
-from tidemark.operators.ordered import attach, index_rows
+from tidemark.operators.ordered import Cut, attach, index_rows
+
+
+def composed(maps: np.ndarray) -> list[np.ndarray]:
+    """Levels of a tree over a block: rows' maps "state in -> state out", then those of 2, 4, 8, ... rows in a row.
+
+    Maps are joined pairwise by one gather a level, so a block takes log2(rows) steps.
+    """
+    levels = [maps]
+    while len(levels[-1]) > 1:
+        below = levels[-1]
+        if len(below) % 2:
+            below = levels[-1] = np.vstack([below, np.arange(below.shape[1], dtype=below.dtype)[None]])
+        levels.append(np.take_along_axis(below[1::2], below[0::2].astype(np.int64), axis=1))
+    return levels
+
+
+def states_before(levels: list[np.ndarray], start: int) -> np.ndarray:
+    """The state before each row, from the top of the tree down: a right half starts where its left half ends."""
+    states = np.array([start], np.int32)
+    for below in levels[-2::-1]:
+        states = states[: len(below) // 2]
+        after = below[0::2][np.arange(len(states)), states]
+        states = np.column_stack([states, after]).ravel()
+    return states
 
 
 def run_machine(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    cell: Column,
     symbol: str,
     transition: np.ndarray,
+    cell: Cut = None,
     start: int = 0,
     block_rows: int = 250_000,
 ) -> DataFrame:
@@ -39,16 +64,13 @@ def run_machine(
     keys, order = list(keys), list(order)
     group = [*keys, "_block"]
     table = np.asarray(transition, dtype="int32")
-    n_states = table.shape[1]
     numbered = index_rows(df, keys, order, cell, "_idx")
     rows = numbered.withColumn("_block", F.floor(F.col("_idx") / block_rows))
     key_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*group).schema)
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        image = np.arange(n_states, dtype="int32")
-        for s in pdf.sort_values("_idx")[symbol].to_numpy():
-            image = table[s][image]
-        return pdf[group].iloc[:1].assign(image=[image.tolist()])
+        root = composed(table[pdf.sort_values("_idx")[symbol].to_numpy()])[-1][0]
+        return pdf[group].iloc[:1].assign(image=[root.tolist()])
 
     images = rows.select(*group, "_idx", symbol).groupBy(*group).applyInPandas(
         summarise, f"{key_fields}, image array<int>"
@@ -67,11 +89,7 @@ def run_machine(
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_idx")
-        state = int(pdf["_start"].iloc[0])
-        before = np.empty(len(pdf), dtype="int32")
-        for i, s in enumerate(pdf[symbol].to_numpy()):
-            before[i] = state
-            state = int(table[s, state])
+        before = states_before(composed(table[pdf[symbol].to_numpy()]), int(pdf["_start"].iloc[0]))[: len(pdf)]
         return pdf.drop(columns=["_block", "_idx", "_start"]).assign(state_before=before)
 
     out_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
@@ -109,7 +127,7 @@ def rollback(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    cell: Column,
+    cell: Cut = None,
     current: str = "current_fitness",
     champion: str = "champion_fitness",
     drop: float = config.ROLLBACK["drop"],
@@ -122,7 +140,7 @@ def rollback(
     degraded = F.when(F.col(champion) == 0, 0).otherwise((fall > drop).cast("int"))
     flagged = df.withColumn("degraded", F.coalesce(degraded, F.lit(0)))
     states = run_machine(
-        flagged, keys, order, cell, "degraded", rollback_table(sustained, recovery, cooldown)
+        flagged, keys, order, "degraded", rollback_table(sustained, recovery, cooldown), cell
     )
     state = F.col("state_before")
     return states.select(
@@ -149,8 +167,8 @@ def breakers(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    cell: Column,
     values: dict[str, Column],
+    cell: Cut = None,
     limits: dict[str, tuple[float, bool]] | None = None,
     cooldown: int = config.BREAKER_COOLDOWN,
 ) -> DataFrame:
@@ -177,7 +195,7 @@ def breakers(
                 nxt += int(single[(s >> i) & 1, rest % base]) * base**i
                 rest //= base
             table[s, state] = nxt
-    run = run_machine(df.withColumn("_code", code), keys, order, cell, "_code", table)
+    run = run_machine(df.withColumn("_code", code), keys, order, "_code", table, cell)
     flags = []
     for i, name in enumerate(names):
         own = F.pmod(F.floor(F.col("state_before") / base**i), F.lit(base))

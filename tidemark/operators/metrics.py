@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import config
+from tidemark.operators.ordered import Cut
 from tidemark.operators.returns import max_drawdown
 
 ANNUAL = sqrt(252.0)
@@ -24,7 +25,7 @@ def backtest_metrics(
     rows: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    cell: Column,
+    cell: Cut = None,
     ret: str = "ret",
     predicted: str = "predicted",
     actual: str = "actual",

@@ -8,10 +8,10 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import calendar_cell, checked_broadcast
+from tidemark.operators.ordered import Cut, checked_broadcast
 from tidemark.operators.returns import binary_target
 from tidemark.session import durable
 
@@ -72,12 +72,12 @@ def importance(spark: SparkSession, model: PipelineModel) -> DataFrame:
     )
 
 
-def training_set(prices: DataFrame, matrix: DataFrame, cell: Column | None = None) -> DataFrame:
+def training_set(prices: DataFrame, matrix: DataFrame, cell: Cut = None) -> DataFrame:
     """Features at each price time with the five-step target.
 
     Markets with fewer than fifty prices or thirty targets are left out.
     """
-    labelled = binary_target(prices, calendar_cell("ts", "year") if cell is None else cell, HORIZON)
+    labelled = binary_target(prices, cell, HORIZON)
     # the last bars have no target, so targets follow from prices and one count decides
     sizes = prices.groupBy("market").agg(F.count(F.lit(1)).alias("_prices"))
     enough = durable(sizes.where(F.col("_prices") >= max(MIN_PRICES, MIN_TARGETS + HORIZON)).select("market"))

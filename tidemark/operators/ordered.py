@@ -1,12 +1,12 @@
 """Ordered computations per key that no single task has to carry alone.
 
 A plain ``Window.partitionBy(key).orderBy(ts)`` sends all rows of a key to one
-task, which fails once one market holds a third of the data.  Here a key is cut
-into *cells* along its order (a calendar unit or a value range).  Work inside a
-cell is an ordinary window over ``(key, cell)``; what a cell must know of the
-cells before it is one carry row per cell, computed from map-side combined
-totals and joined back.  Carry tables hold one row per (key, cell), so their
-per-key window is bounded by the number of calendar units, not by the rows.
+task, which fails once one market holds a third of the data.  Here a large key
+is cut into *cells* along its order, sized by counting its rows (``cells``).
+Work inside a cell is an ordinary window over ``(key, cell)``; what a cell must
+know of the cells before it is one carry row per cell, computed from the rows
+where they already lie and joined back.  Where no key is larger than a cell
+there is nothing to carry, and the plan is one window over the keys.
 """
 
 from __future__ import annotations
@@ -17,18 +17,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.cells import CELL_ROWS, Cells, counted_cells
 from tidemark.session import durable
 
 _FIRST = Window.unboundedPreceding
 
+# Where the cells of an operator come from: a directory made beforehand (one for all operators on the same order), a
+# column that never falls along the order, or None: the operator counts its own input.
+Cut = Cells | Column | None
 
-def calendar_cell(ts: str, unit: str = "day") -> Column:
-    """Cell of a timestamp; ``unit`` is any unit ``date_trunc`` knows.
 
-    Take a unit in which one key's rows fit a task (they may spill): hour or
-    minute for event streams, month or year for daily bars.
-    """
-    return F.date_trunc(unit, F.col(ts))
+def placed(df: DataFrame, keys: Sequence[str], order: Sequence[str], cell: Cut) -> tuple[DataFrame, bool]:
+    """``df`` with ``_cell``, and whether every key is one cell."""
+    if isinstance(cell, Column):
+        return df.withColumn("_cell", cell), False
+    cells = counted_cells(df, keys, order) if cell is None else cell
+    return cells.place(df), cells.single
 
 
 def attach(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -65,47 +69,39 @@ def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    cell: Column,
+    cell: Cut,
     columns: dict[str, tuple[str, Column]],
 ) -> DataFrame:
     """Running aggregates from the first row of the key up to the current row.
 
     ``columns`` maps an output name to ``(kind, expression)`` with kind one of
     sum, max, min, last (last non-null value).  ``order`` must be total within
-    a key and ``cell`` must be non-decreasing along it.
+    a key.
     """
     keys = list(keys)
+    kept = [c for c in df.columns if c not in columns]
+    cut, single = placed(df, keys, order, cell)
+    if single:
+        along = Window.partitionBy(*keys).orderBy(*order).rowsBetween(_FIRST, 0)
+        return df.select(*kept, *[_RUNNING[kind](e).over(along).alias(n) for n, (kind, e) in columns.items()])
     # One struct holds key and cell: equal structs may contain nulls, so plain
     # equality is null-safe and the exchange of the window also serves the join.
-    base = df.withColumn("_cell", cell).withColumn("_g", F.struct(*keys, "_cell")).withColumns(
-        {f"_x_{name}": expression for name, (_, expression) in columns.items()}
-    )
+    base = cut.withColumn("_g", F.struct(*keys, "_cell"))
     within = Window.partitionBy("_g").orderBy(*order).rowsBetween(_FIRST, 0)
     local = base.select(
-        *df.columns,
-        "_g",
-        *[_RUNNING[kind](F.col(f"_x_{n}")).over(within).alias(f"_l_{n}") for n, (kind, _) in columns.items()],
-    )
-
-    totals = base.groupBy("_g").agg(
-        *[
-            (
-                F.max_by(F.col(f"_x_{n}"), F.when(F.col(f"_x_{n}").isNotNull(), F.struct(*order)))
-                if kind == "last"
-                else _RUNNING[kind](F.col(f"_x_{n}"))
-            ).alias(f"_t_{n}")
-            for n, (kind, _) in columns.items()
-        ]
+        *df.columns, "_g", *[_RUNNING[kind](e).over(within).alias(f"_l_{n}") for n, (kind, e) in columns.items()]
     )
+    # the last row of a cell holds its totals; the rows are clustered by cell already, so this moves none
+    ended = F.struct(*[F.col(f"_l_{n}") for n in columns])
+    totals = local.groupBy("_g").agg(F.max_by(ended, F.struct(*order)).alias("_t"))
     earlier = Window.partitionBy(*[F.col(f"_g.{k}") for k in keys]).orderBy("_g._cell").rowsBetween(_FIRST, -1)
     carry = totals.select(
         F.col("_g").alias("_gc"),
-        *[_RUNNING[kind](F.col(f"_t_{n}")).over(earlier).alias(f"_c_{n}") for n, (kind, _) in columns.items()],
+        *[_RUNNING[kind](F.col(f"_t._l_{n}")).over(earlier).alias(f"_c_{n}") for n, (kind, _) in columns.items()],
     )
     joined = local.join(carry, F.col("_g") == F.col("_gc"))
     return joined.select(
-        *[c for c in df.columns if c not in columns],
-        *[_combine(kind, F.col(f"_c_{n}"), F.col(f"_l_{n}")).alias(n) for n, (kind, _) in columns.items()],
+        *kept, *[_combine(kind, F.col(f"_c_{n}"), F.col(f"_l_{n}")).alias(n) for n, (kind, _) in columns.items()]
     )
 
 
@@ -113,7 +109,7 @@ def running_sums(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    cell: Column,
+    cell: Cut,
     columns: dict[str, Column],
     extremes: dict[str, str],
 ) -> DataFrame:
@@ -126,9 +122,12 @@ def running_sums(
     (total, extreme) per cell.
     """
     keys = list(keys)
-    base = df.withColumn("_cell", cell).withColumn("_g", F.struct(*keys, "_cell")).withColumns(
-        {f"_x_{n}": c for n, c in columns.items()}
-    )
+    cut, single = placed(df, keys, order, cell)
+    if single:
+        along = Window.partitionBy(*keys).orderBy(*order).rowsBetween(_FIRST, 0)
+        summed = df.select(*df.columns, *[F.sum(c).over(along).alias(n) for n, c in columns.items()])
+        return summed.select("*", *[_RUNNING[extremes[n]](F.col(n)).over(along).alias(f"{n}_peak") for n in columns])
+    base = cut.withColumn("_g", F.struct(*keys, "_cell")).withColumns({f"_x_{n}": c for n, c in columns.items()})
     within = Window.partitionBy("_g").orderBy(*order).rowsBetween(_FIRST, 0)
     local = base.withColumns({f"_l_{n}": F.sum(f"_x_{n}").over(within) for n in columns}).withColumns(
         {f"_p_{n}": _RUNNING[extremes[n]](F.col(f"_l_{n}")).over(within) for n in columns}
@@ -157,7 +156,7 @@ def running_sums(
 
 
 def index_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], cell: Column, out: str = "row_idx"
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], cell: Cut = None, out: str = "row_idx"
 ) -> DataFrame:
     """Exact zero-based position of each row inside its key."""
     counted = running(df, keys, order, cell, {out: ("sum", F.lit(1).cast("long"))})
@@ -168,7 +167,7 @@ def framed(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    cell: Column,
+    cell: Cut,
     columns: dict[str, Callable[[Callable[[int, int], object]], Column]],
     before: int = 0,
     after: int = 0,
@@ -177,7 +176,7 @@ def framed(
 ) -> DataFrame:
     """Window expressions with a bounded row frame, over blocks of equal size.
 
-    Rows are numbered inside their key, cut into blocks of ``block_rows`` and
+    Rows of large keys are numbered inside their key, cut into blocks of ``block_rows`` and
     the ``before``/``after`` neighbours of each block are copied into it, so
     every frame is complete inside one block.  ``columns`` maps a name to a
     function that receives ``frame(lo, hi)`` (a window spec) and returns a
@@ -186,6 +185,13 @@ def framed(
     if max(before, after) > block_rows:
         raise ValueError("block_rows must cover the frame")
     keys = list(keys)
+    if cell is None:
+        cell = counted_cells(df, keys, order)
+    if isinstance(cell, Cells) and cell.single:
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        number = [(F.row_number().over(whole).cast("long") - 1).alias(index)] if index else []
+        made = [make(lambda lo, hi: whole.rowsBetween(lo, hi)).alias(name) for name, make in columns.items()]
+        return df.select(*df.columns, *made, *number)
     numbered = index_rows(df, keys, order, cell, "_idx")
     own = F.floor(F.col("_idx") / block_rows)
     offset = F.col("_idx") - own * block_rows
@@ -221,83 +227,41 @@ def checked_broadcast(df: DataFrame, limit: int = 20_000) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def _log_scale(value: Column, scale: Column) -> Column:
-    """Monotone map that keeps far outliers from claiming most of the range."""
-    return F.signum(value) * F.log1p(F.abs(value) / scale)
-
-
-def _with_range(df: DataFrame, source: DataFrame, keys: Sequence[str], value: str, ranges: int) -> DataFrame:
-    """Adds ``_range`` in [0, ranges): non-decreasing in the value, from plain arithmetic.
-
-    Bounds are one map-side combined row per key of ``source``.  They are made
-    durable: two readers of a floating-point average must not disagree on a cut.
-    """
-    v = F.col(value)
-    spread = source.where(v.isNotNull()).groupBy(*keys).agg(
-        F.min(v).alias("_min"),
-        F.max(v).alias("_max"),
-        F.coalesce(F.exp(F.avg(F.when(v != 0, F.log(F.abs(v))))), F.lit(1.0)).alias("_scale"),
-    )
-    bounds = durable(
-        spread.select(
-            *keys,
-            "_scale",
-            _log_scale(F.col("_min"), F.col("_scale")).alias("_low"),
-            _log_scale(F.col("_max"), F.col("_scale")).alias("_high"),
-        )
-    )
-    if keys:
-        placed = attach(df, checked_broadcast(bounds), keys)
-    else:
-        one = bounds.select(F.struct("_scale", "_low", "_high").alias("_b"))  # exactly one row
-        placed = df.withColumn("_b", one.scalar()).select("*", "_b.*").drop("_b")
-    share = (_log_scale(v, F.col("_scale")) - F.col("_low")) / (F.col("_high") - F.col("_low"))
-    number = F.least(F.floor(share * ranges).cast("int"), F.lit(ranges - 1))
-    return placed.withColumn("_range", F.when(F.col("_high") > F.col("_low"), number).otherwise(F.lit(0))).drop(
-        "_scale", "_low", "_high"
-    )
-
-
 def cumulative_counts(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    counts: dict[str, Column],
-    ranges: int = 1024,
+    df: DataFrame, keys: Sequence[str], value: str, counts: dict[str, Column], cell_rows: int = CELL_ROWS
 ) -> DataFrame:
     """Distinct values per key with running totals of ``counts`` up to and including each.
 
-    Equal values are combined before any shuffle; the distinct values are cut
-    into up to ``ranges`` value ranges per key, so a hot key is shared by many tasks.
+    Equal values are combined before any shuffle; a key of more than
+    ``cell_rows`` rows is cut along its values, so it is shared by many tasks.
     """
     keys = list(keys)
-    tallied = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(*[F.sum(expr.cast("long")).alias(name) for name, expr in counts.items()])
-    )
-    placed = _with_range(tallied, df, keys, value, ranges)
-    return running(
-        placed, keys, [value], F.col("_range"), {f"cum_{n}": ("sum", F.col(n)) for n in counts}
-    ).drop("_range")
+    valued = df.where(F.col(value).isNotNull())
+    cells = counted_cells(valued, keys, [value], cell_rows)
+    tallied = valued.groupBy(*keys, value).agg(*[F.sum(expr.cast("long")).alias(name) for name, expr in counts.items()])
+    return running(tallied, keys, [value], cells, {f"cum_{n}": ("sum", F.col(n)) for n in counts})
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], ranges: int = 4096
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], cell_rows: int = CELL_ROWS
 ) -> DataFrame:
-    """Exact linear-interpolation quantiles per key without sorting or holding a key.
+    """Exact linear-interpolation quantiles per key without sorting or holding a large key.
 
-    One pass counts rows per value range (map-side combined).  The counts tell
-    which ranges hold the wanted ranks; a second pass reads only the rows of
-    those ranges and finds the ranks inside them.
+    Keys of at most ``cell_rows`` rows are one aggregate.  Otherwise one pass
+    counts rows per cell of the value order (map-side combined), the counts tell
+    which cells hold the wanted ranks, and a second pass reads only the rows of
+    those and finds the ranks inside them.
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(*keys, value)
-    placed = _with_range(rows, rows, keys, value, ranges)
-    sizes = placed.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    by_key = Window.partitionBy(*keys)  # at most `ranges` rows per key
+    cells = counted_cells(rows, keys, [value], cell_rows)
+    if cells.single:
+        return rows.groupBy(*keys).agg(*[F.percentile(value, float(p)).alias(n) for n, p in probs.items()])
+    cut = cells.place(rows)
+    sizes = cut.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    by_key = Window.partitionBy(*keys)  # a row per cell
     located = sizes.withColumn(
-        "_before", F.coalesce(F.sum("_n").over(by_key.orderBy("_range").rowsBetween(_FIRST, -1)), F.lit(0))
+        "_before", F.coalesce(F.sum("_n").over(by_key.orderBy("_cell").rowsBetween(_FIRST, -1)), F.lit(0))
     ).withColumn("_total", F.sum("_n").over(by_key))
     ranks = F.array(*[
         F.struct(F.lit(name).alias("name"), rank(F.lit(float(p)) * (F.col("_total") - 1)).cast("long").alias("rank"))
@@ -307,15 +271,15 @@ def exact_quantiles(
     holds = (F.col("_before") <= F.col("_r.rank")) & (F.col("_r.rank") < F.col("_before") + F.col("_n"))
     wanted = durable(
         located.withColumn("_r", F.explode(ranks)).where(holds)
-        .groupBy(*keys, "_range", "_before", "_total")
+        .groupBy(*keys, "_cell", "_before", "_total")
         .agg(F.collect_set("_r").alias("_wanted"))
     )
-    hit = attach(placed, checked_broadcast(wanted), [*keys, "_range"]).where(F.col("_wanted").isNotNull())
-    tallied = hit.groupBy(*keys, "_range", value).agg(
+    hit = attach(cut, checked_broadcast(wanted), [*keys, "_cell"]).where(F.col("_wanted").isNotNull())
+    tallied = hit.groupBy(*keys, "_cell", value).agg(
         F.count(F.lit(1)).alias("_n"), F.first("_before").alias("_before"), F.first("_total").alias("_total"),
         F.first("_wanted").alias("_wanted"),
     )
-    inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(_FIRST, 0)
+    inside = Window.partitionBy(*keys, "_cell").orderBy(value).rowsBetween(_FIRST, 0)
     upto = tallied.withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
     here = F.filter("_wanted", lambda r: (r["rank"] < F.col("_upto")) & (r["rank"] >= F.col("_upto") - F.col("_n")))
     found = upto.withColumn("_r", F.explode(here))

@@ -4,24 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import config
-from tidemark.operators.ordered import attach, checked_broadcast, framed, index_rows, running, running_sums
+from tidemark.operators.ordered import Cut, attach, checked_broadcast, framed, index_rows, running, running_sums
 from tidemark.session import durable
 
 DEFAULT_VOL = 0.02
 
 
-def simple_returns(bars: DataFrame, cell: Column, price: str = "close", keys=("market",), order=("ts",)) -> DataFrame:
+def simple_returns(bars: DataFrame, cell: Cut = None, price: str = "close", keys=("market",), order=("ts",)) -> DataFrame:
     """(p_t - p_{t-1}) / p_{t-1}, 0 for the first bar and after a zero price."""
     out = framed(bars, keys, order, cell, {"_prev": lambda f: F.first(price).over(f(-1, -1))}, before=1)
     p = F.col(price)
     return out.withColumn("ret", F.coalesce(F.try_divide(p - F.col("_prev"), F.col("_prev")), F.lit(0.0))).drop("_prev")
 
 
-def rolling_vol(bars: DataFrame, cell: Column, price: str = "close", window: int = 20, keys=("market",), order=("ts",)) -> DataFrame:
+def rolling_vol(bars: DataFrame, cell: Cut = None, price: str = "close", window: int = 20, keys=("market",), order=("ts",)) -> DataFrame:
     """Sample deviation of up to 20 log returns ending at the bar; 0.02 for the first two bars.
 
     The deviation needs the previous price of each of the last 20 bars.  One
@@ -52,7 +52,7 @@ def rolling_vol(bars: DataFrame, cell: Column, price: str = "close", window: int
     ).drop("_prices", "_logs", "_lr", "_mean")
 
 
-def binary_target(bars: DataFrame, cell: Column, horizon: int = 5, price: str = "close", keys=("market",), order=("ts",)) -> DataFrame:
+def binary_target(bars: DataFrame, cell: Cut = None, horizon: int = 5, price: str = "close", keys=("market",), order=("ts",)) -> DataFrame:
     """1 if the price ``horizon`` bars ahead is higher, else 0; null for the last bars."""
     out = framed(bars, keys, order, cell, {"_next": lambda f: F.first(price).over(f(horizon, horizon))}, after=horizon)
     return out.withColumn(
@@ -60,7 +60,7 @@ def binary_target(bars: DataFrame, cell: Column, horizon: int = 5, price: str =
     ).drop("_next")
 
 
-def equity(returns: DataFrame, keys: Sequence[str], order: Sequence[str], cell: Column, ret: str = "ret") -> DataFrame:
+def equity(returns: DataFrame, keys: Sequence[str], order: Sequence[str], cell: Cut = None, ret: str = "ret") -> DataFrame:
     """Compounded equity, running peak and drawdown; the curve has no leading 1."""
     grown = running_sums(returns, keys, order, cell, {"_log": F.log1p(F.col(ret))}, {"_log": "max"})
     return (
@@ -70,12 +70,12 @@ def equity(returns: DataFrame, keys: Sequence[str], order: Sequence[str], cell:
     )
 
 
-def max_drawdown(returns: DataFrame, keys: Sequence[str], order: Sequence[str], cell: Column, ret: str = "ret") -> DataFrame:
+def max_drawdown(returns: DataFrame, keys: Sequence[str], order: Sequence[str], cell: Cut = None, ret: str = "ret") -> DataFrame:
     curve = equity(returns, keys, order, cell, ret)
     return curve.groupBy(*keys).agg(F.min("drawdown").alias("max_drawdown"))
 
 
-def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], cell: Column, value: str, initial: float) -> DataFrame:
+def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, initial: float, cell: Cut = None) -> DataFrame:
     """Last known value over rows that have none; ``initial`` before the first."""
     out = running(df, keys, order, cell, {"_last": ("last", F.col(value))})
     return out.withColumn(f"{value}_filled", F.coalesce("_last", F.lit(initial))).drop("_last")
@@ -83,7 +83,7 @@ def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], cell
 
 def folds(
     bars: DataFrame,
-    cell: Column,
+    cell: Cut = None,
     keys: Sequence[str] = ("market",),
     order: Sequence[str] = ("ts",),
     n_splits: int = config.WALK_FORWARD["n_splits"],

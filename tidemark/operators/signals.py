@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import calendar_cell, framed
+from tidemark.operators.ordered import Cut, framed
 
 HISTORY = 52
 
@@ -39,14 +39,14 @@ def sentiment_columns(managed_net: Column, total_oi: Column, net_hist: Column, o
     }
 
 
-def cot_sentiment(reports: DataFrame, weeks: int = HISTORY, cell_unit: str = "year") -> DataFrame:
+def cot_sentiment(reports: DataFrame, weeks: int = HISTORY, cell: Cut = None) -> DataFrame:
     """E5 over whole report tables: each report against the last ``weeks`` reports incl. itself."""
     base = reports.withColumn("_ts", F.col("report_date").cast("timestamp_ntz"))
     windowed = framed(
         base,
         ["market"],
         ["_ts"],
-        calendar_cell("_ts", cell_unit),
+        cell,
         {
             "_nets": lambda f: F.collect_list("managed_money_net").over(f(-(weeks - 1), 0)),
             "_ois": lambda f: F.collect_list("total_oi").over(f(-(weeks - 1), 0)),
@@ -58,7 +58,7 @@ def cot_sentiment(reports: DataFrame, weeks: int = HISTORY, cell_unit: str = "ye
 
 
 def zscore(
-    df: DataFrame, keys: list[str], order: list[str], value: str, cell: Column, window: int = HISTORY
+    df: DataFrame, keys: list[str], order: list[str], value: str, cell: Cut = None, window: int = HISTORY
 ) -> DataFrame:
     """Z-score against the preceding rows (population deviation).
 

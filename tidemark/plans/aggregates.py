@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tidemark import config
 from tidemark.operators import chain, costs, drift, experiments, features, flows, metrics, quality
 from tidemark.operators.density import with_ivs
-from tidemark.operators.ordered import calendar_cell
 from tidemark.plans.joins import MARKET_VALUES, paired
 from tidemark.plans.landing import store
 from tidemark.plans.registry import query, r6
@@ -96,7 +95,7 @@ dd AS (SELECT model, min(equity / peak - 1) AS max_drawdown FROM (SELECT model,
        FROM f JOIN dd USING (model)""",
 )
 def d4(spark, d):
-    found = metrics.backtest_metrics(predicted(spark, d), ["model"], ["ts", "event_id"], calendar_cell("ts", "hour"))
+    found = metrics.backtest_metrics(predicted(spark, d), ["model"], ["ts", "event_id"])
     return found.select(
         "model", r6(F.col("sharpe_ratio"), 5).alias("sharpe_ratio"), r6(F.col("total_return"), 5).alias("total_return"),
         r6(F.col("hit_rate")).alias("hit_rate"), "n_trades", r6(F.col("avg_return_per_trade"), 8).alias("avg_return_per_trade"),
@@ -156,7 +155,7 @@ def d8(spark, d):
 )
 def d9(spark, d):
     rows = predicted(spark, d)
-    back = metrics.backtest_metrics(rows, ["model"], ["ts", "event_id"], calendar_cell("ts", "hour"))
+    back = metrics.backtest_metrics(rows, ["model"], ["ts", "event_id"])
     solid = metrics.robustness(metrics.fold_sharpes(rows, ["model"], "window"), ["model"])
     raw = back.join(solid, "model").join(metrics.brier(rows, ["model"]), "model").select(
         "model", F.col("sharpe_ratio").alias("sharpe"), F.col("max_drawdown").alias("drawdown"), "calibration", "robustness",
@@ -257,7 +256,7 @@ def performance(spark: SparkSession, d: str) -> DataFrame:
     for k, v in _BASELINE.items():
         baseline = F.when(F.col("model") == k, v).otherwise(baseline)
     return drift.performance_drift(
-        tables.predictions(spark, d), ["model"], ["ts", "event_id"], calendar_cell("ts", "hour"), baseline
+        tables.predictions(spark, d), ["model"], ["ts", "event_id"], baseline
     )
 
 
@@ -295,7 +294,7 @@ cusum AS (SELECT metric, ts, event_id, cp - least(0.0, min(cp) OVER w) AS s_pos,
 def report(spark: SparkSession, d: str) -> DataFrame:
     """All models watch the same features; the stream of a model is its own metric."""
     feats = drift.feature_drift(tables.drift_samples(spark, d)).withColumn("model", F.col("feature"))
-    stream = drift.cusum(tables.metric_stream(spark, d), ["metric"], ["ts", "event_id"], calendar_cell("ts", "hour"))
+    stream = drift.cusum(tables.metric_stream(spark, d), ["metric"], ["ts", "event_id"])
     alerts = stream.groupBy("metric").agg(F.bool_or("alert").alias("alert")).select(F.col("metric").alias("model"), "metric", "alert")
     return drift.drift_report(performance(spark, d), feats, alerts, ["model"])
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import features, model, returns
 from tidemark.operators.ledger import pnl_ledger, replay_metrics
-from tidemark.operators.ordered import calendar_cell
 from tidemark.plans import ledger_sql
 from tidemark.plans.registry import query, r6
 from tidemark.session import durable
@@ -17,10 +16,6 @@ NAMES = ["open_gap", "range_pct", "volume", "never_seen"]
 TREES = {"maxIter": 10, "maxDepth": 3}
 
 
-def yearly():
-    return calendar_cell("ts", "year")
-
-
 def feature_rows(spark: SparkSession, d: str) -> DataFrame:
     """Bar features become visible one bar later; one feature is never written."""
     wide = tables.bars(spark, d).select(
@@ -37,7 +32,7 @@ def feature_rows(spark: SparkSession, d: str) -> DataFrame:
 def training_rows(spark: SparkSession, d: str) -> DataFrame:
     bars = tables.bars(spark, d)
     prices = bars.select("market", "ts", "close")
-    wide = features.matrix(feature_rows(spark, d), bars.select("market", "ts"), NAMES, "year")
+    wide = features.matrix(feature_rows(spark, d), bars.select("market", "ts"), NAMES)
     return model.training_set(prices, wide)
 
 
@@ -88,7 +83,7 @@ def f4(spark, d):
 
 def fold_scores(spark: SparkSession, d: str) -> DataFrame:
     rows = durable(training_rows(spark, d))
-    cut = returns.folds(rows, yearly(), n_splits=3, min_train=150, test_size=60)
+    cut = returns.folds(rows, n_splits=3, min_train=150, test_size=60)
     return model.walk_forward_scores(durable(cut), NAMES, 3, **TREES)
 
 
@@ -103,7 +98,7 @@ def replay_input(spark: SparkSession, d: str) -> DataFrame:
     Returns are scaled down: the bars of the test tables jump far more than a market does.
     """
     bars = tables.bars(spark, d)
-    priced = returns.rolling_vol(returns.simple_returns(bars, yearly()), yearly())
+    priced = returns.rolling_vol(returns.simple_returns(bars))
     # the probability is a rule on the previous bar's shape, shifted per run
     tilt = (F.col("open") - F.col("low")) / (F.col("high") - F.col("low") + 1e-9)
     return priced.withColumn("run_id", F.explode(F.array(*[F.lit(r) for r in range(4)]))).select(
@@ -131,7 +126,7 @@ def j6(spark, d):
 )
 def j6b(spark, d):
     rows = durable(pnl_ledger(replay_input(spark, d), ["market", "run_id"], ["ts"]))
-    found = replay_metrics(rows, ["market", "run_id"], ["ts"], yearly())
+    found = replay_metrics(rows, ["market", "run_id"], ["ts"])
     digits = {"sharpe_ratio": 5, "total_return": 7, "max_drawdown": 7, "hit_rate": 6}
     return found.withColumns({c: r6(F.col(c), n) for c, n in digits.items()})
 
@@ -143,5 +138,5 @@ def j6b(spark, d):
 def j6c(spark, d):
     """Walk-forward rules on the fold test rows: capital carries over folds, the rest restarts."""
     rows = replay_input(spark, d).where(F.col("run_id") == 3)
-    cut = returns.folds(rows, yearly(), n_splits=3, min_train=150, test_size=60).where(F.col("role") == "test")
+    cut = returns.folds(rows, n_splits=3, min_train=150, test_size=60).where(F.col("role") == "test")
     return rounded(pnl_ledger(cut, ["market", "run_id"], ["row_idx"], "walk_forward"))

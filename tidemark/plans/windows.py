@@ -2,28 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import chain, costs, density, drift, experiments, features, machines, returns, signals
-from tidemark.operators.ordered import calendar_cell
 from tidemark.plans.aggregates import CUSUM_SQL
 from tidemark.plans.joins import paired
 from tidemark.plans.landing import _LISTED, listed, reports, store
 from tidemark.plans.registry import query, r6
 from tidemark.sources import journals, tables
 
-YEAR = "year"
-
-
-def yearly() -> Column:
-    """Bars are weekly: a year of one market is one cell."""
-    return calendar_cell("ts", YEAR)
-
-
 @query("e1_simple_return", "SELECT market, ts, round(ret, 6) + 0.0 AS ret FROM v_returns")
 def e1(spark, d):
-    return returns.simple_returns(tables.bars(spark, d), yearly()).select("market", "ts", r6(F.col("ret")).alias("ret"))
+    return returns.simple_returns(tables.bars(spark, d)).select("market", "ts", r6(F.col("ret")).alias("ret"))
 
 
 @query(
@@ -32,7 +23,7 @@ def e1(spark, d):
        SELECT market, ts, round(CASE WHEN bar_idx < 2 THEN 0.02 ELSE stddev_samp(lr) OVER (PARTITION BY market ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END, 6) AS rolling_vol FROM l""",
 )
 def e2(spark, d):
-    return returns.rolling_vol(tables.bars(spark, d), yearly()).select("market", "ts", r6(F.col("rolling_vol")).alias("rolling_vol"))
+    return returns.rolling_vol(tables.bars(spark, d)).select("market", "ts", r6(F.col("rolling_vol")).alias("rolling_vol"))
 
 
 @query(
@@ -41,7 +32,7 @@ def e2(spark, d):
        FROM (SELECT *, lead(close, 5) OVER (PARTITION BY market ORDER BY ts) AS nxt FROM v_bars)""",
 )
 def e3(spark, d):
-    return returns.binary_target(tables.bars(spark, d), yearly()).select("market", "ts", "target")
+    return returns.binary_target(tables.bars(spark, d)).select("market", "ts", "target")
 
 
 @query(
@@ -50,7 +41,7 @@ def e3(spark, d):
        SELECT model, ts, event_id, round(exp(lg), 5) AS equity, round(exp(lg - max(lg) OVER (PARTITION BY model ORDER BY ts, event_id)) - 1, 5) + 0.0 AS drawdown FROM e""",
 )
 def e4(spark, d):
-    curve = returns.equity(tables.predictions(spark, d), ["model"], ["ts", "event_id"], calendar_cell("ts", "hour"))
+    curve = returns.equity(tables.predictions(spark, d), ["model"], ["ts", "event_id"])
     return curve.select(
         "model", "ts", "event_id", r6(F.col("equity"), 5).alias("equity"), r6(F.col("drawdown"), 5).alias("drawdown")
     )
@@ -86,7 +77,7 @@ def e5(spark, d):
 )
 def e6(spark, d):
     rows = tables.bars(spark, d).select("market", "ts", ((F.col("close") - F.col("open")) / F.col("open")).alias("raw"))
-    return signals.zscore(rows, ["market"], ["ts"], "raw", yearly()).select("market", "ts", r6(F.col("magnitude"), 5).alias("magnitude"))
+    return signals.zscore(rows, ["market"], ["ts"], "raw").select("market", "ts", r6(F.col("magnitude"), 5).alias("magnitude"))
 
 
 @query(
@@ -107,7 +98,7 @@ def e7(spark, d):
     f"WITH {CUSUM_SQL} SELECT metric, ts, event_id, round(s_pos, 6) + 0.0 AS s_pos, round(s_neg, 6) + 0.0 AS s_neg, s_pos > 5 OR s_neg > 5 AS alert FROM cusum",
 )
 def e8(spark, d):
-    found = drift.cusum(tables.metric_stream(spark, d), ["metric"], ["ts", "event_id"], calendar_cell("ts", "hour"))
+    found = drift.cusum(tables.metric_stream(spark, d), ["metric"], ["ts", "event_id"])
     return found.select("metric", "ts", "event_id", r6(F.col("s_pos")).alias("s_pos"), r6(F.col("s_neg")).alias("s_neg"), "alert")
 
 
@@ -119,7 +110,7 @@ def e8(spark, d):
        WHERE te + 55 <= n AND (row_idx < te OR (row_idx >= te + 5 AND row_idx < te + 55))""",
 )
 def e9(spark, d):
-    return returns.folds(tables.bars(spark, d), yearly(), min_train=100, test_size=50).select("market", "ts", "row_idx", "fold", "role")
+    return returns.folds(tables.bars(spark, d), min_train=100, test_size=50).select("market", "ts", "row_idx", "fold", "role")
 
 
 @query(
@@ -129,7 +120,7 @@ def e9(spark, d):
 )
 def e10(spark, d):
     sparse = tables.metric_stream(spark, d).withColumn("v", F.when(F.pmod("event_id", F.lit(3)) == 0, F.col("x")))
-    return returns.carry_forward(sparse, ["metric"], ["ts", "event_id"], calendar_cell("ts", "hour"), "v", 1.0).select(
+    return returns.carry_forward(sparse, ["metric"], ["ts", "event_id"], "v", 1.0).select(
         "metric", "ts", "event_id", "v_filled"
     )
 
@@ -209,7 +200,7 @@ def e14(spark, d):
     rows = tables.predictions(spark, d).select(
         "model", "ts", "event_id", F.col("p").alias("current_fitness"), F.lit(0.5).alias("champion_fitness")
     )
-    return machines.rollback(rows, ["model"], ["ts", "event_id"], calendar_cell("ts", "hour")).select(
+    return machines.rollback(rows, ["model"], ["ts", "event_id"]).select(
         "model", "ts", "event_id", "degraded", "fired"
     )
 
@@ -237,7 +228,7 @@ def e15(spark, d):
         "max_daily_loss": F.col("ret") * 4, "max_drawdown": F.col("p") - 0.1,
         "max_position_size": F.col("p") * 0.2, "max_single_trade_loss": F.col("ret") * 1.5,
     }
-    out = machines.breakers(rows, ["model"], ["ts", "event_id"], calendar_cell("ts", "hour"), values)
+    out = machines.breakers(rows, ["model"], ["ts", "event_id"], values)
     return out.select("model", "ts", "event_id", *[f"{n}_triggered" for n in values], "allowed")
 
 

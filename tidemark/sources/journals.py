@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import calendar_cell, index_rows
+from tidemark.operators.ordered import index_rows
 
 OBJECT = "map<string,string>"
 JSON_OBJECTS = ["config_diff", "results", "champion_metrics", "metadata"]
@@ -18,11 +18,10 @@ def append_rows(df: DataFrame, path: str) -> None:
 def with_fill_ids(fills: DataFrame, order: list[str]) -> DataFrame:
     """Ids 1..n in journal order, given when read rather than when written.
 
-    A counter at write time would serialise all writers.  The numbering runs
-    per calendar day and adds the totals of earlier days, so no task sorts the
-    whole journal.
+    A counter at write time would serialise all writers.  A large journal
+    is numbered in counted cells that add the totals of the cells before, so no task sorts all of it.
     """
-    numbered = index_rows(fills, [], order, calendar_cell(order[0]), "_idx")
+    numbered = index_rows(fills, [], order, out="_idx")
     return numbered.withColumn("id", F.col("_idx") + 1).drop("_idx")
 
 

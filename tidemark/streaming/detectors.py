@@ -2,13 +2,18 @@
 
 A detector's answer depends on the order of its rows, while files land in no
 promised order.  The stream therefore only appends what it reads (exactly once,
-see ``ingest.run_batches``); ``advance`` then folds every metric in
-(ts, event_id) order from where it stood.  So the result is the same for any
-order of files and any size of micro-batches.  Rows that come in behind a
-metric's position are kept in a side table, never folded out of order or lost.
-
-Folding streams through sorted batches: a task holds one metric's handful of
-numbers, not its rows.
+see ``ingest.run_batches``); ``advance`` then takes every metric on from where
+it stood, in (ts, event_id) order.  So the result is the same for any order of
+files and any size of micro-batches.  An advance reads the batches that no
+earlier one has seen and the rows held back, not the history.  Rows that come in
+behind a metric's position are kept in a side table, never folded out of order
+or lost.
+
+CUSUM is a scan: a stretch of rows acts on the sum as s -> max(a, s + b), and such
+stretches compose.  So a metric is cut into cells, many tasks work on one metric,
+and the state of the last run is the first row of the next.  The adaptive window
+depends on each of its own detections; it streams through sorted batches, one
+task per metric, which holds a handful of numbers and no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark import config
-from tidemark.session import task_count
+from tidemark.operators.drift import cusum_sums
+from tidemark.session import durable, task_count
 from tidemark.streaming import ingest
 
 ROW = "metric string, ts timestamp_ntz, event_id long, x double"
@@ -140,42 +146,79 @@ def advance(
     threshold: float = config.CUSUM_THRESHOLD,
     delta: float = config.ADWIN_DELTA,
     grace: int = config.ADWIN_GRACE,
+    windows: bool = True,
 ) -> None:
-    """Fold the rows that are not folded yet, up to time ``until`` (inclusive; None: all of them).
+    """Take in the rows that are not folded yet, up to time ``until`` (inclusive; None: all of them).
 
     A caller that expects late files sets ``until`` some time behind the newest
-    row; what is newer waits for the next call.  New rows at or before their
+    row; what is newer is held back for the next call.  New rows at or before their
     metric's position go to the late table.  Null times sort first, null values
-    count as on target.
+    count as on target.  Without ``windows`` only CUSUM goes on.
     """
     version, seen = _done(spark, root)
-    rows = ingest.stored(spark, root, "rows", T.StructType.fromDDL(ROW))
-    landed = {r["source"]: r["b"] for r in rows.groupBy("source").agg(F.max("batch").alias("b")).collect()}
-    if not landed:
+    row = T.StructType.fromDDL(ROW)
+    # what is filtered by source and batch is read from the folders of new batches only
+    known = F.lit(False)
+    for name, last in seen.items():
+        known = known | ((F.col("source") == name) & (F.col("batch") <= last))
+    fresh = ingest.stored(spark, root, "rows", row).where(~known)
+    landed = {r["source"]: r["b"] for r in fresh.groupBy("source").agg(F.max("batch").alias("b")).collect()}
+    held_back = ingest.stored(spark, root, "held", row, "version long").where(F.col("version") == version)
+    if not landed and held_back.isEmpty():
         return
     # batches that arrive from here on belong to the next call
     inside = F.lit(False)
-    fresh = F.lit(False)
     for name, last in landed.items():
-        own = (F.col("source") == name) & (F.col("batch") <= last)
-        inside, fresh = inside | own, fresh | (own & (F.col("batch") > seen.get(name, -1)))
+        inside = inside | ((F.col("source") == name) & (F.col("batch") <= last))
+    incoming = fresh.where(inside).select(*row.names).unionByName(held_back.select(*row.names))
     states = _versions(spark, root).where(F.col("version") == version).drop("version")
     at = states.select(F.col("metric").alias("_m"), F.struct("ts", "event_id").alias("_at"))
-    placed = rows.where(inside).withColumn("_fresh", fresh).join(at, F.col("metric").eqNullSafe(F.col("_m")), "left")
-    behind = F.col("_at").isNotNull() & (F.struct("ts", "event_id") <= F.col("_at"))
-    names = T.StructType.fromDDL(ROW).names
-    late = placed.where(behind & F.col("_fresh")).select(*names)
-    late.write.mode("overwrite").parquet(f"{root}/late/version={version + 1}")
+    placed = incoming.join(at, F.col("metric").eqNullSafe(F.col("_m")), "left")
     due = F.lit(True) if until is None else F.coalesce(F.col("ts") <= F.lit(until).cast("timestamp_ntz"), F.lit(True))
-    ahead = placed.where(~behind & due).select(*names)
-
-    held = T.StructType.fromDDL(STATE)
-    blank = [F.lit(None).cast(held[c].dataType).alias(c) for c in DETECTOR]
-    line = states.select("metric", "ts", "event_id", F.lit(None).cast("double").alias("x"), F.lit(0).alias("kind"), *DETECTOR).unionByName(
-        ahead.select(*names, F.lit(1).alias("kind"), *blank)
+    behind = F.col("_at").isNotNull() & (F.struct("ts", "event_id") <= F.col("_at"))
+    sorted_out = durable(placed.select(*row.names, F.when(behind, "late").when(due, "now").otherwise("held").alias("_to")))
+    for kind in ("late", "held"):
+        sorted_out.where(F.col("_to") == kind).select(*row.names).write.mode("overwrite").parquet(f"{root}/{kind}/version={version + 1}")
+
+    # the state is the row before a metric's first new one
+    state = T.StructType.fromDDL(STATE)
+    blank = [F.lit(None).cast(state[c].dataType).alias(c) for c in DETECTOR]
+    line = states.select("metric", "ts", "event_id", F.lit(None).cast("double").alias("x"), F.lit(True).alias("is_state"), *DETECTOR).unionByName(
+        sorted_out.where("_to = 'now'").select(*row.names, F.lit(False).alias("is_state"), *blank)
     )
-    ordered = line.repartition(task_count(line), "metric").sortWithinPartitions("metric", "kind", "ts", "event_id", "x")
+    step = F.coalesce(F.nanvl("x", F.lit(target)), F.lit(target)) - target
+    rising = F.when(F.col("is_state"), F.col("s_pos")).otherwise(step - slack)
+    falling = F.when(F.col("is_state"), F.col("s_neg")).otherwise(-step - slack)
+    summed = cusum_sums(line, ["metric"], ["ts", "event_id", "is_state", "x"], rising, falling)
+    marked = summed.withColumn("cusum_alert", (F.col("s_pos") > threshold) | (F.col("s_neg") > threshold))
+
+    path = f"{root}/folded/version={version + 1}"
     out = T.StructType.fromDDL(f"{ROW}, {MARKS}, is_state boolean, since_check long, levels array<int>, sums array<double>, spreads array<double>")
+    (_windowed(marked, out, delta, grace, target) if windows else _unwindowed(marked, out)).write.mode("overwrite").parquet(path)
+    folded = spark.read.schema(out).parquet(path)
+    folded.where("is_state").select(*state.names).write.mode("overwrite").parquet(f"{root}/states/version={version + 1}")
+    _finish(spark, root, version + 1, {**seen, **landed})
+
+
+def _unwindowed(marked: DataFrame, out: T.StructType) -> DataFrame:
+    """Rows and closing states without the adaptive window: what it holds stays as it is."""
+    last = F.max_by(F.struct("ts", "event_id", "s_pos", "s_neg"), F.struct("ts", "event_id", ~F.col("is_state"), "x"))
+    kept = [F.first(c, ignorenulls=True).alias(c) for c in DETECTOR[2:]]
+    closing = marked.groupBy("metric").agg(last.alias("_last"), *kept).select(
+        "metric", "_last.*", F.coalesce("n_detections", F.lit(0)).alias("n_detections"), F.coalesce("since_check", F.lit(0)).alias("since_check"),
+        *[F.coalesce(c, F.array().cast(out[c].dataType)).alias(c) for c in DETECTOR[4:]], F.lit(True).alias("is_state"),
+    )
+    rows = marked.where(~F.col("is_state")).select(
+        *T.StructType.fromDDL(ROW).names, "s_pos", "s_neg", "cusum_alert", F.col("cusum_alert").alias("alert"), "is_state"
+    )
+    whole = rows.unionByName(closing, allowMissingColumns=True)
+    return whole.select(*[(F.col(f.name) if f.name in whole.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in out])
+
+
+def _windowed(marked: DataFrame, out: T.StructType, delta: float, grace: int, target: float) -> DataFrame:
+    """The adaptive window of every metric, from its stored buckets on."""
+    given = marked.select(*T.StructType.fromDDL(ROW).names, "s_pos", "s_neg", "cusum_alert", "is_state", *DETECTOR[2:])
+    ordered = given.repartition(task_count(given), "metric").sortWithinPartitions("metric", "ts", "event_id", F.desc("is_state"), "x")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         name, s_pos, s_neg, found, window, last = None, 0.0, 0.0, 0, None, None
@@ -194,34 +237,27 @@ def advance(
                 if window is None or metric != name:
                     if window is not None:
                         rows_out.append(closing())
-                    name, s_pos, s_neg, found, window = metric, 0.0, 0.0, 0, AdaptiveWindow(delta, grace)
+                    name, found, window = metric, 0, AdaptiveWindow(delta, grace)
                 last = (None if pd.isna(r.ts) else r.ts, None if pd.isna(r.event_id) else int(r.event_id))
-                if r.kind == 0:
-                    s_pos, s_neg, found = float(r.s_pos), float(r.s_neg), int(r.n_detections)
+                s_pos, s_neg = float(r.s_pos), float(r.s_neg)
+                if r.is_state:
+                    found = int(r.n_detections)
                     # plain numbers: Python sums them differently from numpy scalars
                     held_buckets = [[int(b), float(v), float(w)] for b, v, w in zip(r.levels, r.sums, r.spreads)]
                     window = AdaptiveWindow(delta, grace, held_buckets, int(r.since_check))
                     continue
-                x = target if pd.isna(r.x) else float(r.x)
-                s_pos = max(0.0, s_pos + (x - target) - slack)
-                s_neg = max(0.0, s_neg - (x - target) - slack)
-                jumped = s_pos > threshold or s_neg > threshold
-                drifted = window.update(x)
+                drifted = window.update(target if pd.isna(r.x) else float(r.x))
                 found += int(drifted)
                 rows_out.append((
-                    name, *last, None if pd.isna(r.x) else x, s_pos, s_neg, jumped, drifted, found, window.mean, jumped or drifted,
-                    False, None, None, None, None,
+                    name, *last, None if pd.isna(r.x) else r.x, s_pos, s_neg, r.cusum_alert, drifted, found, window.mean,
+                    r.cusum_alert or drifted, False, None, None, None, None,
                 ))
             if rows_out:
                 yield pd.DataFrame(rows_out, columns=out.names).astype({"ts": "datetime64[us]", "event_id": "Int64", "since_check": "Int64"})
         if window is not None:
             yield pd.DataFrame([closing()], columns=out.names).astype({"ts": "datetime64[us]", "event_id": "Int64", "since_check": "Int64"})
 
-    path = f"{root}/folded/version={version + 1}"
-    ordered.mapInPandas(fold, out).write.mode("overwrite").parquet(path)
-    folded = spark.read.schema(out).parquet(path)
-    folded.where("is_state").select(*held.names).write.mode("overwrite").parquet(f"{root}/states/version={version + 1}")
-    _finish(spark, root, version + 1, landed)
+    return ordered.mapInPandas(fold, out)
 
 
 def reset(spark: SparkSession, root: str, metrics: list[str] | None = None) -> None:
@@ -235,6 +271,8 @@ def reset(spark: SparkSession, root: str, metrics: list[str] | None = None) -> N
             "levels": F.array().cast("array<int>"), "sums": F.array().cast("array<double>"), "spreads": F.array().cast("array<double>")}
     fresh = states.withColumns({c: F.when(chosen, z).otherwise(F.col(c)) for c, z in zero.items()})
     fresh.write.mode("overwrite").parquet(f"{root}/states/version={version + 1}")
+    waiting = ingest.stored(spark, root, "held", T.StructType.fromDDL(ROW), "version long").where(F.col("version") == version)
+    waiting.drop("version").write.mode("overwrite").parquet(f"{root}/held/version={version + 1}")
     _finish(spark, root, version + 1, seen)
 
 
@@ -264,8 +302,8 @@ def metric_alerts(stream: DataFrame, root: str, source: str = ingest.LANDING, un
 
 
 def cusum_stream(stream: DataFrame, root: str, **settings) -> DataFrame:
-    """The CUSUM columns of the combined operator."""
-    return metric_alerts(stream, root, **settings).select("metric", "ts", "event_id", "x", "s_pos", "s_neg", "cusum_alert")
+    """CUSUM alone, without Python workers."""
+    return metric_alerts(stream, root, windows=False, **settings).select("metric", "ts", "event_id", "x", "s_pos", "s_neg", "cusum_alert")
 
 
 def adwin_stream(stream: DataFrame, root: str, **settings) -> DataFrame:
