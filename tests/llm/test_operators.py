@@ -268,6 +268,8 @@ def test_language_held_out_and_awkward(spark, awkward, empty, sf):
     got = awkward.select("text", langid.language(model).alias("l")).collect()
     assert {r.l.lang_pred for r in got if not r.text or not re.search(r"[^\W\d_]", r.text)} == {"und"}
     assert all(r.l.lang_pred in model.langs for r in got if r.text and r.text.strip())
+    signs = spark.createDataFrame([("½ ²",), ("Ⅷ 12",), ("3 x",), ("٣",)], "text string")
+    assert [r.l.lang_pred == "und" for r in signs.select(langid.language(model).alias("l")).collect()] == [True, True, False, True]
     assert langid.train(empty).langs == []
     assert {r.l.lang_pred for r in awkward.select(langid.language(langid.train(empty)).alias("l")).collect()} == {"und"}
 

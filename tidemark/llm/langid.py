@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,7 +17,7 @@ from tidemark.llm.common import prepare
 BUCKETS = 1 << 16  # hashed n-gram space: bounds the model to languages x 65,536 numbers
 ORDERS = (1, 2, 3)
 CACHE = 200_000  # words of one worker whose likelihoods are kept
-LETTER = re.compile(r"[^\W\d_]")
+SLICE = 250  # documents whose words are held together
 UNKNOWN = "und"
 
 
@@ -68,15 +67,17 @@ def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", smoothing: float = 0.1) -> LanguageModel:
     """Counts hashed n-grams of every given document by language; rows with a null text or language teach nothing.
 
+    Repeated rows count each time, ids and other columns are not read, very long texts are counted whole, and without any row
+    nothing is learned.
     Each task adds its documents up before the shuffle, so what moves is at most tasks x languages x 65,536 counts.
     """
     prepare(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]):
         found: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for part in (batch.slice(i, SLICE) for batch in batches for i in range(0, batch.num_rows, SLICE)):
             words: dict[str, Counter] = {}
-            for t, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for t, g in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 words.setdefault(g, Counter()).update(t.split())
             for g, own in words.items():
                 grams, word = _grams(list(own)) if own else (np.empty(0, np.int64), np.empty(0, np.int64))
@@ -158,7 +159,7 @@ def infer(texts: list[str | None], words: _Words, steps: int = 12, penalty: floa
     """
     langs = words.model.langs
     pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-    live = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if langs else []
+    live = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if langs else []
     if not live:
         return pred, score
     bags = [Counter(texts[i].split()) for i in live]
@@ -206,7 +207,8 @@ def language(model: LanguageModel, text: Column | str = "text") -> Column:
     """Column of struct(lang_pred, score) for whole texts.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing was learned.  The score is the share of
-    the document's words that the mixture gives to the predicted language.
+    the document's words that the mixture gives to the predicted language.  Ties go to the language whose name comes first.
+    Spark takes the column for nondeterministic, so that a filter on it does not evaluate it a second time.
     """
 
     @F.pandas_udf("lang_pred string, score double")
@@ -214,9 +216,9 @@ def language(model: LanguageModel, text: Column | str = "text") -> Column:
         words = _Words(model)
         for texts in batches:
             values = [t if isinstance(t, str) else None for t in texts]
-            parts = [infer(values[i : i + 500], words) for i in range(0, len(values), 500)] or [([], [])]
+            parts = [infer(values[i : i + SLICE], words) for i in range(0, len(values), SLICE)] or [([], [])]
             yield pd.DataFrame(
                 {"lang_pred": sum((list(p) for p, _ in parts), []), "score": np.concatenate([s for _, s in parts])}
             )
 
-    return predict(text)
+    return predict.asNondeterministic()(text)
