@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark import config
 from tidemark.functions import risk
-from tidemark.operators import costs, drift, experiments, ledger, metrics, model, returns
+from tidemark.operators import costs, drift, experiments, ledger, metrics, model, returns, similarity
 
 
 def column(spark, c):
@@ -192,20 +192,45 @@ def test_budget_matches_loop(spark):
     assert got == want
 
 
+def vector_frame(spark, v, base):
+    return spark.createDataFrame([(base + i, None if r is None else [float(x) for x in r]) for i, r in enumerate(v)], "id int, v array<float>")
+
+
 @pytest.mark.parametrize("chunk", [16, 4096])
 def test_similarity_blocks(spark, chunk):
     rng = np.random.default_rng(2)
     c, m = rng.normal(size=(70, 8)), rng.normal(size=(90, 8))
     m[3] = c[5] * 2.0
-    frame = lambda v, base: spark.createDataFrame([(base + i, [float(x) for x in r]) for i, r in enumerate(v)], "id int, v array<float>")
-    got = experiments.similarity(frame(c, 0), frame(m, 1000), "id", "v", 0.85, chunk).toPandas().set_index("id").sort_index()
+    frame = lambda v, base: vector_frame(spark, v, base)
+    got = similarity.similarity(frame(c, 0), frame(m, 1000), "id", "v", 0.85, chunk, 12).toPandas().set_index("id").sort_index()
     sims = (c @ m.T / np.linalg.norm(c, axis=1)[:, None] / np.linalg.norm(m, axis=1)).max(axis=1)
     np.testing.assert_allclose(got["max_similarity"], sims, atol=1e-6)
     assert got["is_duplicate"].tolist() == (sims > 0.85).tolist()
-    empty = experiments.similarity(frame(c, 0), frame(m, 0).limit(0), "id", "v", 0.85, chunk).toPandas()
+    empty = similarity.similarity(frame(c, 0), frame(m, 0).limit(0), "id", "v", 0.85, chunk).toPandas()
     assert len(empty) == 70 and (empty["max_similarity"] == 0).all() and not empty["is_duplicate"].any()
 
 
+def test_similarity_skips_groups_that_cannot_win(spark):
+    """Vectors in tight bunches: most pairs of candidate and group are skipped, and the answer stays exact."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(20, 16))
+    around = lambda n: np.concatenate([c + rng.normal(0, 0.02, (n, 16)) for c in centres])
+    c, m = around(6), around(15)
+    odd = [None, [0.0] * 16, [float("nan")] * 16]
+    got = similarity.similarity(vector_frame(spark, [*c, *odd], 0), vector_frame(spark, [*m, *odd], 1000), "id", "v", 0.9).toPandas()
+    got = got.set_index("id").sort_index()
+    sims = (c @ m.T / np.linalg.norm(c, axis=1)[:, None] / np.linalg.norm(m, axis=1)).max(axis=1)
+    np.testing.assert_allclose(got["max_similarity"][:120], sims, atol=1e-6)
+    assert got["max_similarity"][120:].tolist() == [0.0] * 3 and got["groups_visited"][120:].tolist() == [0] * 3
+    assert got["groups_visited"][:120].mean() < 0.3 * 64
+
+
+def test_memory_of_thirty_days(spark):
+    now = datetime(2026, 3, 31)
+    df = spark.createDataFrame([(n, now - timedelta(days=n)) for n in (-1, 0, 29, 30, 31)], "n int, created_at timestamp_ntz")
+    assert {r["n"] for r in similarity.recent(df, F.lit(now).cast("timestamp_ntz")).collect()} == {0, 29, 30}
+
+
 def ledger_loop(p, ret, volume, spread, vol, walk_forward=False, folds=None):
     """Plain statement of both rule sets."""
     cap = peak = 100_000.0
@@ -336,6 +361,24 @@ def test_training_set_needs_enough_prices(spark):
     assert set(got.market) == {"long"} and len(got) == 55 and (got.target == 1).all()
 
 
+def test_calendar_folds_do_not_look_ahead(spark):
+    """Folds are cut at times all markets share: a market that starts late has no training rows after any test row."""
+    day = lambda i: datetime(2026, 1, 1) + timedelta(days=i)
+    rows = [("old", day(i), day(i + 5), i % 2) for i in range(100)] + [("new", day(i), day(i + 9), 1) for i in range(50, 100)]
+    df = spark.createDataFrame(rows, "market string, ts timestamp_ntz, label_ts timestamp_ntz, target int")
+    got = model.calendar_folds(df, n_splits=5, embargo=5, min_train=40, test_size=20).toPandas()
+    assert set(got.fold) == {0, 1}
+    for k, part in got.groupby("fold"):
+        train, test = part[part.role == "train"], part[part.role == "test"]
+        end = 40 + 20 * k
+        assert test.ts.min() == day(end + 5) and test.ts.max() == day(end + 24)
+        assert train.ts.max() < day(end) and train.label_ts.max() < test.ts.min()
+        want = {(m, t) for m, t, known, _ in rows if t < day(end) and known < day(end + 5)}
+        assert set(zip(train.market, train.ts.dt.to_pydatetime())) == want
+        assert len(test) == sum(day(end + 5) <= r[1] <= day(end + 24) for r in rows)
+    assert model.calendar_folds(df, min_train=252).count() == 0
+
+
 def test_experiment_summaries(spark):
     rows = [(i, "a" if i % 2 else "", ["promoted", "rejected", "pending"][i % 3], datetime(2026, 1, 1 + i), ["x", "y"] if i % 2 else ["x"], {"s": str(i)}) for i in range(8)]
     log = spark.createDataFrame(rows, "id int, mutation_type string, promotion_decision string, created_at timestamp_ntz, tags array<string>, results map<string,string>")

@@ -50,7 +50,7 @@ def test_matrix_never_looks_ahead(spark):
     times = [start + np.timedelta64(int(d), "D") for d in range(0, 260, 9)]
     probes = [(m, pd.Timestamp(t).to_pydatetime()) for m in ("A", "B", "C") for t in times]
     df = spark.createDataFrame(pdf, STORE)
-    got = features.matrix(df, spark.createDataFrame(probes, "market string, ts timestamp_ntz"), ["x", "y", "z"], "week").toPandas()
+    got = features.matrix(df, spark.createDataFrame(probes, "market string, ts timestamp_ntz"), ["x", "y", "z"], F.date_trunc("week", "ts")).toPandas()
     assert len(got) == len(probes)
     for row in got.itertuples():
         for f in ("x", "y", "z"):
@@ -119,8 +119,19 @@ def test_lake_append_and_scan(spark, tmp_path):
     inside = lake.scan(spark, path, "futures", "HE", date(2026, 1, 31), date(2026, 2, 1))
     assert inside.count() == 2 and "year" not in inside.columns
     assert lake.scan(spark, path, "futures", "HE", date(2025, 12, 1), date(2026, 3, 1)).count() == 4
-    plan = inside._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan
+    # both ends given: the reader is told months, and lists nothing else
+    told = lake.wanted_folders(path, "futures", "HE", date(2025, 12, 31), date(2026, 2, 1))
+    assert told == path + "/data_type=futures/market=HE/{year=2025/month=12,year=2026/month=01,year=2026/month=02}"
+    assert lake.scan(spark, path, "futures", None, date(2026, 1, 1), date(2026, 12, 1)).count() == 4
+    assert lake.scan(spark, path, "futures", "HE", date(2026, 2, 1), date(2026, 1, 1)).count() == 0
+    assert lake.scan(spark, path, "futures", "HE", date(2027, 1, 1), date(2027, 2, 1)).count() == 0
+    assert lake.scan(spark, path, "futures", "HE", date(2026, 2, 1)).count() == 2
+    assert lake.scan(spark, path, "futures", "HE", None, date(2026, 2, 1)).count() == 2
+    odd = df.withColumn("market", F.lit("H=E [x]"))
+    lake.append(odd, path, "futures", F.col("ts_event"))
+    assert {r["market"] for r in lake.scan(spark, path, "futures", "H=E [x]", date(2026, 1, 1), date(2026, 3, 1)).collect()} == {"H=E [x]"}
+    files = inside.inputFiles()
+    assert len(files) == 2 and all("month=01" in f for f in files)
 
 
 def test_bar_rules(spark):

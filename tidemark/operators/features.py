@@ -106,29 +106,49 @@ def matrix(
         F.lit(None).cast(observed.schema["seen"].dataType).alias("seen"),
     ).distinct()
     line = observed.unionByName(asked)
-    newest = running(
-        line,
-        ["market"],
-        ["ts", "is_probe"],
-        cell,
-        {f"_f{i}": ("max", F.when(F.col("feature_name") == name, F.col("seen"))) for i, name in enumerate(feature_names)},
-    )
+    seen = {name: F.when(F.col("feature_name") == name, F.col("seen")) for name in feature_names}
+    return _as_of(line, seen, cell)
+
+
+def wide_matrix(sources: Sequence[DataFrame], probes: DataFrame, names: Sequence[str], cell: Cut = None) -> DataFrame:
+    """C2 from sources that hold several features in a row: (market, as_of, available_at, feature columns).
+
+    A row of a source enters the time line once, whatever the number of its
+    features, so nothing is unpivoted.  Each feature still takes the newest as_of
+    of its own non-null values, ties to the larger value.
+    """
+    blank = F.lit(None).cast("struct<as_of: timestamp_ntz, value: double>")
+    line = probes.select("market", "ts", F.lit(1).alias("is_probe"), *[blank.alias(f"_s{i}") for i in range(len(names))]).distinct()
+    for source in sources:
+        as_of = F.col("as_of").cast("timestamp_ntz")
+        own = {n: F.when(F.col(n).isNotNull(), F.struct(as_of.alias("as_of"), F.col(n).cast("double").alias("value"))) for n in names if n in source.columns}
+        seen = source.select(
+            "market", F.col("available_at").alias("ts"), F.lit(0).alias("is_probe"), *[own.get(n, blank).alias(f"_s{i}") for i, n in enumerate(names)]
+        )
+        line = line.unionByName(seen)
+    return _as_of(line, {name: F.col(f"_s{i}") for i, name in enumerate(names)}, cell)
+
+
+def _as_of(line: DataFrame, seen: dict[str, Column], cell: Cut) -> DataFrame:
+    """The running maximum of each feature's (as_of, ..., value) at the probes of a time line."""
+    columns = {f"_f{i}": ("max", c) for i, c in enumerate(seen.values())}
+    newest = running(line, ["market"], ["ts", "is_probe"], cell, columns)
     return newest.where(F.col("is_probe") == 1).select(
-        "market", "ts", *[F.col(f"_f{i}.value").alias(name) for i, name in enumerate(feature_names)]
+        "market", "ts", *[F.col(f"_f{i}.value").alias(name) for i, name in enumerate(seen)]
     )
 
 
 def store_stats(store: DataFrame) -> DataFrame:
-    """Rows, distinct markets and distinct features.
+    """Rows of the store, of each market and of each feature, a row each (kind all, market, feature).
 
-    Distinct pairs are reduced on the map side first; only they meet in one task.
+    Rows are counted per pair on the map side first; names stay rows, so no task gathers them.
     """
     pairs = store.groupBy("market", "feature_name").agg(F.count(F.lit(1)).alias("n"))
-    return pairs.agg(
-        F.sum("n").alias("n_rows"),
-        F.array_join(F.sort_array(F.collect_set("market")), ",").alias("markets"),
-        F.array_join(F.sort_array(F.collect_set("feature_name")), ",").alias("features"),
-    )
+    kind = F.when(F.grouping("market") == 0, "market").when(F.grouping("feature_name") == 0, "feature").otherwise("all")
+    sets = [[F.col("market")], [F.col("feature_name")], []]
+    return pairs.groupingSets(sets, "market", "feature_name").agg(
+        kind.alias("kind"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows")
+    ).select("kind", F.coalesce("market", "feature_name").alias("name"), "n_rows")
 
 
 def latest(store: DataFrame, market: str | None = None, limit: int = 50) -> DataFrame:

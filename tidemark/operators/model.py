@@ -8,11 +8,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import Cut, checked_broadcast
-from tidemark.operators.returns import binary_target
+from tidemark import config
+from tidemark.operators.ordered import Cut, checked_broadcast, framed
 from tidemark.session import durable
 
 # --- fixed values: classifier defaults
@@ -72,22 +72,64 @@ def importance(spark: SparkSession, model: PipelineModel) -> DataFrame:
     )
 
 
-def training_set(prices: DataFrame, matrix: DataFrame, cell: Cut = None) -> DataFrame:
-    """Features at each price time with the five-step target.
+def training_set(prices: DataFrame, matrix: DataFrame, cell: Cut = None, horizon: int = HORIZON) -> DataFrame:
+    """Features at each price time with the target ``horizon`` bars ahead and the time that target is known.
 
     Markets with fewer than fifty prices or thirty targets are left out.
     """
-    labelled = binary_target(prices, cell, HORIZON)
+    nxt = framed(
+        prices, ["market"], ["ts"], cell,
+        {"_price": lambda f: F.first("close").over(f(horizon, horizon)), "label_ts": lambda f: F.first("ts").over(f(horizon, horizon))},
+        after=horizon,
+    )
+    target = F.when(F.col("_price").isNotNull(), (F.col("_price") > F.col("close")).cast("int"))
     # the last bars have no target, so targets follow from prices and one count decides
     sizes = prices.groupBy("market").agg(F.count(F.lit(1)).alias("_prices"))
-    enough = durable(sizes.where(F.col("_prices") >= max(MIN_PRICES, MIN_TARGETS + HORIZON)).select("market"))
+    enough = durable(sizes.where(F.col("_prices") >= max(MIN_PRICES, MIN_TARGETS + horizon)).select("market"))
     return (
-        labelled.where(F.col("target").isNotNull())
+        nxt.withColumn("target", target).drop("_price").where(F.col("target").isNotNull())
         .join(matrix, ["market", "ts"])
         .join(checked_broadcast(enough), "market", "left_semi")
     )
 
 
+def calendar_folds(
+    rows: DataFrame,
+    n_splits: int = config.WALK_FORWARD["n_splits"],
+    embargo: int = config.WALK_FORWARD["embargo"],
+    min_train: int = config.WALK_FORWARD["min_train"],
+    test_size: int = config.WALK_FORWARD["test_size"],
+    ts: str = "ts",
+    label_ts: str = "label_ts",
+) -> DataFrame:
+    """(fold, role) labels of training rows, cut at calendar times that all markets share.
+
+    Times are numbered over all markets, so no market's test rows lie before another one's training rows, however late a
+    market starts.  Fold k trains on the first ``min_train + k * test_size`` times, skips ``embargo`` of them and tests
+    on the next ``test_size``.  Training rows whose target is only known at or after the first test time are purged.
+    Folds whose test end lies beyond the calendar are left out.  Without any complete fold the result is empty.
+    """
+    # a row per time of the calendar, not per bar
+    times = rows.select(F.col(ts).alias("_t")).distinct()
+    calendar = durable(times.withColumn("_i", F.row_number().over(Window.orderBy("_t")) - 1))
+    n = calendar.count()
+    ends = [min_train + k * test_size for k in range(n_splits)]
+    ends = [e for e in ends if e + embargo + test_size <= n]
+    # the first test time of each fold: at most n_splits rows
+    first = {r["_i"]: r["_t"] for r in calendar.where(F.col("_i").isin([e + embargo for e in ends])).collect()}
+    placed = rows.join(checked_broadcast(calendar, 200_000), F.col(ts) == F.col("_t")).drop("_t")
+    labels = []
+    for k, end in enumerate(ends):
+        known = F.col(label_ts) < F.lit(first[end + embargo]).cast(rows.schema[label_ts].dataType)
+        tested = (F.col("_i") >= end + embargo) & (F.col("_i") < end + embargo + test_size)
+        role = F.when((F.col("_i") < end) & known, "train").when(tested, "test")
+        labels.append(F.struct(F.lit(k).alias("fold"), role.alias("role")))
+    if not labels:
+        return rows.withColumns({"fold": F.lit(0), "role": F.lit("")}).where("false")
+    each = placed.withColumn("_f", F.explode(F.array(*labels))).where("_f.role IS NOT NULL")
+    return each.withColumns({"fold": F.col("_f.fold"), "role": F.col("_f.role")}).drop("_f", "_i")
+
+
 def walk_forward_scores(labelled_folds: DataFrame, names: Sequence[str], n_splits: int, **params) -> DataFrame:
     """Per fold train on the past of all markets, score the test rows.
 

@@ -378,7 +378,8 @@ def d20(spark, d):
 
 @query(
     "d21_feature_stats",
-    """SELECT count(*) AS n_rows, string_agg(DISTINCT market, ',' ORDER BY market) AS markets, string_agg(DISTINCT feature_name, ',' ORDER BY feature_name) AS features FROM v_store""",
+    """SELECT CASE WHEN grouping(market) = 0 THEN 'market' WHEN grouping(feature_name) = 0 THEN 'feature' ELSE 'all' END AS kind, coalesce(market, feature_name) AS name, count(*) AS n_rows
+       FROM v_store GROUP BY GROUPING SETS ((market), (feature_name), ())""",
 )
 def d21(spark, d):
     return features.store_stats(store(spark, d))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import config
-from tidemark.operators import chain, experiments, features
+from tidemark.operators import chain, experiments, features, similarity
 from tidemark.plans.landing import MARKET_VALUES, assembled, canonical_bars, reports, store
 from tidemark.plans.registry import query, r6
 from tidemark.sources import markets, tables
@@ -44,7 +44,7 @@ def c2(spark, d):
 def pit_matrix(spark: SparkSession, d: str) -> DataFrame:
     """Reports -> release times -> long features -> upsert -> as-of matrix on weekly times."""
     rows = features.upsert(features.cot_features(reports(spark, d)).drop("quality"), F.col("available_at"))
-    wide = features.matrix(rows, weekly_probes(spark, d), COT_NAMES, "quarter")
+    wide = features.matrix(rows, weekly_probes(spark, d), COT_NAMES)
     return wide.select("market", "ts", *[r6(F.col(n), 2).alias(n) for n in COT_NAMES])
 
 
@@ -72,7 +72,7 @@ def c2b(spark, d):
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .select("market", F.date_trunc("week", "o_orderdate").cast("timestamp_ntz").alias("ts"))
     )
-    return features.matrix(store(spark, d), probes, ["AF", "AO", "NF", "NO", "RF", "RO"], "month")
+    return features.matrix(store(spark, d), probes, ["AF", "AO", "NF", "NO", "RF", "RO"])
 
 
 @query(
@@ -188,20 +188,16 @@ def typed_log(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "c8_cooldown_antijoin",
     f"""WITH log AS (SELECT event_id AS id, ts, {_KIND_SQL} AS mutation_type, value FROM events),
-        days AS (SELECT * FROM (VALUES ('hyperparameter', 3), ('feature_add', 7), ('feature_remove', 7), ('ensemble_method', 14)) AS t(mutation_type, n)),
-        history AS (SELECT id, mutation_type, value, ts - to_days(CASE mutation_type WHEN 'feature_add' THEN 12 WHEN 'hyperparameter' THEN 6 ELSE 0 END) AS ts FROM log)
+        days AS (SELECT * FROM (VALUES ('hyperparameter', 3), ('feature_add', 7), ('feature_remove', 7), ('ensemble_method', 14)) AS t(mutation_type, n))
         SELECT c.id, c.mutation_type FROM log c WHERE c.value BETWEEN 33 AND 66 AND NOT EXISTS (
-          SELECT 1 FROM history r JOIN days USING (mutation_type)
+          SELECT 1 FROM log r JOIN days USING (mutation_type)
           WHERE r.mutation_type = c.mutation_type AND r.value < 33 AND r.ts + to_days(n) > TIMESTAMP '2024-01-31')""",
 )
 def c8(spark, d):
-    """The history of two types lies far enough back for their cooldown to be over."""
+    """The log at its own times; rejections of every type with a cooldown reach into the last days."""
     log = typed_log(spark, d)
-    ts = lambda s: F.lit(s).cast("timestamp_ntz")
-    back = F.when(F.col("mutation_type") == "feature_add", 12).when(F.col("mutation_type") == "hyperparameter", 6).otherwise(0)
-    history = log.withColumn("created_at", F.col("created_at") - F.make_dt_interval(back))
     pending = log.where(F.col("promotion_decision") == "pending")
-    return experiments.cooldown_filter(pending, history, ts("2024-01-31")).select("id", "mutation_type")
+    return experiments.cooldown_filter(pending, log, F.lit("2024-01-31").cast("timestamp_ntz")).select("id", "mutation_type")
 
 
 _CAP_SQL = "CASE mutation_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in config.BUDGET_PER_CATEGORY.items()) + " ELSE 5 END"
@@ -227,13 +223,16 @@ def c9(spark, d):
               max(list_dot_product(c.embedding, m.embedding) / sqrt(list_dot_product(c.embedding, c.embedding))
                   / sqrt(list_dot_product(m.embedding, m.embedding))) > 0.4 AS is_duplicate
        FROM (SELECT vec_id, embedding::double[] AS embedding FROM embeddings WHERE label % 2 = 0) c,
-            (SELECT embedding::double[] AS embedding FROM embeddings WHERE label % 2 = 1) m GROUP BY c.vec_id""",
+            (SELECT embedding::double[] AS embedding FROM embeddings WHERE label % 2 = 1 AND vec_id % 45 <= 30) m GROUP BY c.vec_id""",
 )
 def c10(spark, d):
-    """Vectors of even labels against those of odd labels."""
+    """Vectors of even labels against those of odd labels; the latter were tried over 45 days, the memory holds 30."""
     vectors = tables.table(spark, d, "embeddings")
     even = F.pmod("label", F.lit(2)) == 0
-    found = experiments.similarity(vectors.where(even), vectors.where(~even), "vec_id", "embedding", 0.4)
+    now = F.lit("2024-01-31").cast("timestamp_ntz")
+    tried = vectors.where(~even).withColumn("created_at", now - F.make_dt_interval(F.pmod("vec_id", F.lit(45)).cast("int")))
+    memory = similarity.recent(tried, now)
+    found = similarity.similarity(vectors.where(even), memory, "vec_id", "embedding", 0.4)
     return found.select("vec_id", r6(F.col("max_similarity"), 5).alias("max_similarity"), "is_duplicate")
 
 

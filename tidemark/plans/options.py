@@ -150,13 +150,33 @@ def h10(spark, d):
     return parsed.withColumn("t", r6(dates.year_fraction(F.lit("1998-06-01").cast("date"), F.col("expiry_date"))))
 
 
+_BEND_SQL = "CASE WHEN CAST(substr(market, 2) AS INTEGER) % 3 = 1 THEN -1.0::double ELSE 1.0::double END"
+
+
+def _slope(v: str) -> str:
+    return (
+        f"CASE WHEN i = 0 THEN (lead({v}) OVER o - {v}) / h WHEN i = 499 THEN ({v} - lag({v}) OVER o) / h "
+        f"ELSE (lead({v}) OVER o - lag({v}) OVER o) / (2 * h) END"
+    )
+
+
 @query(
     "h11_butterfly_check",
-    f"WITH {svi_sql.FIT} SELECT market, as_of, expiry, false AS has_butterfly_arbitrage FROM rms",
+    f"""WITH {svi_sql.FIT},
+        edge AS (SELECT {svi_sql.KEY}, min(k) - 0.5 AS lo, (max(k) - min(k) + 1.0) / 499 AS h FROM pts GROUP BY ALL),
+        curve AS (SELECT {svi_sql.KEY}, i, h, p.m AS m, p.s AS s, p.rho AS rho, p.a AS a, {_BEND_SQL} * p.b AS b, lo + h * i AS x
+                  FROM edge JOIN fit USING ({svi_sql.KEY}), (SELECT unnest(range(0, 500)) AS i)),
+        w AS (SELECT *, a + b * (rho * (x - m) + sqrt((x - m) * (x - m) + s * s)) AS w FROM curve),
+        g AS (SELECT *, {_slope('w')} AS g1 FROM w WINDOW o AS (PARTITION BY {svi_sql.KEY} ORDER BY i)),
+        c AS (SELECT *, {_slope('g1')} AS g2 FROM g WINDOW o AS (PARTITION BY {svi_sql.KEY} ORDER BY i))
+        SELECT market, as_of, expiry, bool_or(g2 < -1e-10) AS has_butterfly_arbitrage FROM c GROUP BY ALL""",
 )
 def h11(spark, d):
-    """A fitted slice with non-negative wing slope is convex, so no fitted slice may be flagged."""
-    return density.butterfly(density.fit_svi(full_iv(spark, d)).where(F.col("quality") == "full"))
+    """A fitted slice with non-negative wing slope is convex; every third market's slope is turned round, so its slices are not."""
+    fitted = density.fit_svi(full_iv(spark, d)).where(F.col("quality") == "full")
+    number = F.substring("market", 2, 20).cast("int")
+    bent = F.when(F.pmod(number, F.lit(3)) == 1, -F.col("svi.b")).otherwise(F.col("svi.b"))
+    return density.butterfly(fitted.withColumn("svi", F.col("svi").withField("b", bent)))
 
 
 _DIV_SQL = """
@@ -301,38 +321,56 @@ def h17(spark, d):
 
 
 _SEGMENT = {"ECONOMY": "AUTOMOBILE", "LARGE": "BUILDING", "MEDIUM": "FURNITURE", "PROMO": "HOUSEHOLD"}
-_SEG_SQL = "CASE market " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _SEGMENT.items()) + " ELSE market END"
+SEGMENT_SQL = "CASE market " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _SEGMENT.items()) + " ELSE market END"
 _SEGMENTS_SQL = ", ".join(f"'{v}'" for v in _SEGMENT.values())
 
 
-def segment_features(spark: SparkSession, d: str) -> DataFrame:
-    """Implied features and closes from all bars: of four segments (the fifth has none) and of two markets without reports."""
+DIRECTION_SQL = """CASE WHEN ku > 4 AND abs(bias) < 0.02 THEN 0 WHEN bias > 0.01 AND sc < -0.3 THEN 1 WHEN bias < -0.01 AND sc > 0.3 THEN -1
+               WHEN abs(bias) < 0.02 AND abs(sc) > 0.6 THEN CASE WHEN sc > 0 THEN -1 ELSE 1 END
+               WHEN abs(bias) > 0.01 AND abs(sk) > 0.5 AND abs(sc) < 0.3 THEN CASE WHEN bias > 0 THEN 1 ELSE -1 END
+               WHEN abs(bias) > 0.01 AND abs(sc) > 0.01 AND bias * sc > 0 THEN CASE WHEN bias > 0 THEN 1 ELSE -1 END ELSE 0 END"""
+
+
+def segment_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Option features and closes from all bars, a row each: of four segments (the fifth has none) and of two markets without reports."""
     segment: Column = F.col("market")
     for k, v in _SEGMENT.items():
         segment = F.when(F.col("market") == k, v).otherwise(segment)
-    wide = tables.bars(spark, d).select(
+    spread = F.col("high") - F.col("low")
+    return tables.bars(spark, d).select(
         segment.alias("market"), F.col("ts").alias("as_of"), F.col("ts").alias("available_at"),
         (F.col("close") * (1 + (F.col("open") - F.col("low")) / F.col("high") / 20 - 0.02)).alias("implied_mean"),
         ((F.col("open") - F.col("close")) / F.col("high")).alias("implied_skew"),
         (3 + 2 * F.col("low") / F.col("close")).alias("implied_kurtosis"),
         F.col("close").alias("spot"),
+        (spread * spread).alias("implied_variance"),
+        (spread / F.col("close")).alias("atm_iv"),
+        (F.col("volume") * (F.col("close") - F.col("open"))).alias("gex"),
+        (F.col("volume") * (F.col("high") - F.col("close"))).alias("vanna_flow"),
+        # dealers' charm is known for every third week only
+        F.when(F.pmod(F.unix_date(F.col("ts").cast("date")), F.lit(21)) == 0, F.col("volume") * (F.col("open") - F.col("low"))).alias("charm_flow"),
+    )
+
+
+def feature_sources(spark: SparkSession, d: str) -> list[DataFrame]:
+    """Reports with their sentiment, and option features: what the stored features come from, in wide rows."""
+    mood = signals.cot_sentiment(reports(spark, d)).select(
+        "market", F.col("report_date").cast("timestamp_ntz").alias("as_of"), "available_at",
+        *[F.col(source).cast("double").alias(name) for name, source in config.COT_FEATURES.items()], "sentiment_score", "sentiment_confidence",
     )
-    return wide.unpivot(["market", "as_of", "available_at"], ["implied_mean", "implied_skew", "implied_kurtosis", "spot"], "feature_name", "value")
+    return [mood, segment_rows(spark, d)]
 
 
 @query(
     "h18_signal_features",
     f"""WITH {SENTIMENT_SQL},
-        opt AS (SELECT {_SEG_SQL} AS market, ts, close * (1 + (open - low) / high / 20 - 0.02) AS im, (open - close) / high AS sk, 3 + 2 * low / close AS ku, close AS spot FROM v_bars),
+        opt AS (SELECT {SEGMENT_SQL} AS market, ts, close * (1 + (open - low) / high / 20 - 0.02) AS im, (open - close) / high AS sk, 3 + 2 * low / close AS ku, close AS spot FROM v_bars),
         probes AS (SELECT market, CAST(report_date AS TIMESTAMP) AS ts FROM v_cot UNION ALL SELECT market, ts FROM opt WHERE market NOT IN ({_SEGMENTS_SQL})),
         cot AS (SELECT r.market, r.available_at, s.sentiment_score AS sc, s.sentiment_confidence AS co FROM v_reports r JOIN sentiment s USING (market, report_date)),
         j AS (SELECT p.market, p.ts, sc, co FROM probes p ASOF LEFT JOIN cot c ON p.market = c.market AND p.ts >= c.available_at),
         k AS (SELECT j.market, j.ts, sc, co, im, sk, ku, spot FROM j ASOF LEFT JOIN opt o ON j.market = o.market AND j.ts >= o.ts),
         b AS (SELECT *, (im - spot) / spot AS bias, (im - spot) / spot - sc / 10.0 AS raw, im IS NOT NULL AND sc IS NOT NULL AS both_in FROM k),
-        t AS (SELECT *, CASE WHEN ku > 4 AND abs(bias) < 0.02 THEN 0 WHEN bias > 0.01 AND sc < -0.3 THEN 1 WHEN bias < -0.01 AND sc > 0.3 THEN -1
-               WHEN abs(bias) < 0.02 AND abs(sc) > 0.6 THEN CASE WHEN sc > 0 THEN -1 ELSE 1 END
-               WHEN abs(bias) > 0.01 AND abs(sk) > 0.5 AND abs(sc) < 0.3 THEN CASE WHEN bias > 0 THEN 1 ELSE -1 END
-               WHEN abs(bias) > 0.01 AND abs(sc) > 0.01 AND bias * sc > 0 THEN CASE WHEN bias > 0 THEN 1 ELSE -1 END ELSE 0 END AS dir FROM b)
+        t AS (SELECT *, {DIRECTION_SQL} AS dir FROM b)
         SELECT market, ts, round(sc, 6) + 0.0 AS sentiment_score, round(co, 6) + 0.0 AS sentiment_confidence, CASE WHEN both_in THEN dir END::double AS divergence_direction,
                round(CASE WHEN both_in THEN raw END, 6) + 0.0 AS divergence_magnitude,
                round(CASE WHEN both_in THEN least(greatest(co * greatest(least(abs(raw) / 2.0, 1.0), 0.3), 0.0), 1.0) END, 6) + 0.0 AS divergence_confidence FROM t""",
@@ -342,17 +380,11 @@ def h18(spark, d):
 
     Markets without reports are probed at their bars: their sentiment is null.
     """
-    scored = signals.cot_sentiment(reports(spark, d))
-    cot = features.cot_features(reports(spark, d)).drop("quality")
-    mood = scored.select(
-        "market", F.col("report_date").cast("timestamp_ntz").alias("as_of"), "available_at", "sentiment_score", "sentiment_confidence"
-    ).unpivot(["market", "as_of", "available_at"], ["sentiment_score", "sentiment_confidence"], "feature_name", "value")
-    rows = cot.unionByName(mood).unionByName(segment_features(spark, d))
     names = [
         "cot_managed_money_net", "cot_total_oi", "implied_mean", "implied_skew", "implied_kurtosis", "spot", "sentiment_score", "sentiment_confidence",
     ]
     others = tables.bars(spark, d).where(~F.col("market").isin(list(_SEGMENT))).select("market", "ts")
-    wide = features.matrix(rows, weekly_probes(spark, d).unionByName(others), names, "quarter")
+    wide = features.wide_matrix(feature_sources(spark, d), weekly_probes(spark, d).unionByName(others), names)
     out = signals.signal_features(wide, F.col("spot"))
     return out.select(
         "market", "ts", "divergence_direction",

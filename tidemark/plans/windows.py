@@ -105,12 +105,12 @@ def e8(spark, d):
 @query(
     "e9_walk_forward_folds",
     """WITH b AS (SELECT market, ts, row_number() OVER (PARTITION BY market ORDER BY ts) - 1 AS row_idx, count(*) OVER (PARTITION BY market) AS n FROM v_bars),
-       f AS (SELECT *, 100 + 50 * fold AS te FROM b, (SELECT unnest(range(0, 5)) AS fold))
+       f AS (SELECT *, 252 + 63 * fold AS te FROM b, (SELECT unnest(range(0, 5)) AS fold))
        SELECT market, ts, row_idx, CAST(fold AS INTEGER) AS fold, CASE WHEN row_idx < te THEN 'train' ELSE 'test' END AS role FROM f
-       WHERE te + 55 <= n AND (row_idx < te OR (row_idx >= te + 5 AND row_idx < te + 55))""",
+       WHERE te + 68 <= n AND (row_idx < te OR (row_idx >= te + 5 AND row_idx < te + 68))""",
 )
 def e9(spark, d):
-    return returns.folds(tables.bars(spark, d), min_train=100, test_size=50).select("market", "ts", "row_idx", "fold", "role")
+    return returns.folds(tables.bars(spark, d)).select("market", "ts", "row_idx", "fold", "role")
 
 
 @query(

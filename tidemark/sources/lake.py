@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,8 +74,9 @@ def scan(
 ) -> DataFrame:
     """A2: one data type, optionally one market and an inclusive year-month range.
 
-    The filters are on partition columns only, so files outside are not listed
-    or opened.  A path that does not exist gives an empty frame.
+    Only the folders of the wanted market, years and months are named to the
+    reader, so nothing else is listed or opened: ``wanted_folders`` says which.
+    Folders that do not exist give no rows.
     """
     body = schema or SCHEMAS[data_type]
     market_field = [] if "market" in body.names else [T.StructField("market", T.StringType())]
@@ -83,18 +85,33 @@ def scan(
         + market_field
         + [T.StructField("year", T.StringType()), T.StructField("month", T.StringType())]
     )
-    sub = f"{path}/data_type={data_type}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(sub)
-    if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
+    reader = spark.read.schema(full).option("basePath", path)
+    try:
+        df = reader.parquet(wanted_folders(path, data_type, market, start, end))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], full).drop("year", "month")
-    df = spark.read.schema(full).parquet(sub)
-    if market is not None:
-        df = df.where(F.col("market") == market)
-    # zero-padded strings compare like numbers, and stay partition filters
+    # zero-padded strings compare like numbers, and stay partition filters; they matter where one end is open
     if start is not None:
         y, m = f"{start.year:04d}", f"{start.month:02d}"
         df = df.where((F.col("year") > y) | ((F.col("year") == y) & (F.col("month") >= m)))
     if end is not None:
         y, m = f"{end.year:04d}", f"{end.month:02d}"
         df = df.where((F.col("year") < y) | ((F.col("year") == y) & (F.col("month") <= m)))
-    return df.drop("year", "month")
+    return df.drop("data_type", "year", "month")
+
+
+def wanted_folders(path: str, data_type: str, market: str | None, start: date | None, end: date | None) -> str:
+    """One path pattern for the folders of a scan; with both ends given it names every wanted year and month."""
+    base = f"{path}/data_type={_escaped(data_type)}"
+    if start is not None and end is not None:
+        first, last = start.year * 12 + start.month - 1, end.year * 12 + end.month - 1
+        months = [f"year={i // 12:04d}/month={i % 12 + 1:02d}" for i in range(first, last + 1)]
+        return f"{base}/market={'*' if market is None else _escaped(market)}/{{{','.join(months) or 'none'}}}"
+    return base if market is None else f"{base}/market={_escaped(market)}"
+
+
+def _escaped(value: str) -> str:
+    """A partition value as Spark writes it into a folder name; no sign with a meaning in patterns is left."""
+    return "".join(f"%{ord(c):02X}" if ord(c) < 32 or c in "\"#%'*/:=?\\{}[]^\x7f" else c for c in value)
