@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from tidemark.operators import features, validate
 from tidemark.session import checkpoint_root
+from tidemark.sources import compacted
 
 LANDING = "landing"  # name of a stream where a target has only one
 
@@ -108,16 +109,16 @@ def bar_features(spark: SparkSession, root: str) -> DataFrame:
 def merge_revisions(stream: DataFrame, root: str, order: str = "ingested_at", source: str = LANDING) -> DataFrame:
     """Corrections replace earlier values of the same key.
 
-    Batches are appended as they come; the last write per key is taken when the
-    table is read (A3), so late corrections need no rewrite of old files.
+    Every batch is folded into a compacted store: it rewrites the folders (month of as_of, bucket of keys) that it touches
+    and no others.  A late or repeated write with a smaller ``order`` changes nothing.  Reading is a plain scan.
     """
+    spark = stream.sparkSession
 
     def apply(batch: DataFrame, folder: str) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/revisions/{folder}")
+        compacted.merge(spark, f"{root}/revisions", batch.select(*stream.columns), order, folder)
 
     run_batches(stream, root, apply, source)
-    rows = stored(stream.sparkSession, root, "revisions", stream.schema).select(*stream.columns)
-    return features.upsert(rows, F.col(order))
+    return compacted.read(spark, f"{root}/revisions", stream.schema)
 
 
 def live_counts(
