@@ -155,6 +155,10 @@ def test_expression_resolution(spark):
     df = spark.createDataFrame([("current * 0.5", 0.1), ("current // 2", 31.0), ("max(8, current // 2)", 31.0), ("max(8, current // 2)", 9.0), ("bottom 3", 1.0)], "e string, c double")
     got = [r["v"] for r in df.select(experiments.resolve(F.col("e"), F.col("c")).alias("v")).collect()]
     assert got == [pytest.approx(0.05), 15.0, 15.0, 8.0, None]
+    more = {"min(current, 3) - 1": 2.0, "-current / 4 + 2": -0.25, "(current + 1) * 2": 20.0, "2": None, "current * x": None, "current // 0": None,
+            "max()": None, "current ** 2": None, "__import__('os')": None, "max(1, current) if current else 2": None, "": None, "current": 9.0, "True * current": None}
+    assert {e: experiments.evaluate(e, 9.0) for e in more} == more
+    assert experiments.evaluate("current * 2", None) is None and experiments.evaluate(None, 1.0) is None
 
 
 def test_round_robin_and_multiple(spark):

@@ -136,6 +136,33 @@ PLAYBOOK = [
     ("data_quality_issue", 1, "hyperparameter", "reduce_training_window", "training_window", "current * 0.5"),
 ]
 
+# --- fixed values: why a playbook entry should help, and what is then expected
+RATIONALES = {
+    "reduce_learning_rate": "Slower learning rate reduces overshoot on noisy gradients",
+    "increase_regularization": "Stronger L1/L2 regularization reduces model variance",
+    "drop_low_importance_features": "Remove noisy features with lowest SHAP importance",
+    "shorten_training_window": "Shorter window weights recent regime more heavily",
+    "add_rolling_z_scores": "Z-scored features are distribution-invariant",
+    "add_regime_conditioning": "Regime-aware ensemble adapts to market state transitions",
+    "increase_num_leaves": "More leaves capture regime-specific decision boundaries",
+    "reduce_num_leaves": "Fewer leaves reduce model complexity and overfitting risk",
+    "increase_min_child_samples": "Higher minimum samples per leaf prevents memorization",
+    "add_dropout": "Feature subsampling acts as dropout regularization",
+    "remove_degraded_features": "Remove features with distribution shift indicating data quality issues",
+    "reduce_training_window": "Shorter window avoids stale/corrupted historical data",
+}
+PREDICTION = "Applying %s should improve model performance on the next sandbox evaluation"
+
+# --- fixed values: sentences of a diagnosis
+EVIDENCE = {
+    "sharpe_degraded": "Sharpe ratio degraded (current: %.3f)",
+    "drawdown_alert": "Drawdown alert triggered (max drawdown: %.3f)",
+    "hit_rate_degraded": "Hit rate degraded (current: %.3f)",
+    "drifted_features": "%d features drifted: %s",
+    "streaming_alerts": "Streaming alert for %s",
+}
+REASONING = ("Diagnosed %s with confidence %.2f", ". Evidence: %s.", ". No strong signals detected; using default classification.")
+
 # --- fixed values: default classifier settings that playbook expressions refer to
 DEFAULT_MODEL_CONFIG = {
     "learning_rate": 0.1,

@@ -230,24 +230,17 @@ def diagnose(report: DataFrame) -> DataFrame:
     confidence = F.when(rules[0][0], rules[0][2])
     for condition, name, weight in rules[1:]:
         cause, confidence = cause.when(condition, name), confidence.when(condition, weight)
-    three = lambda c: F.format_string("%.3f", F.col(c))
+    said = config.EVIDENCE
+    measured = {"sharpe_degraded": "sharpe_ratio", "drawdown_alert": "max_drawdown", "hit_rate_degraded": "hit_rate"}
+    first_five = F.array_join(F.slice("drifted_features", 1, 5), ", ")
     evidence = F.concat(
         F.array_compact(
             F.array(
-                F.when(F.col("sharpe_degraded"), F.concat(F.lit("Sharpe ratio degraded (current: "), three("sharpe_ratio"), F.lit(")"))),
-                F.when(F.col("drawdown_alert"), F.concat(F.lit("Drawdown alert triggered (max drawdown: "), three("max_drawdown"), F.lit(")"))),
-                F.when(F.col("hit_rate_degraded"), F.concat(F.lit("Hit rate degraded (current: "), three("hit_rate"), F.lit(")"))),
-                F.when(
-                    F.size("drifted_features") > 0,
-                    F.concat(
-                        F.size("drifted_features").cast("string"),
-                        F.lit(" features drifted: "),
-                        F.array_join(F.slice("drifted_features", 1, 5), ", "),
-                    ),
-                ),
+                *[F.when(F.col(flag), F.format_string(said[flag], F.col(value))) for flag, value in measured.items()],
+                F.when(F.size("drifted_features") > 0, F.format_string(said["drifted_features"], F.size("drifted_features"), first_five)),
             )
         ),
-        F.transform("streaming_alerts", lambda m: F.concat(F.lit("Streaming alert for "), m)),
+        F.transform("streaming_alerts", lambda m: F.format_string(said["streaming_alerts"], m)),
     )
     mutations = F.create_map(
         *[c for k, v in config.CAUSE_MUTATIONS.items() for c in (F.lit(k), F.array(*[F.lit(x) for x in v]))]
@@ -260,14 +253,8 @@ def diagnose(report: DataFrame) -> DataFrame:
         .withColumn(
             "reasoning",
             F.concat(
-                F.lit("Diagnosed "),
-                F.col("primary_cause"),
-                F.lit(" with confidence "),
-                F.format_string("%.2f", F.col("confidence")),
-                F.when(
-                    F.size("evidence") == 0,
-                    F.lit(". No strong signals detected; using default classification."),
-                ).otherwise(F.concat(F.lit(". Evidence: "), F.array_join("evidence", "; "), F.lit("."))),
+                F.format_string(config.REASONING[0], F.col("primary_cause"), F.col("confidence")),
+                F.when(F.size("evidence") > 0, F.format_string(config.REASONING[1], F.array_join("evidence", "; "))).otherwise(config.REASONING[2]),
             ),
         )
     )

@@ -153,25 +153,26 @@ def _book_sql() -> str:
             value = f"{max(8, now // 2):.10g}"
         elif expr.startswith("current *"):
             value = f"{round(now * float(expr.split('*')[1]), 6):.10g}"
-        rows.append(f"('{cause}', {slot}, '{kind}', '{name}', '{param}', '{value}')")
+        number = "NULL" if value == expr else value
+        rows.append(f"('{cause}', {slot}, '{kind}', '{name}', '{param}', '{value}', {number}::DOUBLE, '{config.RATIONALES[name]}')")
     return ", ".join(rows)
 
 
 @query(
     "c7_playbook_join",
     f"""WITH book AS (SELECT *, max(slot) OVER (PARTITION BY cause) + 1 AS n_entries
-                      FROM (VALUES {_book_sql()}) AS t(cause, slot, mutation_type, name, parameter, value)),
+                      FROM (VALUES {_book_sql()}) AS t(cause, slot, mutation_type, name, parameter, value, number, rationale)),
         diag AS (SELECT event_id AS diagnosis_id, user_id AS cycle_no,
                         CASE event_type WHEN 'click' THEN 'performance_degradation' WHEN 'view' THEN 'feature_distribution_drift'
                              WHEN 'signup' THEN 'regime_change' WHEN 'purchase' THEN 'overfitting' WHEN 'error' THEN 'data_quality_issue' END AS primary_cause
                  FROM events)
-        SELECT diagnosis_id, primary_cause, mutation_type, name, parameter, value
+        SELECT diagnosis_id, primary_cause, mutation_type, name, parameter, value, number, rationale, replace('{config.PREDICTION}', '%s', name) AS prediction
         FROM diag JOIN book ON primary_cause = cause AND cycle_no % n_entries = slot""",
 )
 def c7(spark, d):
     return experiments.proposals(
         diagnoses(spark, d), experiments.playbook(spark), experiments.model_config(spark)
-    ).select("diagnosis_id", "primary_cause", "mutation_type", "name", "parameter", "value")
+    ).select("diagnosis_id", "primary_cause", "mutation_type", "name", "parameter", "value", r6(F.col("number")).alias("number"), "rationale", "prediction")
 
 
 _KINDS = {"click": "hyperparameter", "view": "feature_add", "signup": "feature_remove", "purchase": "ensemble_method", "error": "prediction_target"}

@@ -75,7 +75,7 @@ def i4(spark, d):
        FROM v_reports""",
 )
 def i5(spark, d):
-    """First prints, then corrections of the last four weeks."""
+    """First prints, then corrections of the last four weeks.  One bucket a month: four keys a market."""
     rows = reports(spark, d)
     first = rows.select(
         "market", F.lit("cot_managed_money_net").alias("feature_name"), F.col("report_date").cast("timestamp_ntz").alias("as_of"),
@@ -86,7 +86,7 @@ def i5(spark, d):
         (F.col("ingested_at") + F.expr("INTERVAL 28 DAYS")).alias("ingested_at"),
     )
     merged = ingest.merge_revisions(
-        landed(spark, first.unionByName(late), "landing-revisions"), ingest.scratch(spark, "revisions")
+        landed(spark, first.unionByName(late), "landing-revisions"), ingest.scratch(spark, "revisions"), buckets=1
     )
     return merged.select("market", "as_of", r6(F.col("value"), 2).alias("value"))
 

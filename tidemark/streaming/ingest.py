@@ -106,7 +106,9 @@ def bar_features(spark: SparkSession, root: str) -> DataFrame:
     return stored(spark, root, "features", schema).select(*schema.names)
 
 
-def merge_revisions(stream: DataFrame, root: str, order: str = "ingested_at", source: str = LANDING) -> DataFrame:
+def merge_revisions(
+    stream: DataFrame, root: str, order: str = "ingested_at", source: str = LANDING, buckets: int = compacted.BUCKETS
+) -> DataFrame:
     """Corrections replace earlier values of the same key.
 
     Every batch is folded into a compacted store: it rewrites the folders (month of as_of, bucket of keys) that it touches
@@ -115,10 +117,10 @@ def merge_revisions(stream: DataFrame, root: str, order: str = "ingested_at", so
     spark = stream.sparkSession
 
     def apply(batch: DataFrame, folder: str) -> None:
-        compacted.merge(spark, f"{root}/revisions", batch.select(*stream.columns), order, folder)
+        compacted.merge(spark, f"{root}/revisions", batch.select(*stream.columns), order, folder, buckets=buckets)
 
     run_batches(stream, root, apply, source)
-    return compacted.read(spark, f"{root}/revisions", stream.schema)
+    return compacted.read(spark, f"{root}/revisions", stream.schema, buckets=buckets)
 
 
 def live_counts(
