@@ -182,7 +182,14 @@ def test_article_text(spark):
      ("<b>open<article><p>one</b></p><p>two</p></article>", "one two"),
      ("<article>text</article><div class='related'><article>teaser</article></div>", "text"),
      ("<main>text<div class='comments'><article>reply</article></div></main>", "text"),
-     ("<div class='cookie-banner'>no</div><aside><article>no</article></aside><p>text", "text")],
+     ("<div class='cookie-banner'>no</div><aside><article>no</article></aside><p>text", "text"),
+     ("<article>text<section id='comments'><p>reply</p></section><ul class='comment-list'><li>reply</li></ul></article>", "text"),
+     ("<article>text</article><div class='user-comments'>reply</div><article class='comment'>reply</article>", "text"),
+     ("<article><div class='cookie-bar'>no</div>te<div class='ad-slot-1'>no</div>xt<div class='social-links'>no</div></article>", "te xt"),
+     ("<article><p hidden>no</p><p>text</p><p style='color:red; display: none'>no</p><p title='hidden'>more</p></article>", "text more"),
+     ("<article><h2 class='menu'>Menu for tonight</h2><p>soup</p><h3 class='notice'>Notice</h3></article>", "Menu for tonight soup Notice"),
+     ("<article><p class='comment-free'>one</p><div class='post-content'>two</div><div class='page-body'>three</div></article>", "one two three"),
+     ("<main><article class='post'>text</article><article class='user-comment'>reply</article></main>", "text")],
 )
 def test_wrappers_keep_the_article(body, want):
     found = html_text.blocks(PAGE.format(body))
@@ -192,13 +199,14 @@ def test_wrappers_keep_the_article(body, want):
 
 @pytest.mark.parametrize("chunk", [100_000, 40])
 def test_repeats_inside_articles(spark, chunk):
-    """An unmarked notice inside the article goes; copies, edited copies and sentences that share a phrase stay."""
+    """An unmarked notice of three articles goes; copies, edited copies, what two articles share and shared phrases stay."""
     notice = "please tell your friends about this site and come back soon"
     body = [" ".join(f"a{n}w{i}" for i in range(40)) for n in range(6)]
     edited = body[5].replace("a5w19", "changed")
     quote = "begin of own text one two three four five six seven eight {} end"
+    twice = "two articles of this host quote the same long sentence word for word here"
     parts = [[body[0], notice], [body[1], notice, quote.format("x")], [body[2], quote.format("y")], [body[3]], [body[3]],
-             [body[5], body[4]], [edited, body[4]]]
+             [body[5], body[4]], [edited, body[4]], [" ".join(f"b{i}" for i in range(50)), notice, twice], [" ".join(f"c{i}" for i in range(50)), twice]]
     pages = spark.createDataFrame(
         [(n, f"http://h/{n}", PAGE.format("<article>" + "".join(f"<p>{t}</p>" for t in p) + "</article>")) for n, p in enumerate(parts)]
         + [(99, "http://h/0", PAGE.format(f"<article><p>{body[0]}</p><p>{notice}</p></article>"))],

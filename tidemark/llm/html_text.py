@@ -32,6 +32,20 @@ MARKS = frozenset(
     "newsletter subscribe subscription signup login share sharing social comment comments respond disqus related "
     "recommended widget toolbar pagination pager skip search complementary contentinfo alert disclaimer".split()
 )
+# Words that only say what shape the marked element has (``ad-slot-1``, ``comment-list``, ``user-comments``).
+SHAPES = frozenset(
+    "bar block body bottom box button buttons card col column container content form global group holder icon icons inline inner item "
+    "items left link links list outer page panel post posts reader readers right row section site slot thread top unit user users "
+    "wrap wrapper".split()
+)
+# Marks that hold for ids inside an article and for article elements themselves.
+STRONG = frozenset(
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments cookie cookies disqus modal newsletter popup "
+    "respond sharing sidebar social sponsor sponsored subscribe".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+UNSEEN = re.compile(r"""(?<![\w-])style\s*=\s*(?:"[^"]*|'[^']*|[^\s>]*)(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
 PART = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
@@ -44,27 +58,40 @@ HOLDS_P = frozenset("article main section div td th li blockquote body header fo
                     "figcaption details dialog".split())
 CLOSES_P = HOLDS_P - {"td", "th", "body", "button"} | frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl dt pre hr table address menu hgroup".split())
 MAIN_TEXT, LOOSE, ASIDE = 0, 1, 2
+OWNERS = ["owner", "second", "third"]
+FEW = len(OWNERS)  # articles that make a block of an article boilerplate; loose runs take two
 
 
-def _marked(attributes: str, inside: bool) -> bool:
-    """Whether a class, role or id consists of marks alone (``ad``, ``cookie-banner``, not ``has-sidebar``).
+def _marked(attributes: str, inside: bool, article: bool = False) -> bool:
+    """Whether a class, role or id says that an element is no part of the article.
 
-    Inside an article an id names a part of it and decides nothing.
+    Such a name holds a mark, and besides marks only words of shape (``ad-slot-1``, ``cookie-banner``, not
+    ``has-sidebar`` or ``related-work``).  Inside an article an id names a part of it and decides only by a strong mark; an
+    article element is marked by strong marks alone.
     """
     if "=" not in attributes:
         return False
-    names = " ".join(
-        "".join(values) for name, *values in NAMES.findall(attributes) if not (inside and name.lower() == "id")
-    )
-    split = (WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", t).lower()) for t in names.split())
-    return any(words and MARKS.issuperset(words) for words in split)
+    for name, *values in NAMES.findall(attributes):
+        marks = STRONG if article or (inside and name.lower() == "id") else MARKS
+        for token in "".join(values).split():
+            words = set(WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()))
+            if words & marks and words <= marks | SHAPES:
+                return True
+    return False
+
+
+def _unseen(attributes: str) -> bool:
+    """An element that browsers do not show: the hidden attribute or a style without display or visibility."""
+    if not attributes.strip():
+        return False
+    return bool(re.search(r"(?<![\w-])hidden(?![\w-])", QUOTED.sub("", attributes), re.I) or UNSEEN.search(attributes))
 
 
 def blocks(page: str) -> list[tuple[int, str]]:
     """(kind, text) of a page's blocks in order.
 
     MAIN_TEXT stands inside the article, ASIDE in menus, page headers, footers, sidebars, notices, adverts, forms and
-    reader comments (by element, class, id or role), LOOSE elsewhere in the body.  An article inside a marked element or
+    reader comments (by element, class, id or role, ``article`` elements for comments among them), LOOSE elsewhere in the body.  An article inside a marked element or
     a form is one where no article stands in fewer of them, and a form that holds all text of a page holds loose text.
     Scripts, styles, markup and hidden elements give nothing.  Character references are decoded, white space becomes
     one space.
@@ -137,13 +164,15 @@ def blocks(page: str) -> list[tuple[int, str]]:
             if name in CLOSES_P:  # an open paragraph ends where the next block begins
                 leave("p")
             state = (hidden, aside, inside)
-            if name in HIDDEN:
+            if name in HIDDEN or _unseen(m[3]):
                 hidden = True
             elif name == "form":
                 aside, soft = True, soft + 1
             elif name in CHROME and not (name == "header" and inside):
                 aside = fixed = True
-            elif name not in ("html", "body", *MAIN) and _marked(m[3], inside):
+            elif name in MAIN and _marked(m[3], inside, True):
+                aside = fixed = True
+            elif name not in ("html", "body", *MAIN, *HEADINGS) and _marked(m[3], inside):
                 aside, soft, marks = True, soft + 1, marks + 1
             elif name in MAIN:
                 aside = aside and (fixed or inside)
@@ -187,21 +216,36 @@ def suffix_array(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
 
 
 def repeated(tokens: np.ndarray, page: np.ndarray, owner: np.ndarray, depth: int) -> np.ndarray:
-    """Marks tokens inside a substring of ``depth`` or more tokens that stands on pages of two or more owners.
+    """For each token the most owners (up to FEW) of a substring of ``depth`` tokens around it: 0, 2 or 3.
 
     ``page`` must not decrease; substrings never cross pages.  Neighbours in the suffix array that agree on ``depth``
-    tokens are one run; a run that touches two owners marks all its places.
+    tokens are one run, whose distinct owners are counted.
     """
     if len(tokens) < depth:
-        return np.zeros(len(tokens), bool)
+        return np.zeros(len(tokens), np.int8)
     last = np.searchsorted(page, page, side="right")  # end of each token's page
     order, rank = suffix_array(tokens, depth)
     order = order[order + depth <= last[order]]
     if not len(order):
-        return np.zeros(len(tokens), bool)
-    starts = np.flatnonzero(np.concatenate(([True], rank[order][1:] != rank[order][:-1])))
-    low, high = np.minimum.reduceat(owner[order], starts), np.maximum.reduceat(owner[order], starts)
-    return cover(order[np.repeat(low != high, np.diff(np.append(starts, len(order))))], len(tokens), depth)
+        return np.zeros(len(tokens), np.int8)
+    run = np.cumsum(np.concatenate(([0], rank[order][1:] != rank[order][:-1])))
+    return covered_by(order, owners_of(run, owner[order])[run], len(tokens), depth)
+
+
+def owners_of(run: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Distinct owners of each run, runs numbered from 0."""
+    at = np.lexsort((owner, run))
+    r, o = run[at], owner[at]
+    fresh = np.concatenate(([True], (r[1:] != r[:-1]) | (o[1:] != o[:-1])))
+    return np.bincount(r[fresh])
+
+
+def covered_by(starts: np.ndarray, owners: np.ndarray, size: int, depth: int) -> np.ndarray:
+    """For each token the most owners, up to FEW, of the substrings that start at some places."""
+    found = np.zeros(size, np.int8)
+    for least in range(2, FEW + 1):
+        found[cover(starts[owners >= least], size, depth)] = least
+    return found
 
 
 def cover(starts: np.ndarray, size: int, depth: int) -> np.ndarray:
@@ -259,27 +303,28 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
 
 
 def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cell, window) of the windows held for two owners, from rows (window, owner, cell) in order of the window.
+    """(cell, window, owners) of the windows held for two owners or more, counted up to FEW.
 
-    A null owner stands for several of them.
+    Rows are (window, up to FEW owners, cell) in order of the window.
     """
-    names = ["window", "owner", "many", "cell"]
-    kept = {n: np.empty(0, bool if n == "many" else np.int64) for n in names}
+    names = ["window", *OWNERS, "cell"]
+    kept = {n: np.empty(0, np.int64) for n in names} | {f"no_{n}": np.empty(0, bool) for n in OWNERS}
 
     def crossing(rows):
-        starts = np.flatnonzero(np.concatenate(([True], rows["window"][1:] != rows["window"][:-1])))
-        split = np.minimum.reduceat(rows["owner"], starts) != np.maximum.reduceat(rows["owner"], starts)
-        split |= np.logical_or.reduceat(rows["many"], starts)
-        found = np.repeat(split, np.diff(np.append(starts, len(rows["window"]))))
+        run = np.cumsum(np.concatenate(([0], rows["window"][1:] != rows["window"][:-1])))
+        given = [~rows[f"no_{n}"] for n in OWNERS]
+        runs, owners = (np.concatenate([x[g] for x, g in zip(xs, given)]) for xs in ([run] * FEW, [rows[n] for n in OWNERS]))
+        count = np.minimum(owners_of(runs, owners), FEW)[run]
+        found = count >= 2
         return pa.RecordBatch.from_arrays(
-            [pa.array(rows["cell"][found]), pa.array(rows["window"][found])], names=["cell", "window"]
+            [pa.array(rows["cell"][found]), pa.array(rows["window"][found]), pa.array(count[found].astype(np.int32))],
+            names=["cell", "window", "kind"],
         )
 
     for batch in batches:
-        owner = batch.column(1)
-        new = {"window": np.asarray(batch.column(0)), "owner": np.asarray(owner.fill_null(0)),
-               "many": np.asarray(owner.is_null()), "cell": np.asarray(batch.column(2))}
-        rows = {n: np.concatenate([kept[n], new[n]]) for n in names}
+        new = {n: np.asarray(batch.column(n).fill_null(0)) for n in names}
+        new |= {f"no_{n}": np.asarray(batch.column(n).is_null()) for n in OWNERS}
+        rows = {n: np.concatenate([kept[n], new[n]]) for n in kept}
         # the last window may go on in the next batch
         cut = int(np.searchsorted(rows["window"], rows["window"][-1])) if len(rows["window"]) else 0
         if cut:
@@ -289,31 +334,43 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield crossing(kept)
 
 
+def first_owners(run: np.ndarray, owner: np.ndarray) -> list[pa.Array]:
+    """Up to FEW distinct owners of each run, one column for each (null where there are fewer)."""
+    at = np.lexsort((owner, run))
+    r, o = run[at], owner[at]
+    fresh = np.concatenate(([True], (r[1:] != r[:-1]) | (o[1:] != o[:-1])))
+    r, o = r[fresh], o[fresh]
+    starts = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
+    sizes = np.diff(np.append(starts, len(r)))
+    return [pa.array(o[np.minimum(starts + k, len(o) - 1)], mask=sizes <= k) for k in range(FEW)]
+
+
 def _judged(rows: list[dict], covered: list[np.ndarray]) -> list[str]:
-    """The words left of a page's blocks, given which of their words are repeated.
+    """The words left of a page's blocks, given how many owners repeat each of their words.
 
-    Loose text loses every repeated run.  An article loses the blocks that are repeated as a whole, so a sentence that
-    shares a phrase keeps it; an article of which more than half is repeated is an edited copy of another and stays whole.
+    Loose text loses every run that two owners share.  An article loses the blocks that FEW articles repeat as a whole, so a
+    sentence that two articles share, or that shares a phrase, stays; an article of which more than half is repeated is an
+    edited copy of another and stays whole.
     """
-    inside = [(c.sum(), len(c)) for r, c in zip(rows, covered) if r["kind"] == MAIN_TEXT]
+    inside = [((c >= 2).sum(), len(c)) for r, c in zip(rows, covered) if r["kind"] == MAIN_TEXT]
     copied = 2 * sum(n for n, _ in inside) > sum(n for _, n in inside)
     left: list[str] = []
     for row, marks in zip(rows, covered):
         if row["kind"] == LOOSE:
-            left += [w for w, c in zip(row["text"].split(" "), marks) if not c]
-        elif row["kind"] == MAIN_TEXT and (copied or not marks.all()):
+            left += [w for w, c in zip(row["text"].split(" "), marks) if c < 2]
+        elif row["kind"] == MAIN_TEXT and (copied or marks.min() < FEW):
             left.append(row["text"])
     return left
 
 
-def unique_runs(blocks_: DataFrame, depth: int = 8, chunk_tokens: int = 32_768) -> DataFrame:
+def unique_runs(blocks_: DataFrame, depth: int = 8, chunk_tokens: int = 262_144) -> DataFrame:
     """(uid, text): the text of each page less what its host repeats, in page order (``_judged``).
 
     ``blocks_`` has (uid, key, host, place, kind, text).  ``uid`` is a page, ``key`` its article: pages with one key are
     copies and do not make each other boilerplate.  The pages of a host are dealt into chunks of about
     ``chunk_tokens`` tokens by hash; a chunk's pages are one token stream with one suffix array.  Windows that different
-    chunks of a host hold for different keys meet in one exchange by their hashes, each chunk giving a window once, so a
-    hot host is split and the result is that of one suffix array over the host.
+    chunks of a host hold for different keys meet in one exchange by their hashes, each chunk giving a window once with up to
+    FEW of its keys, so a hot host is split and the result is that of one suffix array over the host.
     """
     rows = blocks_
     sizes = rows.groupBy("host").agg(F.sum(F.size(F.split("text", " "))).alias("n"))
@@ -333,12 +390,12 @@ def unique_runs(blocks_: DataFrame, depth: int = 8, chunk_tokens: int = 32_768)
                 continue
             order = np.argsort(hashes, kind="stable")
             hashes, owner = hashes[order], chunk.owner[at][order]
-            starts = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
-            low, high = np.minimum.reduceat(owner, starts), np.maximum.reduceat(owner, starts)
+            fresh = np.concatenate(([True], hashes[1:] != hashes[:-1]))
+            starts = np.flatnonzero(fresh)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes[starts] ^ token_id(rows_[0]["host"])), pa.array(low, mask=low != high),
+                [pa.array(hashes[starts] ^ token_id(rows_[0]["host"])), *first_owners(np.cumsum(fresh) - 1, owner),
                  pa.array(np.full(len(starts), rows_[0]["cell"], np.int64))],
-                names=["window", "owner", "cell"],
+                names=["window", *OWNERS, "cell"],
             )
 
     def arranged(frame: DataFrame) -> DataFrame:
@@ -347,13 +404,13 @@ def unique_runs(blocks_: DataFrame, depth: int = 8, chunk_tokens: int = 32_768)
     columns = ["uid", "key", "host", "place", "kind", "text", "cell", "window"]
     texts = dealt.withColumn("window", F.lit(None).cast("long")).select(*columns)
     if not hot.isEmpty():
-        seen = arranged(dealt.where("chunks > 1")).mapInArrow(shared, "window long, owner long, cell long")
-        found = seen.repartition("window").sortWithinPartitions("window").mapInArrow(_crossing, "cell long, window long")
+        seen = arranged(dealt.where("chunks > 1")).mapInArrow(shared, f"window long, {', '.join(f'{n} long' for n in OWNERS)}, cell long")
+        found = seen.repartition("window").sortWithinPartitions("window").mapInArrow(_crossing, "cell long, window long, kind int")
         texts = texts.unionByName(found, allowMissingColumns=True).select(*columns)
 
     def extract(batches: Iterator[pa.RecordBatch]):
         for rows_ in _chunks(batches):
-            crossing = np.array(sorted(r["window"] for r in rows_ if r["text"] is None), np.int64)
+            crossing = np.array(sorted((r["window"], r["kind"]) for r in rows_ if r["text"] is None), np.int64).reshape(-1, 2)
             own = [r for r in rows_ if r["text"] is not None]
             if not own:
                 continue
@@ -361,7 +418,10 @@ def unique_runs(blocks_: DataFrame, depth: int = 8, chunk_tokens: int = 32_768)
             covered = repeated(chunk.tokens, chunk.page, chunk.owner, depth)
             if len(crossing):
                 at, hashes = chunk.windows()
-                covered |= cover(at[np.isin(hashes ^ token_id(own[0]["host"]), crossing)], len(covered), depth)
+                hashes = hashes ^ token_id(own[0]["host"])
+                place = np.minimum(np.searchsorted(crossing[:, 0], hashes), len(crossing) - 1)
+                owners = np.where(crossing[place, 0] == hashes, crossing[place, 1], 0)
+                covered = np.maximum(covered, covered_by(at, owners, len(covered), depth))
             pages: dict[bytes, tuple[list[dict], list[np.ndarray]]] = {}
             for row, words, start in zip(own, chunk.words, chunk.starts):
                 found = pages.setdefault(row["uid"], ([], []))
@@ -388,13 +448,14 @@ def _key(found: list[tuple[int, str]]) -> int:
 
 def main_text(
     pages: DataFrame, html: str = "html", url: str = "url", id_col: str = "page_id", depth: int = 8,
-    chunk_tokens: int = 32_768,
+    chunk_tokens: int = 262_144,
 ) -> DataFrame:
     """(page_id, url, text, n_chars): the main text of every page.
 
     Where a page marks its article (``article`` or ``main``), the text is that of the article, elsewhere the loose blocks
     of the body.  Both go less what other pages of the host repeat in runs of ``depth`` or more tokens (``unique_runs``):
-    loose text run by run, an article block by block; copies of an article do not count as repeats.
+    loose text run by run, an article block by block where FEW articles hold the block; copies of an article do not count
+    as repeats.
     Menus, adverts, footers and the like are part of the host's streams and never part of the text.
 
     A null or empty html gives an empty text; a null url is a host of its own name (empty); null ids and repeated rows are
