@@ -245,6 +245,23 @@ def test_suffix_arrays_equal_brute_force(spark, chunk):
     assert got == repeats_by_force(pages, 5)
 
 
+@pytest.mark.parametrize("chunk", [100_000, 300, 60])
+def test_common_blocks_count_articles(spark, chunk):
+    """Blocks go where three articles and three tenths of the host's hold them; many copies of one article count once, wherever they lie."""
+    rng = np.random.default_rng(8)
+    text = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 10**6, n))
+    often, seldom, copied = text(12), text(12), text(12)
+    body = [text(60) for _ in range(20)]
+    parts = [[b, *([often] if n % 2 else []), *([seldom] if n < 5 else [])] for n, b in enumerate(body)]
+    same = [text(40), copied, text(40)]
+    pages = [("".join(f"<p>{t}</p>" for t in p), " ".join(t for t in p if t != often)) for p in [*parts, *[same] * 25]]
+    df = spark.createDataFrame(
+        [(n, f"http://h/{n}", PAGE.format(f"<article>{b}</article>")) for n, (b, _) in enumerate(pages)], "page_id long, url string, html string"
+    )
+    got = {r.page_id: r.text for r in html_text.main_text(df, chunk_tokens=chunk).collect()}
+    assert got == {n: want for n, (_, want) in enumerate(pages)}
+
+
 # ---------------------------------------------------------------- 6 neighbours
 def test_neighbours_equal_brute_force(spark):
     rng = np.random.default_rng(5)

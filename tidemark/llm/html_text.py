@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import html as entities
+import math
 import re
 from collections.abc import Iterator
 from urllib.parse import urlsplit
@@ -58,8 +59,9 @@ HOLDS_P = frozenset("article main section div td th li blockquote body header fo
                     "figcaption details dialog".split())
 CLOSES_P = HOLDS_P - {"td", "th", "body", "button"} | frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl dt pre hr table address menu hgroup".split())
 MAIN_TEXT, LOOSE, ASIDE = 0, 1, 2
-OWNERS = ["owner", "second", "third"]
-FEW = len(OWNERS)  # articles that make a block of an article boilerplate; loose runs take two
+# Articles of a host that make a block inside an article boilerplate: this many, and this share of the host's articles.
+FEW, SHARE = 3, 0.3
+NONE, SHARED, COMMON = 0, 2, 3  # of a run of tokens: one owner, two owners or more, in so many articles
 
 
 def _marked(attributes: str, inside: bool, article: bool = False) -> bool:
@@ -215,11 +217,11 @@ def suffix_array(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     return np.argsort(rank, kind="stable"), rank
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray, owner: np.ndarray, depth: int) -> np.ndarray:
-    """For each token the most owners (up to FEW) of a substring of ``depth`` tokens around it: 0, 2 or 3.
+def repeated(tokens: np.ndarray, page: np.ndarray, owner: np.ndarray, main: np.ndarray, depth: int, least: int) -> np.ndarray:
+    """What is known of each token by the substrings of ``depth`` tokens around it: NONE, SHARED or COMMON.
 
     ``page`` must not decrease; substrings never cross pages.  Neighbours in the suffix array that agree on ``depth``
-    tokens are one run, whose distinct owners are counted.
+    tokens are one run.  Its distinct owners are counted, and those that hold it inside their article (``main``).
     """
     if len(tokens) < depth:
         return np.zeros(len(tokens), np.int8)
@@ -229,23 +231,38 @@ def repeated(tokens: np.ndarray, page: np.ndarray, owner: np.ndarray, depth: int
     if not len(order):
         return np.zeros(len(tokens), np.int8)
     run = np.cumsum(np.concatenate(([0], rank[order][1:] != rank[order][:-1])))
-    return covered_by(order, owners_of(run, owner[order])[run], len(tokens), depth)
+    every, inner = owners_of(run, owner[order], main[order] & main[order + depth - 1])
+    return covered_by(order, judged(every, inner, least)[run], len(tokens), depth)
 
 
-def owners_of(run: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Distinct owners of each run, runs numbered from 0."""
-    at = np.lexsort((owner, run))
-    r, o = run[at], owner[at]
-    fresh = np.concatenate(([True], (r[1:] != r[:-1]) | (o[1:] != o[:-1])))
-    return np.bincount(r[fresh])
+def owners_of(run: np.ndarray, owner: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct owners of each run, runs numbered from 0: of all its places, and of those inside an article."""
+    size = int(run[-1]) + 1
+    counts = []
+    for chosen in (np.ones(len(run), bool), inside):
+        r, o = run[chosen], owner[chosen]
+        at = np.lexsort((o, r))
+        r, o = r[at], o[at]
+        fresh = np.ones(len(r), bool)
+        fresh[1:] = (r[1:] != r[:-1]) | (o[1:] != o[:-1])
+        counts.append(np.bincount(r[fresh], minlength=size))
+    return counts[0], counts[1]
 
 
-def covered_by(starts: np.ndarray, owners: np.ndarray, size: int, depth: int) -> np.ndarray:
-    """For each token the most owners, up to FEW, of the substrings that start at some places."""
-    found = np.zeros(size, np.int8)
-    for least in range(2, FEW + 1):
-        found[cover(starts[owners >= least], size, depth)] = least
-    return found
+def judged(every: np.ndarray, inner: np.ndarray, least: np.ndarray | int) -> np.ndarray:
+    return np.where(inner >= least, COMMON, np.where(every >= 2, SHARED, NONE)).astype(np.int8)
+
+
+def least_articles(articles: int) -> int:
+    return max(FEW, math.ceil(SHARE * articles))
+
+
+def covered_by(starts: np.ndarray, found: np.ndarray, size: int, depth: int) -> np.ndarray:
+    """For each token the most that is known of the substrings that start at some places."""
+    out = np.zeros(size, np.int8)
+    for level in (SHARED, COMMON):
+        out[cover(starts[found >= level], size, depth)] = level
+    return out
 
 
 def cover(starts: np.ndarray, size: int, depth: int) -> np.ndarray:
@@ -281,6 +298,9 @@ class _Chunk:
         pages = {u: i for i, u in enumerate(dict.fromkeys(r["uid"] for r in rows))}
         self.page = np.repeat([pages[r["uid"]] for r in rows], sizes)
         self.owner = np.repeat(np.array([r["key"] for r in rows], np.int64), sizes)
+        self.main = np.repeat(np.array([r["kind"] == MAIN_TEXT for r in rows], bool), sizes)
+        # a host in one chunk counts its articles here, a larger one has been counted before
+        self.least = least_articles(rows[0]["articles"] or len({r["key"] for r in rows if r["kind"] == MAIN_TEXT}))
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """Start and hash of every window of ``depth`` tokens within a page."""
@@ -303,28 +323,38 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
 
 
 def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cell, window, owners) of the windows held for two owners or more, counted up to FEW.
+    """(cell, window, kind) of the windows that are SHARED or COMMON on their host.
 
-    Rows are (window, up to FEW owners, cell) in order of the window.
+    Rows are (window, owners, owners inside articles, articles needed, cell, article) in order of the window, one for each
+    chunk that holds it.  Chunks hold different articles, so the owners add up; the chunks of one article that was split
+    name it, and count once.
     """
-    names = ["window", *OWNERS, "cell"]
-    kept = {n: np.empty(0, np.int64) for n in names} | {f"no_{n}": np.empty(0, bool) for n in OWNERS}
+    names = ["window", "every", "inner", "least", "cell", "part", "split"]
+    kept = {n: np.empty(0, np.int64) for n in names}
 
     def crossing(rows):
-        run = np.cumsum(np.concatenate(([0], rows["window"][1:] != rows["window"][:-1])))
-        given = [~rows[f"no_{n}"] for n in OWNERS]
-        runs, owners = (np.concatenate([x[g] for x, g in zip(xs, given)]) for xs in ([run] * FEW, [rows[n] for n in OWNERS]))
-        count = np.minimum(owners_of(runs, owners), FEW)[run]
-        found = count >= 2
+        starts = np.flatnonzero(np.concatenate(([True], rows["window"][1:] != rows["window"][:-1])))
+        counts = {n: rows[n].copy() for n in ("every", "inner")}
+        split = np.flatnonzero(rows["split"])
+        if len(split):  # of the rows of a split article only the first counts, that with it inside the article before others
+            at = split[np.lexsort((-rows["inner"][split], rows["part"][split], rows["window"][split]))]
+            same = (rows["window"][at][1:] == rows["window"][at][:-1]) & (rows["part"][at][1:] == rows["part"][at][:-1])
+            for n in counts:
+                counts[n][at[1:][same]] = 0
+        sums = [np.add.reduceat(counts[n], starts) for n in ("every", "inner")]
+        known = np.repeat(judged(*sums, rows["least"][starts]), np.diff(np.append(starts, len(rows["window"]))))
+        found = known > NONE
         return pa.RecordBatch.from_arrays(
-            [pa.array(rows["cell"][found]), pa.array(rows["window"][found]), pa.array(count[found].astype(np.int32))],
+            [pa.array(rows["cell"][found]), pa.array(rows["window"][found]), pa.array(known[found].astype(np.int32))],
             names=["cell", "window", "kind"],
         )
 
     for batch in batches:
-        new = {n: np.asarray(batch.column(n).fill_null(0)) for n in names}
-        new |= {f"no_{n}": np.asarray(batch.column(n).is_null()) for n in OWNERS}
-        rows = {n: np.concatenate([kept[n], new[n]]) for n in kept}
+        part = batch.column("part")
+        new = {n: np.asarray(batch.column(n)).astype(np.int64) for n in names[:5]} | {
+            "part": np.asarray(part.fill_null(0)), "split": np.asarray(part.is_valid()).astype(np.int64)
+        }
+        rows = {n: np.concatenate([kept[n], new[n]]) for n in names}
         # the last window may go on in the next batch
         cut = int(np.searchsorted(rows["window"], rows["window"][-1])) if len(rows["window"]) else 0
         if cut:
@@ -334,31 +364,20 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield crossing(kept)
 
 
-def first_owners(run: np.ndarray, owner: np.ndarray) -> list[pa.Array]:
-    """Up to FEW distinct owners of each run, one column for each (null where there are fewer)."""
-    at = np.lexsort((owner, run))
-    r, o = run[at], owner[at]
-    fresh = np.concatenate(([True], (r[1:] != r[:-1]) | (o[1:] != o[:-1])))
-    r, o = r[fresh], o[fresh]
-    starts = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
-    sizes = np.diff(np.append(starts, len(r)))
-    return [pa.array(o[np.minimum(starts + k, len(o) - 1)], mask=sizes <= k) for k in range(FEW)]
-
-
 def _judged(rows: list[dict], covered: list[np.ndarray]) -> list[str]:
-    """The words left of a page's blocks, given how many owners repeat each of their words.
+    """The words left of a page's blocks, given what is known of each of their words.
 
-    Loose text loses every run that two owners share.  An article loses the blocks that FEW articles repeat as a whole, so a
-    sentence that two articles share, or that shares a phrase, stays; an article of which more than half is repeated is an
-    edited copy of another and stays whole.
+    Loose text loses every run that two owners share.  An article loses the blocks that are COMMON as a whole: in FEW
+    articles at least and SHARE of the host's.  So a sentence that some articles share, or that shares a phrase, stays; an
+    article of which more than half is repeated is an edited copy of another and stays whole.
     """
-    inside = [((c >= 2).sum(), len(c)) for r, c in zip(rows, covered) if r["kind"] == MAIN_TEXT]
+    inside = [((c >= SHARED).sum(), len(c)) for r, c in zip(rows, covered) if r["kind"] == MAIN_TEXT]
     copied = 2 * sum(n for n, _ in inside) > sum(n for _, n in inside)
     left: list[str] = []
     for row, marks in zip(rows, covered):
         if row["kind"] == LOOSE:
-            left += [w for w, c in zip(row["text"].split(" "), marks) if c < 2]
-        elif row["kind"] == MAIN_TEXT and (copied or marks.min() < FEW):
+            left += [w for w, c in zip(row["text"].split(" "), marks) if c < SHARED]
+        elif row["kind"] == MAIN_TEXT and (copied or marks.min() < COMMON):
             left.append(row["text"])
     return left
 
@@ -368,18 +387,32 @@ def unique_runs(blocks_: DataFrame, depth: int = 8, chunk_tokens: int = 262_144)
 
     ``blocks_`` has (uid, key, host, place, kind, text).  ``uid`` is a page, ``key`` its article: pages with one key are
     copies and do not make each other boilerplate.  The pages of a host are dealt into chunks of about
-    ``chunk_tokens`` tokens by hash; a chunk's pages are one token stream with one suffix array.  Windows that different
-    chunks of a host hold for different keys meet in one exchange by their hashes, each chunk giving a window once with up to
-    FEW of its keys, so a hot host is split and the result is that of one suffix array over the host.
+    ``chunk_tokens`` tokens by the hash of their keys; a chunk's pages are one token stream with one suffix array.  An article's copies
+    lie in one chunk, or in chunks of their own where they outgrow one, so the owners of a run add up over chunks: the windows of chunks of one host meet in one exchange by their
+    hashes, each chunk giving a window once with its counts.  So a hot host is split and the result is that of one suffix array
+    over the host.
     """
     rows = blocks_
-    sizes = rows.groupBy("host").agg(F.sum(F.size(F.split("text", " "))).alias("n"))
+    sizes = rows.groupBy("host").agg(
+        F.sum(F.size(F.split("text", " "))).alias("n"), F.count_distinct(F.when(F.col("kind") == MAIN_TEXT, F.col("key"))).cast("int").alias("articles")
+    )
     hot = durable(
         sizes.where(F.col("n") > chunk_tokens)
-        .select("host", F.ceil(F.col("n") / chunk_tokens).cast("int").alias("chunks"))
+        .select("host", F.ceil(F.col("n") / chunk_tokens).cast("int").alias("chunks"), "articles")
+    )
+    # an article whose copies outgrow a chunk is dealt into chunks of its own
+    heavy = durable(
+        rows.groupBy("host", "key").agg(F.sum(F.size(F.split("text", " "))).alias("n")).where(F.col("n") > chunk_tokens)
+        .select("host", "key", F.ceil(F.col("n") / chunk_tokens).cast("int").alias("copies"))
     )
-    dealt = rows.join(hot, "host", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn(
-        "cell", F.xxhash64("host", F.pmod(F.xxhash64("uid"), F.col("chunks")))
+    placed = rows.join(hot, "host", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    if heavy.isEmpty():
+        placed = placed.withColumn("copies", F.lit(None).cast("int"))
+    else:
+        placed = placed.join(checked_broadcast(heavy, 16 << 20, 64), ["host", "key"], "left")
+    own = F.xxhash64("host", "key", F.pmod(F.xxhash64("uid"), F.col("copies")))
+    dealt = placed.withColumn("part", F.when(F.col("copies").isNotNull(), F.col("key"))).withColumn(
+        "cell", F.when(F.col("copies").isNotNull(), own).otherwise(F.xxhash64("host", F.pmod(F.xxhash64("key"), F.col("chunks"))))
     )
 
     def shared(batches: Iterator[pa.RecordBatch]):
@@ -389,22 +422,24 @@ def unique_runs(blocks_: DataFrame, depth: int = 8, chunk_tokens: int = 262_144)
             if not len(at):
                 continue
             order = np.argsort(hashes, kind="stable")
-            hashes, owner = hashes[order], chunk.owner[at][order]
+            hashes, at = hashes[order], at[order]
             fresh = np.concatenate(([True], hashes[1:] != hashes[:-1]))
-            starts = np.flatnonzero(fresh)
+            every, inner = owners_of(np.cumsum(fresh) - 1, chunk.owner[at], chunk.main[at] & chunk.main[at + depth - 1])
+            n = len(every)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes[starts] ^ token_id(rows_[0]["host"])), *first_owners(np.cumsum(fresh) - 1, owner),
-                 pa.array(np.full(len(starts), rows_[0]["cell"], np.int64))],
-                names=["window", *OWNERS, "cell"],
+                [pa.array(hashes[fresh] ^ token_id(rows_[0]["host"])), pa.array(every.astype(np.int32)), pa.array(inner.astype(np.int32)),
+                 pa.array(np.full(n, chunk.least, np.int32)), pa.array(np.full(n, rows_[0]["cell"], np.int64)),
+                 pa.array([rows_[0]["part"]] * n, pa.int64())],
+                names=["window", "every", "inner", "least", "cell", "part"],
             )
 
     def arranged(frame: DataFrame) -> DataFrame:
         return spread(frame, "cell").sortWithinPartitions("cell", "uid", "place")
 
-    columns = ["uid", "key", "host", "place", "kind", "text", "cell", "window"]
+    columns = ["uid", "key", "host", "place", "kind", "text", "articles", "part", "cell", "window"]
     texts = dealt.withColumn("window", F.lit(None).cast("long")).select(*columns)
     if not hot.isEmpty():
-        seen = arranged(dealt.where("chunks > 1")).mapInArrow(shared, f"window long, {', '.join(f'{n} long' for n in OWNERS)}, cell long")
+        seen = arranged(dealt.where("chunks > 1")).mapInArrow(shared, "window long, every int, inner int, least int, cell long, part long")
         found = seen.repartition("window").sortWithinPartitions("window").mapInArrow(_crossing, "cell long, window long, kind int")
         texts = texts.unionByName(found, allowMissingColumns=True).select(*columns)
 
@@ -415,13 +450,13 @@ def unique_runs(blocks_: DataFrame, depth: int = 8, chunk_tokens: int = 262_144)
             if not own:
                 continue
             chunk = _Chunk(own, depth)
-            covered = repeated(chunk.tokens, chunk.page, chunk.owner, depth)
+            covered = repeated(chunk.tokens, chunk.page, chunk.owner, chunk.main, depth, chunk.least)
             if len(crossing):
                 at, hashes = chunk.windows()
                 hashes = hashes ^ token_id(own[0]["host"])
                 place = np.minimum(np.searchsorted(crossing[:, 0], hashes), len(crossing) - 1)
-                owners = np.where(crossing[place, 0] == hashes, crossing[place, 1], 0)
-                covered = np.maximum(covered, covered_by(at, owners, len(covered), depth))
+                known = np.where(crossing[place, 0] == hashes, crossing[place, 1], NONE)
+                covered = np.maximum(covered, covered_by(at, known, len(covered), depth))
             pages: dict[bytes, tuple[list[dict], list[np.ndarray]]] = {}
             for row, words, start in zip(own, chunk.words, chunk.starts):
                 found = pages.setdefault(row["uid"], ([], []))
@@ -454,8 +489,8 @@ def main_text(
 
     Where a page marks its article (``article`` or ``main``), the text is that of the article, elsewhere the loose blocks
     of the body.  Both go less what other pages of the host repeat in runs of ``depth`` or more tokens (``unique_runs``):
-    loose text run by run, an article block by block where FEW articles hold the block; copies of an article do not count
-    as repeats.
+    loose text run by run, an article block by block where FEW articles and SHARE of the host's hold the block; copies of
+    an article do not count as repeats.
     Menus, adverts, footers and the like are part of the host's streams and never part of the text.
 
     A null or empty html gives an empty text; a null url is a host of its own name (empty); null ids and repeated rows are
