@@ -235,79 +235,44 @@ def test_memory_of_thirty_days(spark):
     assert {r["n"] for r in similarity.recent(df, F.lit(now).cast("timestamp_ntz")).collect()} == {0, 29, 30}
 
 
-def ledger_loop(p, ret, volume, spread, vol, walk_forward=False, folds=None):
-    """Plain statement of both rule sets."""
-    cap = peak = 100_000.0
-    wins, losses, pnl = [], [], 0.0
-    left = dict.fromkeys(config.BREAKERS, 0)
-    out = []
+def ledger_loop(p, ret, volume, spread, vol, walk_forward):
+    """The rules of the ledger, bar by bar."""
+    cap, wins, losses, out = 100_000.0, [], [], []
     for i in range(len(p)):
-        if walk_forward and i and folds[i] != folds[i - 1]:
-            wins, losses, pnl = [], [], 0.0
-            left = dict.fromkeys(config.BREAKERS, 0)
-        if walk_forward:
-            volume_i, spread_i, vol_i = 5000.0, 0.5, 0.02
-            seen = {"max_daily_loss": pnl / max(cap, 1), "max_drawdown": (cap - peak) / peak, "max_position_size": 0.10,
-                    "max_single_trade_loss": losses[-1] if losses else 0.0}
-            ok = True
-            for n, (bound, upper) in config.BREAKERS.items():
-                if left[n]:
-                    left[n] -= 1
-                    ok = False
-                elif (seen[n] > bound) if upper else (seen[n] < bound):
-                    left[n], ok = 1, False
-            if not ok:
-                out.append((0.0, cap))
-                continue
-        else:
-            volume_i, spread_i, vol_i = volume[i], spread[i], vol[i]
         side = 1 if p[i] >= 0.5 else -1
         prob = min(max(p[i] if walk_forward or side == 1 else 1 - p[i], 0.01), 0.99)
-        win, loss = (np.mean(wins) if wins else 0.01), (abs(np.mean(losses)) if losses else 0.01)
-        odds = win / loss
-        share = min(max(0.5 * (prob * odds - (1 - prob)) / odds, 0.0), 0.10)
-        lots = max(0, min(int(share * cap / 1000.0), int(0.02 * volume_i)))
-        if lots == 0:
-            out.append((0.0, cap))
-            continue
-        cost = spread_i / 2 + 0.1 * vol_i * math.sqrt(lots / max(volume_i, 1))
-        gain = (side * ret[i] - cost / 1000.0) * share
+        win, loss = (np.mean(wins) if wins else 0.01), (np.mean(losses) if losses else 0.01)
+        share = min(max(0.5 * (prob * win / loss - (1 - prob)) / (win / loss), 0.0), 0.10)
+        lots = max(0, min(int(share * 100.0), int(0.02 * volume[i])))
+        cost = spread[i] / 2 + 0.1 * vol[i] * math.sqrt(lots / max(volume[i], 1)) if lots else 0.0
+        gain = (side * ret[i] - cost / 1000.0) * share if lots else 0.0
         cap *= 1 + gain
-        peak, pnl = max(peak, cap), pnl + gain
-        if gain > 0:
-            wins.append(gain)
-        elif gain < 0:
-            losses.append(gain)
-        out.append((gain, cap))
+        out.append((lots, gain, cap))
+        (wins if side * ret[i] > 0 else losses if side * ret[i] < 0 else []).append(abs(ret[i]))
     return np.array(out)
 
 
-@pytest.mark.parametrize("mode", ["replay", "walk_forward"])
-def test_ledger_matches_loop(spark, mode):
+@pytest.mark.parametrize("walk_forward", [False, True])
+def test_ledger_matches_loop(spark, walk_forward):
     rng = np.random.default_rng(11)
     rows, want = [], {}
     for market in ("A", "B"):
         for run in (0, 1):
             n = 150
-            p, ret = rng.uniform(0.2, 0.9, n), rng.normal(0, 0.12 if mode == "walk_forward" else 0.02, n)
+            p, ret = rng.uniform(0.2, 0.9, n), rng.normal(0, 0.02, n)
+            ret[::17] = 0.0
             volume, spread, vol = rng.uniform(0, 2000, n), rng.uniform(0, 1, n), rng.uniform(0.01, 0.03, n)
-            fold = np.arange(n) // 60
-            want[market, run] = ledger_loop(p, ret, volume, spread, vol, mode == "walk_forward", fold)
-            rows += [(market, run, datetime(2026, 1, 1) + timedelta(days=i), int(fold[i]), *map(float, (p[i], ret[i], volume[i], spread[i], vol[i]))) for i in range(n)]
-    rng.shuffle(rows)
-    rows = [(str(r[0]), int(r[1]), r[2], int(r[3]), *map(float, r[4:])) for r in rows]
-    df = spark.createDataFrame(rows, "market string, run_id int, ts timestamp_ntz, fold int, p double, ret double, volume double, spread double, rolling_vol double")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")  # state must survive batch borders
-    try:
-        got = ledger.pnl_ledger(df, ["market", "run_id"], ["ts"], mode).toPandas()
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    for key, g in got.groupby(["market", "run_id"]):
-        g = g.sort_values("ts")
-        np.testing.assert_allclose(g["capital_return"], want[key][:, 0], atol=1e-12)
-        np.testing.assert_allclose(g["capital_after"], want[key][:, 1], rtol=1e-10)
-    if mode == "walk_forward":
-        assert (~got["allowed"]).any()
+            want[market, run] = ledger_loop(p, ret, volume, spread, vol, walk_forward)
+            rows += [(market, run, datetime(2026, 1, 1) + timedelta(days=i), *map(float, (p[i], ret[i], volume[i], spread[i], vol[i]))) for i in range(n)]
+    df = spark.createDataFrame(rows, "market string, run_id int, ts timestamp_ntz, p double, ret double, volume double, spread double, rolling_vol double")
+    for cell in (None, F.date_trunc("week", "ts")):  # one window, and cells far smaller than a series
+        got = ledger.pnl_ledger(df.repartition(5), ["market", "run_id"], ["ts"], cell, walk_forward).toPandas()
+        for key, g in got.groupby(["market", "run_id"]):
+            g = g.sort_values("ts")
+            assert g["n_contracts"].tolist() == want[key][:, 0].tolist() and (g["traded"] == (g["n_contracts"] > 0)).all()
+            np.testing.assert_allclose(g["capital_return"], want[key][:, 1], atol=1e-12)
+            np.testing.assert_allclose(g["capital_after"], want[key][:, 2], rtol=1e-10)
+            np.testing.assert_allclose(g["peak"], g["capital_after"].cummax(), rtol=1e-10)
 
 
 def test_replay_metrics(spark):
@@ -315,11 +280,11 @@ def test_replay_metrics(spark):
     df = spark.createDataFrame(rows, "market string, run_id int, ts timestamp_ntz, p double, ret double, volume double, spread double, rolling_vol double")
     led = ledger.pnl_ledger(df, ["market", "run_id"], ["ts"])
     pdf = led.toPandas().sort_values("ts")
-    got = ledger.replay_metrics(led, ["market", "run_id"], ["ts"], F.date_trunc("month", "ts")).first()
+    got = ledger.replay_metrics(led, ["market", "run_id"]).first()
     r = pdf["capital_return"]
     assert got["sharpe_ratio"] == pytest.approx(r.mean() / r.std() * math.sqrt(252))
     assert got["total_return"] == pytest.approx(pdf["capital_after"].iloc[-1] / 100_000 - 1)
-    assert got["hit_rate"] == pytest.approx((pdf[pdf.traded].raw_return > 0).mean())
+    assert got["hit_rate"] == pytest.approx((pdf[pdf.traded].raw_return > 0).mean()) and got["n_trades"] == pdf.traded.sum() > 0
     assert got["max_drawdown"] == pytest.approx((pdf.capital_after / pdf.capital_after.cummax() - 1).min())
 
 

@@ -155,36 +155,37 @@ def replay_input(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+_COLUMNS = ["direction", "n_contracts", "traded"]
 _DIGITS = {"raw_return": 8, "slippage": 8, "net_return": 8, "capital_return": 9, "capital_after": 3}
 
 
-def rounded(ledger: DataFrame) -> DataFrame:
-    return ledger.withColumns({c: r6(F.col(c), n) for c, n in _DIGITS.items()})
+def rounded(ledger: DataFrame, keys: list[str]) -> DataFrame:
+    return ledger.select(*keys, *_COLUMNS, *[r6(F.col(c), n).alias(c) for c, n in _DIGITS.items()])
 
 
-@query("j6_pnl_ledger", f"WITH RECURSIVE {ledger_sql.REPLAY} SELECT {ledger_sql.rounded(['market', 'run_id', 'ts'])} FROM led")
+@query("j6_pnl_ledger", f"WITH {ledger_sql.REPLAY} SELECT {ledger_sql.rounded(['market', 'run_id', 'ts'])} FROM led")
 def j6(spark, d):
-    return rounded(pnl_ledger(replay_input(spark, d), ["market", "run_id"], ["ts"]))
+    return rounded(pnl_ledger(replay_input(spark, d), ["market", "run_id"], ["ts"]), ["market", "run_id", "ts"])
 
 
 @query(
     "j6b_replay_metrics",
-    f"""WITH RECURSIVE {ledger_sql.METRICS} SELECT market, run_id, round(sharpe_ratio, 5) + 0.0 AS sharpe_ratio, round(total_return, 7) + 0.0 AS total_return,
+    f"""WITH {ledger_sql.METRICS} SELECT market, run_id, round(sharpe_ratio, 5) + 0.0 AS sharpe_ratio, round(total_return, 7) + 0.0 AS total_return,
         round(max_drawdown, 7) + 0.0 AS max_drawdown, round(hit_rate, 6) AS hit_rate, n_trades FROM met""",
 )
 def j6b(spark, d):
-    rows = durable(pnl_ledger(replay_input(spark, d), ["market", "run_id"], ["ts"]))
-    found = replay_metrics(rows, ["market", "run_id"], ["ts"])
+    found = replay_metrics(pnl_ledger(replay_input(spark, d), ["market", "run_id"], ["ts"]), ["market", "run_id"])
     digits = {"sharpe_ratio": 5, "total_return": 7, "max_drawdown": 7, "hit_rate": 6}
     return found.withColumns({c: r6(F.col(c), n) for c, n in digits.items()})
 
 
 @query(
     "j6c_walk_forward_ledger",
-    f"WITH RECURSIVE {ledger_sql.WALK_FORWARD} SELECT {ledger_sql.rounded(['market', 'run_id', 'row_idx', 'fold'])} FROM led",
+    f"WITH {ledger_sql.WALK_FORWARD} SELECT {ledger_sql.rounded(['market', 'run_id', 'fold', 'row_idx'])} FROM led",
 )
 def j6c(spark, d):
-    """Walk-forward rules on the fold test rows: capital carries over folds, the rest restarts."""
-    rows = replay_input(spark, d).where(F.col("run_id") == 3)
-    cut = returns.folds(rows, n_splits=3, min_train=150, test_size=60).where(F.col("role") == "test")
-    return rounded(pnl_ledger(cut, ["market", "run_id"], ["row_idx"], "walk_forward"))
+    """The ledger over the test rows of every fold of all runs, with static costs; every fold starts anew."""
+    static = {"volume": "static_volume", "spread": "static_spread", "rolling_vol": "static_volatility"}
+    rows = replay_input(spark, d).withColumns({c: F.lit(config.LEDGER[n]) for c, n in static.items()})
+    cut = returns.folds(rows, keys=["market", "run_id"]).where(F.col("role") == "test")
+    return rounded(pnl_ledger(cut, ["market", "run_id", "fold"], ["row_idx"], walk_forward=True), ["market", "run_id", "fold", "row_idx"])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.ledger import pnl_ledger
+from tidemark.plans import ledger_sql
 from tidemark.plans.aggregates import CUSUM_SQL
 from tidemark.plans.landing import _BAR_OK, reports
 from tidemark.plans.models import replay_input
@@ -91,15 +92,22 @@ def i5(spark, d):
     return merged.select("market", "as_of", r6(F.col("value"), 2).alias("value"))
 
 
-@query("i6_trade_stream_monitor")
+@query(
+    "i6_trade_stream_monitor",
+    f"""WITH {ledger_sql.REPLAY}, v AS (SELECT market || '/' || run_id AS metric, ts, net_return * 200 AS x FROM led WHERE traded),
+        c AS (SELECT *, sum(x - 0.5) OVER w AS cp, sum(-x - 0.5) OVER w AS cn FROM v WINDOW w AS (PARTITION BY metric ORDER BY ts)),
+        s AS (SELECT metric, ts, cp - least(0.0, min(cp) OVER w) AS s_pos, cn - least(0.0, min(cn) OVER w) AS s_neg FROM c WINDOW w AS (PARTITION BY metric ORDER BY ts))
+        SELECT metric, ts, round(s_pos, 6) + 0.0 AS s_pos, round(s_neg, 6) + 0.0 AS s_neg, s_pos > 5 OR s_neg > 5 AS cusum_alert FROM s""",
+)
 def i6(spark, d):
-    """Ledger rows of traded bars as a stream of net returns per series into the detectors."""
+    """Ledger rows of traded bars as a stream of net returns per series into the detector of level shifts."""
     ledger = pnl_ledger(replay_input(spark, d), ["market", "run_id"], ["ts"]).where("traded")
     trades = ledger.select(
         F.concat_ws("/", "market", "run_id").alias("metric"), "ts", F.lit(0).cast("long").alias("event_id"),  # one row per series and bar
         (F.col("net_return") * 200).alias("x"),
     )
-    return detectors.metric_alerts(landed(spark, trades, "landing-ledger"), ingest.scratch(spark, "trade-alerts"))
+    found = detectors.cusum_stream(landed(spark, trades, "landing-ledger"), ingest.scratch(spark, "trade-alerts"))
+    return found.select("metric", "ts", r6(F.col("s_pos")).alias("s_pos"), r6(F.col("s_neg")).alias("s_neg"), "cusum_alert")
 
 
 @query(
