@@ -169,10 +169,11 @@ def oi_summary(df: DataFrame, keys: list[str], min_oi: float = config.MIN_OI) ->
 
 
 def oi_features(summary: DataFrame) -> DataFrame:
-    """D1, persisted form: three long feature rows per (market, as_of)."""
+    """D1, persisted form: three long feature rows per (market, as_of), available on the day itself."""
     names = ["put_call_oi_ratio", "total_oi", "liquid_strike_count"]
-    cast = summary.select("market", "as_of", *[F.col(n).cast("double").alias(n) for n in names])
-    return cast.unpivot(["market", "as_of"], names, "feature_name", "value").withColumn(
+    day = F.col("as_of").cast("timestamp_ntz")
+    cast = summary.select("market", day.alias("as_of"), day.alias("available_at"), *[F.col(n).cast("double").alias(n) for n in names])
+    return cast.unpivot(["market", "as_of", "available_at"], names, "feature_name", "value").withColumn(
         "quality", F.lit("normal")
     )
 

@@ -37,6 +37,20 @@ def d1(spark, d):
     )
 
 
+@query(
+    "d1b_oi_features",
+    """WITH s AS (SELECT market, as_of, sum(oi) AS total_oi, count(*) FILTER (oi >= 50)::DOUBLE AS liquid_strike_count,
+                  CASE WHEN sum(oi) FILTER (is_call) > 0 THEN sum(oi) FILTER (NOT is_call) / sum(oi) FILTER (is_call) ELSE 0 END AS put_call_oi_ratio
+               FROM v_chain GROUP BY market, as_of)
+       SELECT market, CAST(as_of AS TIMESTAMP) AS as_of, CAST(as_of AS TIMESTAMP) AS available_at, feature_name, round(value, 6) AS value, 'normal' AS quality
+       FROM s UNPIVOT (value FOR feature_name IN (put_call_oi_ratio, total_oi, liquid_strike_count))""",
+)
+def d1b(spark, d):
+    """D1 as stored: three features a market and day, available on the day."""
+    found = chain.oi_features(chain.oi_summary(tables.chain(spark, d), ["market", "as_of"]))
+    return found.withColumn("value", r6(F.col("value")))
+
+
 def implied(spark: SparkSession, d: str) -> DataFrame:
     """Pairs with both implied volatilities and the multiplier of a registered market."""
     names = F.array(*[F.lit(r[0]) for r in config.MARKETS])

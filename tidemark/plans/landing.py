@@ -419,6 +419,23 @@ def b9(spark, d):
     )
 
 
+@query(
+    "b9b_snapshot_bars",
+    f"""WITH snap AS ({_SNAP}), priced AS (SELECT *, CASE WHEN last > 0 THEN last WHEN close > 0 AND NOT isnan(close) THEN close END AS price FROM snap)
+        SELECT CAST(instrument_id AS VARCHAR) AS market, CASE WHEN bid > 0 THEN bid ELSE price END AS open, CASE WHEN ask > 0 AND NOT isnan(ask) THEN ask ELSE price END AS high,
+               CASE WHEN l_suppkey % 3 = 0 AND bid > 0 THEN bid ELSE price END AS low, price AS close, CAST(CASE WHEN l_suppkey % 7 = 0 THEN 0 ELSE l_suppkey END AS BIGINT) AS volume,
+               CAST(instrument_id AS VARCHAR) AS symbol, CAST(l_shipdate AS TIMESTAMP) AS ts_event FROM priced WHERE price IS NOT NULL""",
+)
+def b9b(spark, d):
+    """Bars from snapshots: prices and volumes are missing, NaN or sentinels for some."""
+    raw = snapshots(spark, d).select(
+        F.col("instrument_id").cast("string").alias("market"), F.col("bid").alias("open"), F.col("ask").alias("high"),
+        F.when(F.col("l_suppkey") % 3 == 0, F.col("bid")).alias("low"), "last", "close",
+        F.when(F.col("l_suppkey") % 7 != 0, F.col("l_suppkey").cast("double")).otherwise(F.lit(float("nan"))).alias("volume"), "l_shipdate",
+    )
+    return vendor.snapshot_bars(raw, F.col("l_shipdate"))
+
+
 def snapshots(spark: SparkSession, d: str) -> DataFrame:
     """Quotes with missing, NaN and sentinel values."""
     nan, line, supp = F.lit(float("nan")), F.col("l_linenumber"), F.col("l_suppkey")
