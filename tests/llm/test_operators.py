@@ -239,9 +239,9 @@ def test_suffix_arrays_equal_brute_force(spark, chunk):
         at = int(rng.integers(0, 12))
         words[at:at] = notice if n % 3 else notice[:7]
         pages[bytes([n]) * 16] = (n // 2 if n > 30 else n, words)
-    rows = [(u, k, "host", 0, html_text.LOOSE, " ".join(w)) for u, (k, w) in pages.items()]
-    frame = spark.createDataFrame(rows, "uid binary, key long, host string, place int, kind int, text string")
-    got = {bytes(r.uid): r.text for r in html_text.unique_runs(frame, 5, chunk).collect()}
+    rows = [(u, k, "host", [(0, html_text.LOOSE, " ".join(w))]) for u, (k, w) in pages.items()]
+    frame = spark.createDataFrame(rows, "uid binary, key long, host string, blocks array<struct<place int, kind int, text string>>")
+    got = {bytes(r.uid): r.text for r in html_text.unique_runs(frame, ["uid"], 5, chunk).collect()}
     assert got == repeats_by_force(pages, 5)
 
 

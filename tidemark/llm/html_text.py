@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.llm.common import arrow_map, checked_broadcast, prepare, shared_folder, spread
 from tidemark.session import durable
@@ -286,40 +288,57 @@ def windows(tokens: np.ndarray, depth: int) -> np.ndarray:
 
 
 class _Chunk:
-    """Token stream of one chunk of a host's pages."""
+    """Token stream of one chunk of a host's pages: rows with key, host, articles and blocks (place, kind, text)."""
 
-    def __init__(self, rows: list[dict], depth: int):
-        self.rows, self.depth = rows, depth
-        self.words = [r["text"].split(" ") for r in rows]
+    def __init__(self, pages: list[dict], depth: int):
+        self.depth, self.host, self.pages = depth, token_id(pages[0]["host"]), pages
+        self.blocks = [sorted(p["blocks"] or [], key=lambda b: b["place"]) for p in pages]
+        flat = [b for own in self.blocks for b in own]
+        self.words = [b["text"].split(" ") for b in flat]
         known = {w: token_id(w) for w in {w for ws in self.words for w in ws}}
         self.tokens = np.array([known[w] for ws in self.words for w in ws], np.int64)
-        sizes = np.array([len(w) for w in self.words])
+        sizes = np.array([len(w) for w in self.words], np.int64)
         self.starts = np.cumsum(sizes) - sizes
-        pages = {u: i for i, u in enumerate(dict.fromkeys(r["uid"] for r in rows))}
-        self.page = np.repeat([pages[r["uid"]] for r in rows], sizes)
-        self.owner = np.repeat(np.array([r["key"] for r in rows], np.int64), sizes)
-        self.main = np.repeat(np.array([r["kind"] == MAIN_TEXT for r in rows], bool), sizes)
+        own = np.array([len(x) for x in self.blocks])
+        self.page = np.repeat(np.repeat(np.arange(len(pages)), own), sizes)
+        self.owner = np.repeat(np.repeat(np.array([p["key"] for p in pages], np.int64), own), sizes)
+        self.main = np.repeat(np.array([b["kind"] == MAIN_TEXT for b in flat], bool), sizes)
         # a host in one chunk counts its articles here, a larger one has been counted before
-        self.least = least_articles(rows[0]["articles"] or len({r["key"] for r in rows if r["kind"] == MAIN_TEXT}))
+        here = {p["key"] for p, own in zip(pages, self.blocks) if any(b["kind"] == MAIN_TEXT for b in own)}
+        self.least = least_articles(pages[0]["articles"] or len(here))
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """Start and hash of every window of ``depth`` tokens within a page."""
         if len(self.tokens) < self.depth:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         at = np.flatnonzero(self.page[: len(self.page) - self.depth + 1] == self.page[self.depth - 1 :])
-        return at, windows(self.tokens, self.depth)[at]
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    held: list[dict] = []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if held and row["cell"] != held[-1]["cell"]:
-                yield held
-                held = []
-            held.append(row)
-    if held:
-        yield held
+        return at, windows(self.tokens, self.depth)[at] ^ self.host
+
+    def counted(self) -> dict[str, np.ndarray] | None:
+        """The distinct windows of the chunk with their owners, and the owners that hold them inside their articles."""
+        at, hashes = self.windows()
+        if not len(at):
+            return None
+        order = np.argsort(hashes, kind="stable")
+        hashes, at = hashes[order], at[order]
+        fresh = np.concatenate(([True], hashes[1:] != hashes[:-1]))
+        every, inner = owners_of(np.cumsum(fresh) - 1, self.owner[at], self.main[at] & self.main[at + self.depth - 1])
+        return {"window": hashes[fresh], "every": every, "inner": inner}
+
+    def left(self, crossing: np.ndarray) -> list[str]:
+        """The text left of each page, given (window, kind) of the windows that other chunks hold too, in order."""
+        covered = repeated(self.tokens, self.page, self.owner, self.main, self.depth, self.least)
+        if len(crossing):
+            at, hashes = self.windows()
+            place = np.minimum(np.searchsorted(crossing[:, 0], hashes), len(crossing) - 1)
+            known = np.where(crossing[place, 0] == hashes, crossing[place, 1], NONE)
+            covered = np.maximum(covered, covered_by(at, known, len(covered), self.depth))
+        texts, n = [], 0
+        for own in self.blocks:
+            marks = [covered[self.starts[i] : self.starts[i] + len(self.words[i])] for i in range(n, n + len(own))]
+            texts.append(" ".join(_judged(own, marks)))
+            n += len(own)
+        return texts
 
 
 def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,97 +401,83 @@ def _judged(rows: list[dict], covered: list[np.ndarray]) -> list[str]:
     return left
 
 
-def unique_runs(blocks_: DataFrame, depth: int = 8, chunk_tokens: int = 262_144) -> DataFrame:
-    """(uid, text): the text of each page less what its host repeats, in page order (``_judged``).
+def unique_runs(pages: DataFrame, carry: list[str], depth: int = 8, chunk_tokens: int = 262_144) -> DataFrame:
+    """``carry`` columns and the text of each page less what its host repeats, in page order (``_judged``).
 
-    ``blocks_`` has (uid, key, host, place, kind, text).  ``uid`` is a page, ``key`` its article: pages with one key are
-    copies and do not make each other boilerplate.  The pages of a host are dealt into chunks of about
-    ``chunk_tokens`` tokens by the hash of their keys; a chunk's pages are one token stream with one suffix array.  An article's copies
-    lie in one chunk, or in chunks of their own where they outgrow one, so the owners of a run add up over chunks: the windows of chunks of one host meet in one exchange by their
-    hashes, each chunk giving a window once with its counts.  So a hot host is split and the result is that of one suffix array
-    over the host.
+    ``pages`` has key, host, blocks (place, kind, text) and the carried columns, a row for each page.  ``key`` is a page's article:
+    pages with one key are copies and do not make each other boilerplate.  The pages of a host are dealt into chunks
+    of about ``chunk_tokens`` tokens by the hash of their keys; a chunk's pages are one token stream with one suffix array.
+    An article's copies lie in one chunk, or in chunks of their own where they outgrow one, so the owners of a run add up
+    over chunks: the windows of chunks of one host meet in one exchange by their hashes, each chunk giving a window once
+    with its counts.  So a hot host is split and the result is that of one suffix array over the host.  Texts move
+    once: the windows and the answers are made from the same exchange.
     """
-    rows = blocks_
-    sizes = rows.groupBy("host").agg(
-        F.sum(F.size(F.split("text", " "))).alias("n"), F.count_distinct(F.when(F.col("kind") == MAIN_TEXT, F.col("key"))).cast("int").alias("articles")
-    )
+    size = F.aggregate("blocks", F.lit(0), lambda n, b: n + F.size(F.split(b["text"], " ")))
+    article = F.when(F.exists("blocks", lambda b: b["kind"] == MAIN_TEXT), F.col("key"))
+    # first per article, so that neither a hot host nor a hot article is gathered
+    by_key = durable(pages.groupBy("host", "key").agg(F.sum(size).alias("n"), F.max(article).isNotNull().cast("int").alias("article")))
+    over = F.ceil(F.col("n") / chunk_tokens).cast("int")
     hot = durable(
-        sizes.where(F.col("n") > chunk_tokens)
-        .select("host", F.ceil(F.col("n") / chunk_tokens).cast("int").alias("chunks"), "articles")
+        by_key.groupBy("host").agg(F.sum("n").alias("n"), F.sum("article").cast("int").alias("articles")).where(F.col("n") > chunk_tokens)
+        .select("host", over.alias("chunks"), "articles")
     )
     # an article whose copies outgrow a chunk is dealt into chunks of its own
-    heavy = durable(
-        rows.groupBy("host", "key").agg(F.sum(F.size(F.split("text", " "))).alias("n")).where(F.col("n") > chunk_tokens)
-        .select("host", "key", F.ceil(F.col("n") / chunk_tokens).cast("int").alias("copies"))
-    )
-    placed = rows.join(hot, "host", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    if heavy.isEmpty():
-        placed = placed.withColumn("copies", F.lit(None).cast("int"))
-    else:
-        placed = placed.join(checked_broadcast(heavy, 16 << 20, 64), ["host", "key"], "left")
-    own = F.xxhash64("host", "key", F.pmod(F.xxhash64("uid"), F.col("copies")))
-    dealt = placed.withColumn("part", F.when(F.col("copies").isNotNull(), F.col("key"))).withColumn(
-        "cell", F.when(F.col("copies").isNotNull(), own).otherwise(F.xxhash64("host", F.pmod(F.xxhash64("key"), F.col("chunks"))))
-    )
-
-    def shared(batches: Iterator[pa.RecordBatch]):
-        for rows_ in _chunks(batches):
-            chunk = _Chunk(rows_, depth)
-            at, hashes = chunk.windows()
-            if not len(at):
-                continue
-            order = np.argsort(hashes, kind="stable")
-            hashes, at = hashes[order], at[order]
-            fresh = np.concatenate(([True], hashes[1:] != hashes[:-1]))
-            every, inner = owners_of(np.cumsum(fresh) - 1, chunk.owner[at], chunk.main[at] & chunk.main[at + depth - 1])
-            n = len(every)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes[fresh] ^ token_id(rows_[0]["host"])), pa.array(every.astype(np.int32)), pa.array(inner.astype(np.int32)),
-                 pa.array(np.full(n, chunk.least, np.int32)), pa.array(np.full(n, rows_[0]["cell"], np.int64)),
-                 pa.array([rows_[0]["part"]] * n, pa.int64())],
-                names=["window", "every", "inner", "least", "cell", "part"],
-            )
-
-    def arranged(frame: DataFrame) -> DataFrame:
-        return spread(frame, "cell").sortWithinPartitions("cell", "uid", "place")
-
-    columns = ["uid", "key", "host", "place", "kind", "text", "articles", "part", "cell", "window"]
-    texts = dealt.withColumn("window", F.lit(None).cast("long")).select(*columns)
-    if not hot.isEmpty():
-        seen = arranged(dealt.where("chunks > 1")).mapInArrow(shared, "window long, every int, inner int, least int, cell long, part long")
-        found = seen.repartition("window").sortWithinPartitions("window").mapInArrow(_crossing, "cell long, window long, kind int")
-        texts = texts.unionByName(found, allowMissingColumns=True).select(*columns)
-
-    def extract(batches: Iterator[pa.RecordBatch]):
-        for rows_ in _chunks(batches):
-            crossing = np.array(sorted((r["window"], r["kind"]) for r in rows_ if r["text"] is None), np.int64).reshape(-1, 2)
-            own = [r for r in rows_ if r["text"] is not None]
-            if not own:
-                continue
-            chunk = _Chunk(own, depth)
-            covered = repeated(chunk.tokens, chunk.page, chunk.owner, chunk.main, depth, chunk.least)
-            if len(crossing):
-                at, hashes = chunk.windows()
-                hashes = hashes ^ token_id(own[0]["host"])
-                place = np.minimum(np.searchsorted(crossing[:, 0], hashes), len(crossing) - 1)
-                known = np.where(crossing[place, 0] == hashes, crossing[place, 1], NONE)
-                covered = np.maximum(covered, covered_by(at, known, len(covered), depth))
-            pages: dict[bytes, tuple[list[dict], list[np.ndarray]]] = {}
-            for row, words, start in zip(own, chunk.words, chunk.starts):
-                found = pages.setdefault(row["uid"], ([], []))
-                found[0].append(row)
-                found[1].append(covered[start : start + len(words)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(pages), pa.binary()), pa.array([" ".join(_judged(*v)) for v in pages.values()], pa.string())],
-                names=["uid", "text"],
-            )
-
-    return arranged(texts).mapInArrow(extract, "uid binary, text string")
-
-
-def _uid(url: str | None, page: str | None) -> bytes:
-    head = (url or "").encode("utf-8", "surrogatepass")
-    return hashlib.blake2b(head + b"\0" + (page or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    heavy = durable(by_key.where(F.col("n") > chunk_tokens).select("host", "key", over.alias("copies")))
+    placed = pages
+    for table, on, names in ((hot, ["host"], ["chunks", "articles"]), (heavy, ["host", "key"], ["copies"])):
+        if table.isEmpty():
+            placed = placed.withColumns({n: F.lit(None).cast("int") for n in names})
+        else:
+            placed = placed.join(checked_broadcast(table, 16 << 20, 96), on, "left")
+    own = F.xxhash64("host", "key", F.pmod(F.xxhash64(*carry), F.col("copies")))
+    cell = F.when(F.col("copies").isNotNull(), own).otherwise(F.xxhash64("host", F.pmod(F.xxhash64("key"), F.coalesce("chunks", F.lit(1)))))
+    part = F.when(F.col("copies").isNotNull(), F.col("key"))
+    dealt = spread(placed.select(*carry, "key", "host", "blocks", "articles", part.alias("part"), cell.alias("cell")), "cell")
+    kept = pages.select(*carry).schema
+    schema = T.StructType([*kept.fields, T.StructField("text", T.StringType())])
+
+    def answer(pages_: pa.Table, crossing: np.ndarray) -> pa.Table:
+        text = pa.array(_Chunk(pages_.to_pylist(), depth).left(crossing), pa.string())
+        return pa.table({**{c: pages_.column(c) for c in carry}, "text": text})
+
+    if hot.isEmpty():
+        return dealt.groupBy("cell").applyInArrow(lambda pages_: answer(pages_, np.empty((0, 2), np.int64)), schema)
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _cells(batches):
+            found = _Chunk(rows, depth) if rows[0]["articles"] is not None else None  # only hosts of several chunks
+            counts = found.counted() if found else None
+            if counts:
+                n = len(counts["window"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(counts["window"]), *(pa.array(counts[c].astype(np.int32)) for c in ("every", "inner")),
+                     pa.array(np.full(n, found.least, np.int32)), pa.array(np.full(n, rows[0]["cell"], np.int64)), pa.array([rows[0]["part"]] * n, pa.int64())],
+                    names=["window", "every", "inner", "least", "cell", "part"],
+                )
+
+    seen = dealt.sortWithinPartitions("cell").mapInArrow(shared, "window long, every int, inner int, least int, cell long, part long")
+    across = seen.repartition("window").sortWithinPartitions("window").mapInArrow(_crossing, "cell long, window long, kind int")
+
+    def extract(pages_: pa.Table, windows_: pa.Table) -> pa.Table:
+        if not pages_.num_rows:
+            return to_arrow_schema(schema).empty_table()
+        found = np.column_stack([np.asarray(windows_.column(c)).astype(np.int64) for c in ("window", "kind")])
+        return answer(pages_, found[np.argsort(found[:, 0], kind="stable")])
+
+    return dealt.groupBy("cell").cogroup(across.groupBy("cell")).applyInArrow(extract, schema)
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of each cell, from rows in order of the cell."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and row["cell"] != held[-1]["cell"]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
 
 
 def _key(found: list[tuple[int, str]]) -> int:
@@ -494,8 +499,8 @@ def main_text(
     Menus, adverts, footers and the like are part of the host's streams and never part of the text.
 
     A null or empty html gives an empty text; a null url is a host of its own name (empty); null ids and repeated rows are
-    kept; other columns are not read; an empty table gives an empty result.  Pages are parsed
-    once, into a table in the shared folder; of repeated pages (url and html) one is judged, and texts are joined by page.
+    kept, each judged for itself; other columns are not read; an empty table gives an empty result.  Pages are parsed
+    once, into a table in the shared folder.
     """
     prepare(pages.sparkSession)
     rows = pages.select(
@@ -504,11 +509,10 @@ def main_text(
     )
 
     def parse(cols):
-        out = {n: [] for n in ("uid", "key", "host", "blocks")}
+        out = {n: [] for n in ("key", "host", "blocks")}
         for u, page in zip(cols["url"].to_pylist(), cols["html"].to_pylist()):
             found = blocks(page or "")
             marked = any(k == MAIN_TEXT for k, _ in found)
-            out["uid"].append(_uid(u, page))
             out["key"].append(_key(found))
             out["host"].append(host_of(u))
             out["blocks"].append([
@@ -516,21 +520,9 @@ def main_text(
             ])
         return {"page_id": cols["page_id"], "url": cols["url"], "row": cols["row"], **out}
 
-    schema = (
-        "page_id long, url string, row long, uid binary, key long, host string, "
-        "blocks array<struct<place int, kind int, text string>>"
-    )
+    schema = "page_id long, url string, row long, key long, host string, blocks array<struct<place int, kind int, text string>>"
     table = shared_folder(pages.sparkSession, "page-blocks")
     arrow_map(rows, parse, schema).write.option("compression", "zstd").parquet(table)
     parsed = pages.sparkSession.read.parquet(table)
-    copies = durable(
-        parsed.groupBy("uid").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("__row")).where("n > 1")
-        .select(F.col("uid").alias("__uid"), "__row")
-    )
-    again = (F.col("uid") == F.col("__uid")) & (F.col("row") > F.col("__row"))
-    single = parsed.join(checked_broadcast(copies, 16 << 20, 48), again, "left_anti")
-    judged = unique_runs(single.select("uid", "key", "host", F.inline("blocks")), depth, chunk_tokens)
-    texts = parsed.select("page_id", "url", "uid").join(judged, "uid", "left").withColumn(
-        "text", F.coalesce("text", F.lit(""))
-    )
+    texts = unique_runs(parsed, ["page_id", "url", "row"], depth, chunk_tokens)
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
