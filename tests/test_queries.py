@@ -30,3 +30,12 @@ def test_query(spark, sf, con, name):
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns[:2] == ["market", "ts"] and df.count() > 0
+
+
+@pytest.mark.parametrize("name", ["a8_fills_append", "c2b_pit_matrix_dense", "d10_slippage_reconcile", "d15_feature_drift", "e4_equity_drawdown", "e8_cusum_batch", "e14_rollback_hysteresis"])
+def test_query_in_small_cells(spark, sf, con, name, monkeypatch):
+    """The same answers where every key is cut into many cells."""
+    from tidemark.operators import cells, ordered
+
+    monkeypatch.setattr(ordered, "counted_cells", lambda df, keys, order, rows=0: cells.counted_cells(df, keys, order, 150))
+    assert compare(QUERIES[name](spark, sf).toPandas(), con.execute(ORACLES[name]).df()) is None
