@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import config
 from tidemark.operators import features, model, returns, signals
+from tidemark.operators.cells import counted_cells
 from tidemark.operators.ledger import pnl_ledger, replay_metrics
 from tidemark.plans import ledger_sql
 from tidemark.plans.options import DIRECTION_SQL, SEGMENT_SQL, feature_sources, segment_rows
@@ -22,9 +23,10 @@ LATER = "2000-01-01"  # J1 trains before this time and is judged after it
 
 def training_rows(spark: SparkSession, d: str) -> DataFrame:
     """The seventeen features of every market at every bar: stored ones as of the bar, computed ones from them."""
-    prices = segment_rows(spark, d).select("market", F.col("as_of").alias("ts"), F.col("spot").alias("close"))
+    options = durable(segment_rows(spark, d))  # stands for stored rows, read several times
+    prices = options.select("market", F.col("as_of").alias("ts"), F.col("spot").alias("close"))
     stored = [*config.STORE_FEATURES, "spot", "sentiment_score", "sentiment_confidence"]
-    wide = features.wide_matrix(feature_sources(spark, d), prices.select("market", "ts"), stored)
+    wide = features.wide_matrix(feature_sources(spark, d, options), prices.select("market", "ts"), stored)
     matrix = signals.signal_features(wide, F.col("spot")).select("market", "ts", *NAMES)
     return model.training_set(prices, matrix)
 
@@ -145,8 +147,9 @@ def replay_input(spark: SparkSession, d: str) -> DataFrame:
 
     Returns are scaled down: the bars of the test tables jump far more than a market does.
     """
-    bars = tables.bars(spark, d)
-    priced = returns.rolling_vol(returns.simple_returns(bars))
+    bars = durable(tables.bars(spark, d))  # stands for the landed bars
+    cells = counted_cells(bars, ["market"], ["ts"])
+    priced = returns.rolling_vol(returns.simple_returns(bars, cells), cells)
     # the probability is a rule on the previous bar's shape, shifted per run
     tilt = (F.col("open") - F.col("low")) / (F.col("high") - F.col("low") + 1e-9)
     return priced.withColumn("run_id", F.explode(F.array(*[F.lit(r) for r in range(4)]))).select(

@@ -352,13 +352,13 @@ def segment_rows(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def feature_sources(spark: SparkSession, d: str) -> list[DataFrame]:
+def feature_sources(spark: SparkSession, d: str, options: DataFrame | None = None) -> list[DataFrame]:
     """Reports with their sentiment, and option features: what the stored features come from, in wide rows."""
     mood = signals.cot_sentiment(reports(spark, d)).select(
         "market", F.col("report_date").cast("timestamp_ntz").alias("as_of"), "available_at",
         *[F.col(source).cast("double").alias(name) for name, source in config.COT_FEATURES.items()], "sentiment_score", "sentiment_confidence",
     )
-    return [mood, segment_rows(spark, d)]
+    return [mood, segment_rows(spark, d) if options is None else options]
 
 
 @query(
