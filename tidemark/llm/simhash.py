@@ -221,7 +221,11 @@ def keep_first(docs: DataFrame, text: str = "text", id_col: str = "doc_id", bits
     Of repeated rows with that id one stays.  Rows without an id are compared by their whole text only: one row of
     each text stays.
     """
-    found = simhash_components(docs, text, id_col, bits)
+    return keep_components(docs, simhash_components(docs, text, id_col, bits), text, id_col)
+
+
+def keep_components(docs: DataFrame, found: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``keep_first`` for any components ``found`` (doc_id, component_id)."""
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
     rows = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("__id"), "left_semi")
     first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text)))
